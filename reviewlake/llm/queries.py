@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import doc_pairs, origin, syntax
+from . import doc_pairs, leakage, origin, spam, syntax
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -28,6 +28,14 @@ def p6_rates(spark: SparkSession, directory: str) -> DataFrame:
     return syntax.failure_rates(table(spark, directory, "source_files"))
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return leakage.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return spam.spam_documents(table(spark, directory, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit()}
 
