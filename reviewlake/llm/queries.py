@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import doc_pairs, leakage, origin, spam, syntax
+from . import doc_pairs, graph_knn, leakage, origin, spam, syntax
+
+#: Widths of the embedding models.
+WIDTHS = {"code-embed-64": 64, "code-embed-mini-48": 48}
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return graph_knn.neighbour_pairs(table(spark, directory, "chunk_vectors"), 10, WIDTHS)
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
