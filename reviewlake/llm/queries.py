@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import doc_pairs, graph_knn, leakage, origin, spam, syntax
+from . import doc_pairs, graph_knn, leakage, origin, packing, pieces, spam, syntax
 
 #: Widths of the embedding models.
 WIDTHS = {"code-embed-64": 64, "code-embed-mini-48": 48}
@@ -23,6 +23,14 @@ def p2_pairs(spark: SparkSession, directory: str) -> DataFrame:
     return doc_pairs.function_doc_pairs(table(spark, directory, "source_files"))
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return pieces.split_chunks(table(spark, directory, "chunks"))
+
+
+def p4_merged(spark: SparkSession, directory: str) -> DataFrame:
+    return pieces.split_chunks(table(spark, directory, "chunks"), by=pieces.merge_segments)
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return origin.not_hand_written(table(spark, directory, "source_files"))
 
@@ -35,6 +43,10 @@ def p6_rates(spark: SparkSession, directory: str) -> DataFrame:
     return syntax.failure_rates(table(spark, directory, "source_files"))
 
 
+def p7_batches(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(table(spark, directory, "documents"))
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
 
