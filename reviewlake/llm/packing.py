@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 CAPACITY = 2048
 #: Documents a group holds on average; one group is packed in one task's memory.
@@ -78,7 +79,7 @@ def first_fit_decreasing(sizes: list[tuple[int, int, int]], capacity: int) -> li
     return out
 
 
-@pandas_udf("bigint")
+@pandas_udf(LongType())
 def count_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda t: 0 if t is None else sum(1 for _ in _TOKEN.finditer(t))).astype("int64")
 
