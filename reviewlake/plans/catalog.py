@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "context_pack"
 
 
-def queries() -> dict:
-    from . import snapshots
+def _load():
+    from . import evaluation, files, graph, review, snapshots, streams, texts  # noqa: F401 - they register their queries
+    from .registry import QUERIES, SQL
 
-    return snapshots.queries()
+    return QUERIES, SQL
 
 
-def oracle_sql() -> dict[str, str]:
-    from . import snapshots
+def queries() -> dict:
+    return dict(_load()[0])
 
-    return snapshots.oracle_sql()
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_load()[1])

@@ -1,24 +1,16 @@
-"""Queries over full snapshot listings."""
+"""Queries over snapshots and stores."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import snapshot_diff
+from ..functions import scalars as S
+from ..operators import snapshot_diff, store
 from ..sources.tables import table
+from . import relations as R
+from .registry import query
 
-
-def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    return snapshot_diff.listing_changes(table(spark, directory, "files"), table(spark, directory, "index_snapshots"))
-
-
-def queries() -> dict:
-    return {"p3_found": p3_found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": r"""
+P3_SQL = r"""
 with ready as (
   select snapshot_id, min(created_at) created_at, any_value(repository_id) repository_id, any_value(ref_name) ref_name
   from index_snapshots where status = 'ready' group by snapshot_id),
@@ -36,5 +28,9 @@ select coalesce(cur.snapshot_id, old.snapshot_id) snapshot_id, coalesce(cur.path
        case when old.path is null then 'added' when cur.path is null then 'removed' else 'modified' end change_kind
 from cur full outer join old on cur.snapshot_id = old.snapshot_id and cur.path = old.path
 where old.path is null or cur.path is null or cur.sha <> old.sha
-""",
-    }
+"""
+
+
+@query(P3_SQL)
+def p3_found(spark, d):
+    return snapshot_diff.listing_changes(table(spark, d, "files"), table(spark, d, "index_snapshots"))
