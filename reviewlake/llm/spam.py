@@ -50,34 +50,56 @@ _CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|if .*[:
 _LEET = str.maketrans({"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
 
+_LANGUAGES = {w: [k for k, v in _COMMON.items() if w in v] for v in _COMMON.values() for w in v}
+
+
 def language(words: list[str]) -> str:
-    counts = {k: sum(w in v for w in words) for k, v in _COMMON.items()}
+    counts = dict.fromkeys(_COMMON, 0)
+    for w in words:
+        for k in _LANGUAGES.get(w, ()):
+            counts[k] += 1
     best = max(counts, key=counts.get)
     return best if counts[best] else "en"
 
 
 def redundancy(text: str) -> float:
     """Compression ratio over that of prose of the same length and language; about 1 for prose, near 0 for repetition."""
-    text = " ".join(text.lower().split())
+    words = text.lower().split()
+    text = " ".join(words)
     n = len(text)
     if n < 60:
         return 1.0
-    ratio = (len(zlib.compress(text.encode("utf-8", "replace"), 9)) - 8) / len(text.encode("utf-8", "replace"))
-    words = _WORD.findall(text)
-    return ratio / ((0.38 + 4.0 / n**0.5) * _FACTOR[language(words)])
+    data = text.encode("utf-8", "replace")
+    return (len(zlib.compress(data, 6)) - 8) / len(data) / ((0.38 + 4.0 / n**0.5) * _FACTOR[language(words)])
+
+
+_DISGUISED = re.compile(r"\S*\d\S*")
+
+
+def _plain(words: list[str]) -> str:
+    """The words in lower case, digits that stand for letters undone where a word holds both."""
+    text = " ".join(words).lower()
+    return _DISGUISED.sub(lambda m: m[0] if m[0].isdigit() else m[0].translate(_LEET), text)
 
 
-def _plain_word(word: str) -> str:
-    return word.lower().translate(_LEET) if re.search(r"[^\W\d_]", word) else word
+def _size(text: str) -> int:
+    return sum(map(len, text.split()))
 
 
 def _visible(block: str) -> tuple[str, int]:
     """The text a reader is meant to see, attributes included, and the number of links and images."""
-    links = len(_MD_LINK.findall(block))
-    text = _MD_LINK.sub(lambda m: f" {m[1]} ", block)
-    said = " ".join(a or b for a, b in _ATTRIBUTE.findall(text))
-    links += len(re.findall(r"<(?:a|img)\b", text, re.I)) or len(_URL.findall(text))
-    text = _URL.sub(" ", _TAG.sub(" ", text))
+    links = len(_MD_LINK.findall(block)) if "](" in block else 0
+    text, said = _MD_LINK.sub(lambda m: f" {m[1]} ", block) if links else block, ""
+    tags = 0
+    if "<" in text:
+        said = " ".join(a or b for a, b in _ATTRIBUTE.findall(text))
+        tags = len(re.findall(r"<(?:a|img)\b", text, re.I))
+        whole, text = text, _TAG.sub(" ", text)
+        links += tags or len(_URL.findall(whole))
+        text = _URL.sub(" ", text)
+    else:
+        text, n = _URL.subn(" ", text)
+        links += n
     return html.unescape(f"{text} {said}"), links
 
 
@@ -86,7 +108,8 @@ def _spam(block: str) -> str | None:
     lines = [x for x in block.split("\n") if x.strip()]
     if not lines:
         return None
-    if sum(bool(_LOG.match(x)) for x in lines) >= 0.6 * len(lines):
+    logged = sum(bool(_LOG.match(x)) for x in lines)
+    if logged >= 0.6 * len(lines):
         return None
     text, links = _visible(block)
     words = _WORD.findall(text)
@@ -94,20 +117,19 @@ def _spam(block: str) -> str | None:
     density = ends / max(1, len(words))
     if links >= 3 and len(words) <= 6 * links and density < 0.04 and len(words) < 6 * (links + 1):
         return "links"
-    hashes = _HASH.findall(block)
-    if len(hashes) >= 4 and sum(map(len, hashes)) >= 0.5 * len(re.sub(r"\s+", "", _TAG.sub("", block))):
+    hashes = _HASH.findall(block) if "#" in block or "@" in block else ()
+    if len(hashes) >= 4 and sum(map(len, hashes)) >= 0.5 * _size(_TAG.sub("", block)):
         return "tags"
-    priced = sum(bool(_PRICE.search(x)) for x in lines)
+    priced = sum(bool(_PRICE.search(x)) for x in lines) if len(lines) >= 3 and density < 0.03 else 0
     if len(lines) >= 3 and priced >= 0.6 * len(lines) and density < 0.03 and not sum(bool(_ROW.match(x)) for x in lines) >= 0.6 * len(lines):
         return "products"
-    if len(words) < 12 or sum(bool(_CODE.match(x)) for x in lines) >= 0.5 * len(lines) and len(lines) >= 3:
+    if len(words) < 12 or len(lines) >= 3 and sum(bool(_CODE.match(x)) for x in lines) >= 0.5 * len(lines):
         return None
-    items = [x.strip().lower() for x in re.split(r"\s+[»«|•·~–—-]+\s+|[,\n]+", text) if x.strip()]
+    items = [] if density >= 0.02 else [x.strip().lower() for x in re.split(r"\s+[»«|•·~–—-]+\s+|[,\n]+", text) if x.strip()]
     short = sum(len(x.split()) <= 4 for x in items)
     if len(items) >= 12 and short >= 0.9 * len(items) and len(set(items)) <= 0.7 * len(items) and density < 0.02 and sum(bool(re.search(r"[{}();=]", x)) for x in lines) < 0.3 * len(lines):
         return "keywords"
-    plain = " ".join(map(_plain_word, words))
-    r = redundancy(plain)
+    r = redundancy(_plain(words))
     if r < ANY_BELOW:
         return "repetition"
     if r < LIST_BELOW and density < 0.02 and not sum(bool(_ROW.match(x)) for x in lines) >= 0.6 * len(lines):
@@ -116,6 +138,9 @@ def _spam(block: str) -> str | None:
 
 
 def _is_prose(text: str) -> bool:
+    text = text.strip()
+    if text[-1:] in (".", "!", "?") and 6 <= text.count(" ") < 30 and "\n" not in text:
+        return True
     words = _WORD.findall(text)
     return len(words) >= 5 and len(_END.findall(text)) >= len(words) / 40
 
@@ -147,7 +172,7 @@ def spam_share(text: str | None) -> tuple[float, str | None]:
         return 0.0, None
     total, kinds = 0, {}
     for block in blocks(text):
-        size = len(re.sub(r"\s+", "", block))
+        size = _size(block)
         total += size
         why = _spam(block)
         if why:
@@ -159,7 +184,7 @@ def spam_share(text: str | None) -> tuple[float, str | None]:
         if 0 < len(rest) < len(lines):
             why = _spam("\n".join(rest))
             if why:
-                kinds[why] = kinds.get(why, 0) + len(re.sub(r"\s+", "", "".join(rest)))
+                kinds[why] = kinds.get(why, 0) + sum(map(_size, rest))
     if not kinds:
         return 0.0, None
     return sum(kinds.values()) / max(1, total), max(kinds, key=kinds.get)
