@@ -36,6 +36,14 @@ def diff(current: DataFrame, previous: DataFrame, keys: Sequence[str], compare:
     return both.select(*keys, kind.alias("change_kind")).filter("change_kind is not null")
 
 
+def plan(current: DataFrame, previous: DataFrame, keys: Sequence[str], compare: Sequence[str]) -> DataFrame:
+    """As ``diff``, but every key of either side, ``change_type`` being added, removed, modified or unchanged."""
+    side = lambda df, name: df.select(*keys, F.struct(row_hash(*compare).alias("h")).alias(name))
+    both = side(current, "_new").join(side(previous, "_old"), list(keys), "full_outer")
+    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old.h") != F.col("_new.h"), "modified").otherwise("unchanged")
+    return both.select(*keys, kind.alias("change_type"))
+
+
 def ready_chain(snapshots: DataFrame) -> DataFrame:
     """Ready snapshots with the ready one just before in the same repository and ref; ``previous_id`` is null for the first.
 
