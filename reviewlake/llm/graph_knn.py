@@ -4,8 +4,8 @@ Distinct vectors are dealt at random into shards; each shard builds a robust-pru
 answers a beam search for every distinct vector of the model.  What the searches propose is scored again in double
 precision, the shards' bests are merged, and groups of equal vectors are put back in.
 
-Shards hold an eighth of a model's vectors, but 4,096 at least and 65,536 at most, so the searches per vector stay few up
-to half a million vectors and grow with the number of shards beyond; a shard is built and searched in one task that reads
+Shards hold a third of a model's vectors, but 4,096 at least and 65,536 at most, so the searches per vector stay few up
+to two hundred thousand vectors and grow with the number of shards beyond; a shard is built and searched in one task that reads
 its members first and streams the queries, so memory follows the shard's size and not the table's.
 
 Defined results: null, wrong-width, all-zero and non-finite vectors are left out, as are rows with a null id or model; of
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .graph import Graph
 
-SMALLEST, LARGEST, SHARDS = 4096, 65536, 8
-DEGREE, BEAM, ALPHA = 32, 48, 1.2
+SMALLEST, LARGEST, SHARDS = 4096, 65536, 3
+DEGREE, BEAM, ALPHA = 24, 40, 1.2
 #: Queries a shard's task answers at most; beyond, the shard is built again in another task.
-QUERIES_A_TASK = 2_000_000
+QUERIES_A_TASK = 250_000
 
 
 def usable(vectors: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
