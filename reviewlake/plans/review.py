@@ -1 +1,164 @@
+"""Queries over findings."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import chunking
+from ..operators import review as V
+from ..sources.tables import table
+from . import relations as R
+from .registry import query
+
+FLOORS = {"critical": 0.50, "high": 0.60, "medium": 0.70, "low": 0.75, "info": 0.80}
+PENALTIES = {"symbols_resolve": 0.30, "patch_parses": 0.10, "patch_applies": 0.05}
+LIMIT = 10
+
+FP = "sha256(concat_ws('|', path, line_start::varchar, category, source, lower(title)))[1:16]"
+RANK = "case severity " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(S.SEVERITIES)) + " end"
+
+
+def findings(spark, d):
+    f = R.findings(spark, d)
+    return f.withColumn("rule_id", F.lit(None).cast("string")).withColumn("fingerprint", S.fingerprint("path", "line_start", "category", "source", "rule_id", "title"))
+
+
+@query(f"""with {R.FINDINGS} select finding_id, array_to_string(list_filter([case when length(trim(title)) < 8 then 'title: too short' end, case when length(trim(title)) > 160 then 'title: too long' end, case when line_end < line_start then 'line_end: before line_start' end, case when confidence not between 0 and 1 then 'confidence: out of range' end, case when source <> 'llm' then 'rule_id: missing' end], lambda x: x is not null), '; ') as reasons from fnd""")
+def validate_findings(spark, d):
+    return findings(spark, d).select("finding_id", F.array_join(V.invalid_reasons(), "; ").alias("reasons"))
+
+
+@query(f"with {R.FINDINGS} select finding_id, {FP} as fingerprint from fnd")
+def fingerprint(spark, d):
+    return findings(spark, d).select("finding_id", "fingerprint")
+
+
+@query(f"with {R.FINDINGS} select finding_id, run_id, row_number() over (partition by run_id order by ({RANK}) * confidence desc, ({RANK}) desc, confidence desc, {FP}, finding_id)::int as place from fnd")
+def findings_ranked(spark, d):
+    return V.ranked(findings(spark, d)).select("finding_id", "run_id", "place")
+
+
+def gated(spark, d):
+    """Findings with what each gate is asked: the order's state and customer stand for head files and diff hunks."""
+    o = table(spark, d, "orders").select(F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), "o_orderstatus", (F.col("o_custkey") % 40 + 1).alias("hunk_start"))
+    f = findings(spark, d).join(o, "path", "left")
+    hit = S.spans_overlap("line_start", "line_end", "hunk_start", F.col("hunk_start") + 45)
+    return f.select(*findings(spark, d).columns, (F.col("o_orderstatus").isNotNull() & (F.col("o_orderstatus") != "P")).alias("file_exists"), F.coalesce(hit, F.lit(False)).alias("line_in_range"),
+                    (~F.col("title").contains("ring")).alias("symbols_resolve"), (~F.col("title").contains("bolt")).alias("patch_parses"), ((F.col("line_start") >= F.col("hunk_start")) & (F.col("line_end") <= F.col("hunk_start") + 45)).alias("patch_applies"))
+
+
+ASKED = R.FINDINGS + """, hd as (select 'src/' || o_orderkey::varchar || '.py' path, o_orderstatus, o_custkey % 40 + 1 hs from orders),
+ask as (select f.*, o_orderstatus is not null and o_orderstatus <> 'P' fe, coalesce(line_start <= hs + 45 and hs <= line_end, false) li, not contains(title, 'ring') sy, not contains(title, 'bolt') pp, coalesce(line_start >= hs and line_end <= hs + 45, true) pa from fnd f left join hd using (path))"""
+_FLOOR = "case severity " + " ".join(f"when '{k}' then {v}" for k, v in FLOORS.items()) + " else 0 end"
+GATED = ASKED + f""", g0 as (select *, not fe or not li gone from ask), g1 as (select *, not gone and not sy fs, not gone and not pp fp, not gone and pp and not pa fa from g0),
+g2 as (select *, case when fs then greatest(0.0, confidence - 0.3::double) else confidence end c1 from g1), g3 as (select *, case when fp then greatest(0.0, c1 - 0.1::double) else c1 end c2 from g2), g4 as (select *, round(case when fa then greatest(0.0, c2 - 0.05::double) else c2 end, 9) c3 from g3),
+gat as (select *, not gone and c3 < {_FLOOR} under, case when gone or (c3 < {_FLOOR}) then 'rejected' when fs or fp or fa then 'demoted' else 'verified' end status from g4)"""
+FAILED = "list_filter([case when not fe then 'file_exists' end, case when fe and not li then 'line_in_range' end, case when fs then 'symbols_resolve' end, case when fp then 'patch_parses' end, case when fa then 'patch_applies' end, case when under then 'confidence_floor' end], lambda x: x is not null)"
+
+
+def _gates(spark, d):
+    return V.gates(gated(spark, d), FLOORS, PENALTIES)
+
+
+@query(f"with {GATED} select finding_id, status, c3 as final_confidence, array_to_string({FAILED}, ',') as failed from gat")
+def gate_pipeline(spark, d):
+    return _gates(spark, d).select("finding_id", "status", "final_confidence", F.array_join("gates_failed", ",").alias("failed"))
+
+
+@query(f"with {ASKED} select finding_id, fe as file_exists from ask")
+def gate_file_exists(spark, d):
+    return gated(spark, d).select("finding_id", "file_exists")
+
+
+@query(f"with {ASKED} select finding_id, li as line_in_range from ask")
+def gate_line_in_range(spark, d):
+    return gated(spark, d).select("finding_id", "line_in_range")
+
+
+@query(f"with {ASKED} select finding_id, pa as patch_applies from ask")
+def gate_patch_applies(spark, d):
+    return gated(spark, d).select("finding_id", F.coalesce("patch_applies", F.lit(True)).alias("patch_applies"))
+
+
+@query(f"with {GATED} select finding_id, under as below_floor from gat where not gone")
+def gate_confidence_floor(spark, d):
+    g = _gates(spark, d).filter("not array_contains(gates_failed, 'file_exists') and not array_contains(gates_failed, 'line_in_range')")
+    return g.select("finding_id", F.array_contains("gates_failed", "confidence_floor").alias("below_floor"))
+
+
+@query(f"with {GATED} select gate, count(*) as drops from (select unnest({FAILED}) gate from gat) group by gate")
+def gate_drop_counts(spark, d):
+    return V.drop_counts(_gates(spark, d))
+
+
+@query(f"with {GATED} select run_id, count(*) as findings, count_if(status = 'rejected') as rejected, count_if(status = 'demoted') as demoted, round(count_if(status = 'rejected') / count(*), 6) as reject_rate, round(count_if(len({FAILED}) > 0) / count(*), 6) as drop_rate from gat group by run_id")
+def gate_drop_rate(spark, d):
+    n = lambda s: F.count_if(F.col("status") == s)
+    return _gates(spark, d).groupBy("run_id").agg(F.count("*").alias("findings"), n("rejected").alias("rejected"), n("demoted").alias("demoted"), F.round(n("rejected") / F.count("*"), 6).alias("reject_rate"), F.round(F.count_if(F.size("gates_failed") > 0) / F.count("*"), 6).alias("drop_rate"))
+
+
+BUDGETED = GATED + f""", rk as (select *, case when status <> 'rejected' then row_number() over (partition by run_id, status <> 'rejected' order by ({RANK}) * c3 desc, ({RANK}) desc, c3 desc, {FP}, finding_id) end::int place from gat)"""
+
+
+def _budget(spark, d):
+    g = _gates(spark, d).drop("confidence").withColumnRenamed("final_confidence", "confidence")
+    return V.within_budget(g, LIMIT)
+
+
+@query(f"with {BUDGETED} select finding_id, run_id, place, coalesce(place <= {LIMIT}, false) as is_posted, case when place is null then 'rejected' when place > {LIMIT} then 'over budget' end as suppressed_as from rk")
+def findings_budget(spark, d):
+    return _budget(spark, d).select("finding_id", "run_id", "place", "is_posted", "suppressed_as")
+
+
+@query(f"with {BUDGETED} select run_id, count(*) as emitted, count_if(coalesce(place <= {LIMIT}, false)) as posted, count_if(not coalesce(place <= {LIMIT}, false)) as suppressed, true as conserved from rk group by run_id")
+def conservation_check(spark, d):
+    """Emitted equals posted and suppressed, in every run."""
+    emitted = findings(spark, d).groupBy("run_id").agg(F.count("*").alias("emitted"))
+    out = _budget(spark, d).groupBy("run_id").agg(F.count_if("is_posted").alias("posted"), F.count_if(~F.col("is_posted")).alias("suppressed"))
+    return emitted.join(out, "run_id").withColumn("conserved", F.col("emitted") == F.col("posted") + F.col("suppressed"))
+
+
+WORDS = "list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))"
+
+
+@query(f"with {R.FINDINGS}, w as (select *, {WORDS} words from fnd) select a.path, a.finding_id as a, b.finding_id as b from w a join w b on a.path = b.path and a.finding_id < b.finding_id and a.line_start <= b.line_end and b.line_start <= a.line_end and len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= 0.7")
+def dedup_pairs(spark, d):
+    return V.duplicate_pairs(findings(spark, d), ["path"])
+
+
+@query(f"""with recursive {R.FINDINGS}, w as (select path, finding_id, line_start s, line_end e, {WORDS} words, row_number() over (partition by path order by -(({RANK}) * confidence), source = 'llm', finding_id) n from fnd),
+f as (select path, 0::bigint n, null::varchar finding_id, null::varchar duplicate_of, []::struct(id varchar, s int, e int, words varchar[])[] won from (select distinct path from w)
+  union all select f.path, w.n, w.finding_id, h.hit, case when h.hit is null then list_append(f.won, {{'id': w.finding_id, 's': w.s, 'e': w.e, 'words': w.words}}) else f.won end
+  from f join w on w.path = f.path and w.n = f.n + 1 cross join lateral (select list_filter(f.won, lambda x: x.s <= w.e and w.s <= x.e and len(list_intersect(x.words, w.words)) / len(list_distinct(list_concat(x.words, w.words))) >= 0.7)[1].id hit) h)
+select finding_id, duplicate_of from f where n > 0""")
+def dedup_greedy(spark, d):
+    return V.merge_duplicates(findings(spark, d), ["path"]).select("finding_id", "duplicate_of")
+
+
+@query(rf"""with {R.SYMBOLS}, {R.CHUNKS}, vocab as (select repository_id, fqn token from sym union select repository_id, regexp_extract(replace(fqn, '::', '.'), '[^.]*$') from sym union select repository_id, t from (select repository_id, unnest(regexp_extract_all(content, '[A-Za-z_$][A-Za-z0-9_$]*')) t from chk) where length(t) <= 200),
+raw as (select doc_id, repository_id, trim(unnest(regexp_extract_all(text, '`([^`\n]{{1,200}})`', 1)), ' ') t from documents where repository_id is not null),
+tok as (select distinct doc_id, repository_id, regexp_replace(t, '\(\)$', '') token from raw where regexp_matches(t, '^[A-Za-z_$][A-Za-z0-9_$]*((\.|::)[A-Za-z_$][A-Za-z0-9_$]*)*(\(\))?$')),
+ok as (select *, regexp_extract(replace(token, '::', '.'), '[^.]*$') tail from tok where lower(token) not in ({", ".join(f"'{x}'" for x in V.UNIVERSAL)}) and lower(regexp_extract(token, '[^.]*$')) not in ({", ".join(f"'{x}'" for x in V.UNIVERSAL)}))
+select doc_id, count(*) as unresolved from ok where not exists (select 1 from vocab v where v.repository_id = ok.repository_id and v.token in (ok.token, ok.tail)) group by doc_id""")
+def gate_symbol_resolves(spark, d):
+    """Symbols that a text names in backticks and its repository does not know."""
+    claims = table(spark, d, "documents").filter("repository_id is not null").select("doc_id", "repository_id", V.symbol_tokens("text").alias("tokens"))
+    vocabulary = chunking.vocabulary(R.symbols(spark, d), R.chunks(spark, d))
+    return V.unresolved_tokens(claims, vocabulary, "doc_id", "repository_id").groupBy("doc_id").agg(F.count("*").alias("unresolved"))
+
+
+@query()
+def gate_patch_parses(spark, d):
+    from ..operators.patches import patch_parses
+
+    c = R.chunks(spark, d)
+    return c.select("chunk_id", patch_parses("language", "content").alias("parses"))
+
+
+@query("with one as (select distinct doc_id, repository_id, kind, n_chars, created_at from documents where repository_id is not null) select repository_id, count(*) as requests, sum(n_chars)::bigint as chars, count_if(kind is null) as failures, round(1 - count_if(kind is null) / count(*), 6) as completeness, array_to_string(list_sort(list_distinct(list(kind))), ',') as kinds from one group by repository_id")
+def review_merge(spark, d):
+    """Outcomes of a repository's reviews put together: sums, failures, completeness, the kinds seen."""
+    one = table(spark, d, "documents").filter("repository_id is not null").select("doc_id", "repository_id", "kind", "n_chars", "created_at").distinct()
+    failed = F.count_if(F.col("kind").isNull())
+    return one.groupBy("repository_id").agg(F.count("*").alias("requests"), F.sum("n_chars").alias("chars"), failed.alias("failures"), F.round(1 - failed / F.count("*"), 6).alias("completeness"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
