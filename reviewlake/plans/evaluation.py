@@ -1 +1,92 @@
+"""Queries of the evaluation: orders are cases, findings the comments on them."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as E
+from ..operators import retrieval
+from ..sources.tables import table
+from . import relations as R
+from . import review as V
+from .graph import BUDGET, PACK, RESOLVED, _pack, _resolved
+from .registry import query
+
+
+def cases(spark, d):
+    o = table(spark, d, "orders")
+    path = F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".py"))
+    return o.select(path.alias("case_id"), path.alias("case_path"), F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") % 60 + 10).cast("int")).alias("defect_line"), F.array(F.lit("ring"), F.lit("bolt"), F.lit("economy")).alias("signals"))
+
+
+CASES = "cas as (select 'src/' || o_orderkey::varchar || '.py' case_id, case when o_orderstatus <> 'P' then (o_orderkey % 60 + 10)::int end dl from orders)"
+_HIT = "coalesce(c.dl between f.line_start and f.line_end and (contains(lower(f.title), 'ring') or contains(lower(f.title), 'bolt') or contains(lower(f.title), 'economy')), false)"
+
+
+def comments(df):
+    return df.select(F.col("path").alias("case_id"), F.col("finding_id").alias("comment_id"), "path", "line_start", "line_end", F.lower("title").alias("words"))
+
+
+def _stage_sql(source: str) -> str:
+    return f"""per as (select case_id, count_if(agrees) hits, count(*) n from {source} group by case_id), c2 as (select c.case_id, c.dl is not null defect, coalesce(hits, 0) hits, coalesce(n, 0) n from cas c left join per using (case_id)),
+st as (select coalesce(sum(hits), 0)::bigint agreed, coalesce(sum(n - hits), 0)::bigint wrong, coalesce(sum(greatest(hits - 1, 0)), 0)::bigint redundant, count_if(defect) defects, count_if(defect and hits > 0) found, count_if(not defect and n > 0) noisy_clean, count(*) cases from c2)"""
+
+
+_RATIOS = "case when agreed + wrong = 0 then 1.0 else round(agreed / (agreed + wrong), 6) end as precision, case when agreed + wrong = 0 then 1.0 else round((agreed - redundant) / (agreed + wrong), 6) end as precision_strict, case when defects = 0 then 0.0 else round(found / defects, 6) end as recall, case when cases = 0 then 0.0 else round(wrong / cases, 6) end as wrong_per_case"
+
+
+@query(f"with {R.FINDINGS}, {CASES} select f.finding_id as comment_id, {_HIT} as agrees from fnd f join cas c on c.case_id = f.path")
+def eval_match(spark, d):
+    return E.matches(comments(R.findings(spark, d)), cases(spark, d)).select("comment_id", "agrees")
+
+
+@query(f"with {R.FINDINGS}, {CASES}, m as (select f.path case_id, {_HIT} agrees from fnd f join cas c on c.case_id = f.path), {_stage_sql('m')} select agreed, wrong, redundant, defects, found, noisy_clean, cases, {_RATIOS} from st")
+def eval_stage(spark, d):
+    return E.stage(E.matches(comments(R.findings(spark, d)), cases(spark, d)), cases(spark, d))
+
+
+@query(f"with {R.FINDINGS}, {CASES}, m0 as (select f.path case_id, {_HIT} agrees from fnd f join cas c on c.case_id = f.path), m as (select * from m0 union all select case_id, false from cas), {_stage_sql('m')} select agreed, wrong, redundant, defects, found, noisy_clean, cases, {_RATIOS} from st")
+def eval_degraded(spark, d):
+    """A reviewer made worse on purpose: one more wrong comment on every case."""
+    c = cases(spark, d)
+    m = E.matches(comments(R.findings(spark, d)), c).select("case_id", "agrees")
+    return E.stage(m.unionByName(c.select("case_id", F.lit(False).alias("agrees"))), c)
+
+
+@query(f"with {V.GATED}, {CASES} select f.path as case_id, f.finding_id as comment_id from gat f join cas c on c.case_id = f.path where {_HIT} and status = 'rejected'")
+def eval_suppressed(spark, d):
+    g = V._gates(spark, d)
+    return E.withheld(E.matches(comments(g), cases(spark, d)), comments(g.filter("status <> 'rejected'")), ["comment_id"]).select("case_id", "comment_id")
+
+
+@query(f"with {V.GATED}, {CASES}, m as (select f.path case_id, status, {_HIT} agrees from gat f join cas c on c.case_id = f.path), b as (select count_if(agrees) / count(*) pb, count_if(agrees and status <> 'rejected') / nullif(count_if(status <> 'rejected'), 0) pa, count_if(agrees and status = 'rejected') lost, count_if(status = 'rejected') suppressed, count(distinct case when agrees then case_id end) fb, count(distinct case when agrees and status <> 'rejected' then case_id end) fa from m) select round(pb, 6) as precision_before, round(coalesce(pa, 1.0), 6) as precision_after, lost as withheld_true, suppressed, fb as found_before, fa as found_after from b")
+def eval_report(spark, d):
+    """Precision and defects found, before and after verification, and what that cost."""
+    g = V._gates(spark, d)
+    m = E.matches(comments(g), cases(spark, d)).join(g.select(F.col("finding_id").alias("comment_id"), "status"), "comment_id")
+    kept = F.col("status") != "rejected"
+    return m.agg(F.round(F.count_if("agrees") / F.count("*"), 6).alias("precision_before"), F.round(F.coalesce(F.count_if(F.col("agrees") & kept) / F.nullif(F.count_if(kept), F.lit(0)), F.lit(1.0)), 6).alias("precision_after"),
+                 F.count_if(F.col("agrees") & ~kept).alias("withheld_true"), F.count_if(~kept).alias("suppressed"), F.countDistinct(F.when(F.col("agrees"), F.col("case_id"))).alias("found_before"), F.countDistinct(F.when(F.col("agrees") & kept, F.col("case_id"))).alias("found_after"))
+
+
+@query(f"with {R.SNAPSHOTS}, r as (select embedding_model, duration_ms, row_number() over (partition by embedding_model order by duration_ms) - 1 i, count(*) over (partition by embedding_model) n from snp where duration_ms is not null) select embedding_model, count(*) as runs, round(quantile_cont(duration_ms, 0.5), 6) as p50, max(case when i = least(n - 1, round_even(0.95::double * (n - 1), 0)::bigint) then duration_ms end) as p95_interval, max(case when i = greatest(0, round_even(0.95::double * n, 0)::bigint - 1) then duration_ms end) as p95_rank from r group by embedding_model")
+def eval_latency(spark, d):
+    return E.latency(R.snapshots(spark, d), "embedding_model", "duration_ms")
+
+
+@query(f"with {PACK}, s as (select request_id, count_if(place is not null) kept, count_if(place is not null and provenance = 'graph') graph, count(*) all_items, coalesce(sum(case when place is not null then token_count end), 0) tokens from pck group by request_id) select count(*) as requests, round(avg(case when all_items > 0 then kept / all_items end), 6) as mean_recall, sum(graph)::bigint as structural, round(avg(tokens) / {BUDGET}, 6) as mean_utilization from s")
+def eval_retrieval(spark, d):
+    """How much of what was wanted the packs hold, and how much of that came from structure."""
+    s = retrieval.pack_stats(_pack(spark, d), BUDGET)
+    kept = F.col("anchors") + F.col("graph") + F.col("semantic")
+    return s.agg(F.count("*").alias("requests"), F.round(F.avg(kept / (kept + F.col("dropped"))), 6).alias("mean_recall"), F.sum("graph").alias("structural"), F.round(F.avg("tokens") / BUDGET, 6).alias("mean_utilization"))
+
+
+@query(f"with {RESOLVED} select lang as language, count(*) as labels, count_if(regexp_extract(replace(dst_fqn, '::', '.'), '[^.]*$') = r.target_name) as agreed, round(count_if(regexp_extract(replace(dst_fqn, '::', '.'), '[^.]*$') = r.target_name) / count(*), 6) as accuracy from res join (select ref_id, target_name from ref) r using (ref_id) group by lang")
+def eval_resolution(spark, d):
+    """Resolved references whose symbol bears the name that was meant, by language."""
+    from ..functions.scalars import fqn_tail as tail
+
+    r = _resolved(spark, d)
+    ok = F.count_if(tail("dst_fqn") == F.col("target_name"))
+    return r.groupBy("language").agg(F.count("*").alias("labels"), ok.alias("agreed"), F.round(ok / F.count("*"), 6).alias("accuracy"))
