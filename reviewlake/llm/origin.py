@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .layout import origin
 from .syntax import verdict
 
@@ -23,7 +24,7 @@ def classify_origin(files: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"file_id": b["file_id"].array, "origin": [origin(p, c, lambda p, c: verdict(p, c)[1]) for p, c in zip(b["path"], b["content"])]})
 
-    return files.select("file_id", "path", "content").mapInPandas(run, "file_id bigint, origin string")
+    return spread(files.select("file_id", "path", "content")).mapInPandas(run, "file_id bigint, origin string")
 
 
 def not_hand_written(files: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Above this share of its characters a text counts as spam.
 SHARE = 0.5
 #: Redundancy (ratio over expected ratio) below which a block without sentences, or any block, is spam.
@@ -198,7 +200,7 @@ def score_spam(documents: DataFrame) -> DataFrame:
             got = [spam_share(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "spam_share": [x[0] for x in got], "spam_kind": [x[1] for x in got]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, spam_share double, spam_kind string")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id bigint, spam_share double, spam_kind string")
 
 
 def spam_documents(documents: DataFrame, share: float = SHARE) -> DataFrame:
