@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 SYMBOL = "struct<fqn:string,name:string,kind:string,line_start:int,line_end:int,signature:string,docstring:string,is_exported:boolean,parent_fqn:string>"
 IMPORT = "struct<local_name:string,module:string,imported_symbol:string,is_relative:boolean,level:int,line:int>"
 REFERENCE = "struct<kind:string,target_name:string,from_fqn:string,line:int,receiver:string,receiver_type:string>"
@@ -224,4 +226,4 @@ def parse_files(files: DataFrame) -> DataFrame:
                     rows.append((f, p, got[0], *([dict(zip(n, x)) for x in part] for n, part in zip(names, got[1:]))))
             yield pd.DataFrame(rows, columns=["file_id", "path", "module_fqn", "symbols", "imports", "refs"])
 
-    return files.select("file_id", "path", "content").mapInPandas(run, SCHEMA)
+    return spread(files.select("file_id", "path", "content")).mapInPandas(run, SCHEMA)

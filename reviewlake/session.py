@@ -48,3 +48,12 @@ def cut(df):
     """The same rows with a short lineage, written to the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """For work that is heavy per byte: the same rows over all cores if the input comes in fewer partitions than those.
+
+    An input of so few partitions is small, so the shuffle is; a large one has partitions enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
