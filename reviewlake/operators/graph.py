@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import cut
 
 # How a neighbour is described, by the edge's kind, seen from its target and from its source.
 OUTBOUND = {"calls": "called by", "inherits": "base class of", "tests": "under test by", "references": "referenced by", "defines": "defined in", "imports": "imported by"}
@@ -35,7 +36,8 @@ def expand(anchors: DataFrame, edges: DataFrame, depth: int = 2, per_level: int
     """
     if depth < 1 or per_level < 1:
         raise ValueError("depth and per_level must be positive")
-    resolved = edges.filter("dst_fqn is not null")
+    # read once for every level and direction
+    resolved = cut(edges.filter("dst_fqn is not null").select("repository_id", "src_fqn", "dst_fqn", "kind", "confidence", "edge_id"))
     steps = resolved.select("repository_id", F.col("src_fqn").alias("at"), F.col("dst_fqn").alias("fqn"), "kind", "confidence", "edge_id", F.lit(False).alias("inbound")).unionByName(
         resolved.select("repository_id", F.col("dst_fqn").alias("at"), F.col("src_fqn").alias("fqn"), "kind", "confidence", "edge_id", F.lit(True).alias("inbound")))
     seen = anchors.select("request_id", "repository_id", "fqn").distinct()

@@ -52,17 +52,17 @@ def enforce_budget(items: DataFrame, budget: int) -> DataFrame:
     """
     if budget < 1:
         raise ValueError("budget must be positive")
-    key = F.struct((F.col("provenance") != "anchor").alias("later"), (-F.col("score")).alias("lack"), F.col("path").alias("path"), F.col("line_start").alias("line"), F.col("content_hash").alias("hash"), F.col("token_count").cast("bigint").alias("t"))
+    row = items.select(F.struct(*items.columns).alias("r")).schema["r"].dataType.simpleString()
+    key = F.struct((F.col("provenance") != "anchor").alias("later"), (-F.col("score")).alias("lack"), F.col("path").alias("path"), F.col("line_start").alias("line"), F.col("content_hash").alias("hash"), F.col("token_count").cast("bigint").alias("t"), F.struct(*items.columns).alias("row"))
     g = items.groupBy("request_id").agg(F.array_sort(F.collect_list(key)).alias("all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.expr("cast(array() as array<struct<hash:string,path:string,line:int,position:int>>)").alias("kept"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"), F.array().cast(f"array<struct<row:{row},position:int>>").alias("out"))
 
     def step(acc, x):
         fits = ~x["later"] | (acc["used"] + x["t"] <= budget)
-        mine = F.struct(x["hash"].alias("hash"), x["path"].alias("path"), x["line"].cast("int").alias("line"), (F.size(acc["kept"]) + 1).alias("position"))
-        return F.struct((acc["used"] + F.when(fits, x["t"]).otherwise(0)).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(mine))).otherwise(acc["kept"]).alias("kept"))
+        mine = F.struct(x["row"].alias("row"), F.when(fits, acc["n"] + 1).alias("position"))
+        return F.struct((acc["used"] + F.when(fits, x["t"]).otherwise(0)).alias("used"), (acc["n"] + F.when(fits, 1).otherwise(0)).alias("n"), F.concat(acc["out"], F.array(mine)).alias("out"))
 
-    kept = g.select("request_id", F.explode(F.aggregate("all", start, step)["kept"]).alias("k")).select("request_id", F.col("k.hash").alias("content_hash"), F.col("k.path").alias("path"), F.col("k.line").alias("line_start"), F.col("k.position").alias("position"))
-    return items.join(kept, ["request_id", "content_hash", "path", "line_start"], "left")
+    return g.select(F.explode(F.aggregate("all", start, step)["out"]).alias("o")).select("o.row.*", "o.position")
 
 
 def pack_stats(packed: DataFrame, budget: int) -> DataFrame:
