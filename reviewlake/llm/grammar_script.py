@@ -268,9 +268,6 @@ def parser(kind: str):
     return run
 
 
-_GAP = re.compile(r"(?:[^\S\n\r]|/\*(?:(?!\*/).)*?\*/)*\Z", re.S)
-
-
 def line_break_before(s: str, p: int) -> bool:
     """True if the trivia that ends at ``p`` holds a line break."""
     q = p

@@ -150,6 +150,8 @@ def origin(path: str | None, content: str | None, valid=lambda path, content: Tr
     said = notices(path, content)
     if GENERATED_NOTICE.search(said) and not HAND_NOTICE.search(said):
         return "generated"
+    if is_json(content):
+        return "data"
     m = measure(path, content)
     script = grammar_of(path) not in (None, "python")
     if script and m["tokens"] >= 40 and (m["expansion"] >= 4 or m["mean_width"] > 160 and m["space_share"] < 0.06 and m["literal_share"] < 0.5):
@@ -160,7 +162,7 @@ def origin(path: str | None, content: str | None, valid=lambda path, content: Tr
         return "minified"
     if COPY_NOTICE.search(said) and not HAND_NOTICE.search(said):
         return "vendored"
-    if is_json(content) or is_table(content) or m["literals"] >= 12 and m["literal_share"] >= 0.6:
+    if is_table(content) or m["literals"] >= 12 and m["literal_share"] >= 0.6:
         return "data"
     if m["dense_share"] >= 0.8 and m["max_width"] >= 200:
         return "data"

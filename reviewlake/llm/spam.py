@@ -131,6 +131,12 @@ def _spam(block: str) -> str | None:
     short = sum(len(x.split()) <= 4 for x in items)
     if len(items) >= 12 and short >= 0.9 * len(items) and len(set(items)) <= 0.7 * len(items) and density < 0.02 and sum(bool(re.search(r"[{}();=]", x)) for x in lines) < 0.3 * len(lines):
         return "keywords"
+    if density >= 0.02:
+        # Prose that is quoted twice is not spam: a sentence counts once, unless a few are all there is.
+        sentences = re.split(r"(?<=[.!?])\s+", text.strip())
+        once = list(dict.fromkeys(sentences))
+        if len(once) < len(sentences) < 5 * len(once):
+            words = _WORD.findall(" ".join(once))
     r = redundancy(_plain(words))
     if r < ANY_BELOW:
         return "repetition"
