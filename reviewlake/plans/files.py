@@ -33,9 +33,14 @@ def filter_path_phase1(spark, d):
     return R.files(spark, d).select("file_id", filters.path_exclusion("path", "size_bytes").alias("exclusion"))
 
 
+def _decided(spark, d):
+    """Decisions of all rows, repeated rows once: texts are judged where they are read, ids and verdicts are shuffled."""
+    return filters.decide(table(spark, d, "source_files")).select("file_id", "exclusion", "included").distinct()
+
+
 @query(f"with {R.FILES} select file_id, {PHASE2_SQL} as exclusion, {PHASE2_SQL} = 'none' as included from src")
 def filter_content_phase2(spark, d):
-    return filters.decide(R.files(spark, d)).select("file_id", "exclusion", "included")
+    return _decided(spark, d).select("file_id", "exclusion", "included")
 
 
 @query(f"with {R.FILES} select file_id, {TEST_SQL} as in_test from src")
@@ -45,7 +50,7 @@ def filter_is_test(spark, d):
 
 @query(f"with {R.FILES} select {PHASE2_SQL} as exclusion, count(*) as files from src group by 1")
 def filter_exclusion_counts(spark, d):
-    return filters.exclusion_counts(filters.decide(R.files(spark, d)))
+    return filters.exclusion_counts(_decided(spark, d))
 
 
 IGNORE = ["*.d.ts", "lib/**/data/", "/app/generators/", "!keep_*.ts", "# a remark", "venv/", "*_tables.py"]
@@ -88,7 +93,7 @@ def content_hash(spark, d):
 @query(f"with {R.FILES}, l as (select file_id, regexp_split_to_array(coalesce(content, ''), '\\r\\n|[\\n\\r\\v\\f\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') a from src) select file_id, (case when a[-1] = '' then len(a) - 1 else len(a) end)::int as lines, list_max(list_transform(a, lambda x: length(x)))::int as widest from l")
 def line_stats(spark, d):
     lines = S.split_lines(F.coalesce("content", F.lit("")))
-    return R.files(spark, d).select("file_id", F.size(lines).alias("lines"), F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(0)).alias("widest"))
+    return table(spark, d, "source_files").select("file_id", F.size(lines).alias("lines"), F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(0)).alias("widest")).distinct()
 
 
 CHUNK_SQL = f"""with {R.SYMBOLS},
