@@ -59,5 +59,25 @@ def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit()}
 
 
+#: The rule of problem 4 with running sums of line and word lengths, one recursion step a piece.
+P4_SQL = r"""
+with recursive c as (select distinct chunk_id, coalesce(line_start, 1) line_start, content, length(content) n from chunks where chunk_id is not null and length(content) > 1600),
+ln as (select chunk_id, unnest(a) x, generate_subscripts(a, 1) i, len(a) k from (select chunk_id, string_split(content, chr(10)) a from c)),
+le as (select chunk_id, i, k, sum(length(x) + 1) over (partition by chunk_id order by i) e, trim(x, ' ' || chr(9) || chr(13)) = '' blank from ln),
+l as (select chunk_id, coalesce(list(e order by e) filter (where i < k), []) ends, coalesce(list(e order by e) filter (where i < k and blank), []) blanks from le group by chunk_id),
+wd as (select chunk_id, unnest(a) x, generate_subscripts(a, 1) i, len(a) k from (select chunk_id, regexp_split_to_array(content, '[ \t]') a from c)),
+we as (select chunk_id, i, k, sum(length(x) + 1) over (partition by chunk_id order by i) e from wd),
+w as (select chunk_id, coalesce(list(e order by e) filter (where i < k), []) ends from we group by chunk_id),
+b as (select c.chunk_id, c.line_start, c.n, l.ends, l.blanks, w.ends spaces from c join l using (chunk_id) join w using (chunk_id)),
+p as (
+  select chunk_id, 0::bigint piece_no, 0::bigint s, 120::bigint e, false done from b
+  union all
+  select chunk_id, piece_no + 1, s2, case when n - s2 <= 1600 then n else coalesce(list_filter(blanks, lambda x: x > s2 + 800 and x <= s2 + 1600)[-1], list_filter(ends, lambda x: x > s2 + 800 and x <= s2 + 1600)[-1], list_filter(spaces, lambda x: x > s2 + 800 and x <= s2 + 1600)[-1], s2 + 1600) end, n - s2 <= 1600
+  from (select b.*, p.piece_no, p.e - 120 s2 from p join b using (chunk_id) where not p.done))
+select p.chunk_id, piece_no, (b.line_start + len(list_filter(ends, lambda x: x <= s)))::bigint as line_start, (b.line_start + len(list_filter(ends, lambda x: x <= e - 1)))::bigint as line_end, s::bigint as char_start, e::bigint as char_end
+from p join b using (chunk_id) where piece_no > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_SQL}
