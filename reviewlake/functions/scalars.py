@@ -16,6 +16,8 @@ EDGE_WEIGHTS = {"calls": 1.0, "inherits": 1.0, "tests": 0.9, "references": 0.7,
 OTHER_WEIGHT = 0.5
 # Shares of graph, semantic and co-change scores in a fused score.
 FUSION = (0.6, 0.3, 0.1)
+# Fixed value: what stands in place of a closing fence.
+REDACTED = "[redacted-fence]"
 # Severities from least to greatest.
 SEVERITIES = ["info", "low", "medium", "high", "critical"]
 
@@ -153,7 +155,7 @@ def embedding_tokens(text: C) -> Column:
 
 def neutralise_fences(text: C, tags: tuple[str, ...] = ("untrusted-diff", "untrusted-context")) -> Column:
     """Closing tags of the named fences made harmless, in any case."""
-    return F.regexp_replace(col(text), f"(?i)</\\s*({'|'.join(tags)})\\s*>", "[redacted-fence]")
+    return F.regexp_replace(col(text), f"(?i)</\\s*({'|'.join(tags)})\\s*>", REDACTED)
 
 
 def path_is_safe(path: C) -> Column:

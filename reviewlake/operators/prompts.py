@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import col, neutralise_fences
 
-LABELS = {"anchor": "CHANGED CODE", "graph": "RELATED VIA SYMBOL GRAPH", "semantic": "SIMILAR CODE"}
+LABELS = {"anchor": "changed", "graph": "linked", "semantic": "alike"}
 
 
 def fence(tag: str, content: Column | str) -> Column:
@@ -21,16 +21,16 @@ def pack_text(packed: DataFrame) -> DataFrame:
     ``packed``: request_id, position, provenance, path, line_start, line_end, fqn, reason, content.
     """
     label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[F.col("provenance")]
-    head = F.concat(F.lit("["), label, F.lit("] "), "path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"), F.coalesce(F.concat(F.lit(" — "), "fqn"), F.lit("")), F.lit("\nwhy: "), F.coalesce("reason", F.lit("")))
+    head = F.concat(F.lit("["), label, F.lit("] "), "path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"), F.coalesce(F.concat(F.lit(" — "), "fqn"), F.lit("")), F.lit("\nfound because it "), F.coalesce("reason", F.lit("")))
     block = F.when(F.col("position").isNotNull(), F.struct("position", F.concat(head, F.lit("\n"), F.coalesce("content", F.lit(""))).alias("text")))
     g = packed.groupBy("request_id").agg(F.array_sort(F.collect_list(block)).alias("b"))
     joined = F.array_join(F.transform("b", lambda x: x["text"]), "\n\n---\n\n")
-    return g.select("request_id", fence("untrusted-context", F.when(F.size("b") == 0, F.lit("(no context retrieved)")).otherwise(joined)).alias("context"))
+    return g.select("request_id", fence("untrusted-context", F.when(F.size("b") == 0, F.lit("(nothing was found)")).otherwise(joined)).alias("context"))
 
 
 def review_prompt(path: Column | str, symbol: Column | str, changed_lines: Column | str, diff: Column | str, context: Column | str, task: str) -> Column:
     """The user's turn: what changed and where, then the fenced change, its context and the task."""
-    where = F.when(col(symbol).isNotNull(), F.concat(F.lit("the symbol `"), col(symbol), F.lit("`"))).otherwise(F.concat(F.lit("module-level code in `"), col(path), F.lit("`")))
+    where = F.when(col(symbol).isNotNull(), F.concat(F.lit("the symbol `"), col(symbol), F.lit("`"))).otherwise(F.concat(F.lit("the top level of `"), col(path), F.lit("`")))
     lines = F.when(F.size(col(changed_lines)) > 0, F.array_join(F.transform(F.array_sort(col(changed_lines)), lambda x: x.cast("string")), ", ")).otherwise(F.lit("none"))
-    text = F.when(F.trim(F.coalesce(col(diff), F.lit(""))) == "", F.lit("(no textual diff)")).otherwise(F.trim(col(diff)))
-    return F.concat_ws("\n\n", F.concat(F.lit("Review the change to "), where, F.lit(" in `"), col(path), F.lit("`.")), F.concat(F.lit("Changed lines: "), lines, F.lit(".")), F.lit("## Change"), fence("untrusted-diff", text), F.lit("## Context"), col(context), F.lit("## Task"), F.lit(task))
+    text = F.when(F.trim(F.coalesce(col(diff), F.lit(""))) == "", F.lit("(a change without text)")).otherwise(F.trim(col(diff)))
+    return F.concat_ws("\n\n", F.concat(F.lit("Judge what changed in "), where, F.lit(" in `"), col(path), F.lit("`.")), F.concat(F.lit("Changed lines: "), lines, F.lit(".")), F.lit("## Change"), fence("untrusted-diff", text), F.lit("## Context"), col(context), F.lit("## Task"), F.lit(task))

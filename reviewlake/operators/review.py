@@ -16,6 +16,7 @@ from ..functions import scalars as S
 VAGUE = ["could be improved", "consider refactoring", "might be better", "should be reviewed", "potential issue", "code smell detected"]
 # Backticked words that belong to a language and are no claim about a repository.
 UNIVERSAL = "none true false null undefined self this super int str float bool bytes list dict set tuple object type len range print open map filter number string boolean array promise record partial any unknown void never await async return if else for while try except catch finally raise throw import export class def function const let var new delete typeof instanceof in is not and or assert yield lambda pass continue break todo fixme note warning error exception valueerror typeerror keyerror indexerror runtimeerror nameerror attributeerror notimplementederror zerodivisionerror".split()
+# Fixed value: what a backticked word must look like to be a claim about a symbol.
 _SYMBOL = r"^[A-Za-z_$][A-Za-z0-9_$]*((\.|::)[A-Za-z_$][A-Za-z0-9_$]*)*(\(\))?$"
 
 

@@ -23,7 +23,7 @@ def test_deterministic_source_wins_a_tie(spark):
 
 
 def test_different_bugs_with_like_titles_stay(spark):
-    rows = [("a", 1, 2, "high", "llm", "Missing null check on user lookup", 0.9), ("b", 1, 2, "high", "llm", "Missing bounds check on index lookup", 0.9)]
+    rows = [("a", 1, 2, "high", "llm", "Reads the wrong column of orders", 0.9), ("b", 1, 2, "high", "llm", "Reads the wrong row of invoices", 0.9)]
     assert all(r.duplicate_of is None for r in V.merge_duplicates(findings(spark, rows), ["path"]).collect())
 
 
