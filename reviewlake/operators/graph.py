@@ -40,7 +40,7 @@ def expand(anchors: DataFrame, edges: DataFrame, depth: int = 2, per_level: int
     resolved = cut(edges.filter("dst_fqn is not null").select("repository_id", "src_fqn", "dst_fqn", "kind", "confidence", "edge_id"))
     steps = resolved.select("repository_id", F.col("src_fqn").alias("at"), F.col("dst_fqn").alias("fqn"), "kind", "confidence", "edge_id", F.lit(False).alias("inbound")).unionByName(
         resolved.select("repository_id", F.col("dst_fqn").alias("at"), F.col("src_fqn").alias("fqn"), "kind", "confidence", "edge_id", F.lit(True).alias("inbound")))
-    seen = anchors.select("request_id", "repository_id", "fqn").distinct()
+    seen = cut(anchors.select("request_id", "repository_id", "fqn").distinct())
     frontier, kept = seen, None
     for level in range(1, depth + 1):
         hops = frontier.withColumnRenamed("fqn", "at").join(steps, ["repository_id", "at"]).join(seen, ["request_id", "repository_id", "fqn"], "left_anti")
@@ -106,7 +106,8 @@ def members(symbols: DataFrame, bases: DataFrame, depth: int = 5, scope: Sequenc
 
     ``bases``: scope, owner, base, ordinal.  Climbing is bounded by ``depth``, which also ends cycles.
     """
-    own = symbols.filter("parent_fqn is not null").groupBy(*scope, F.col("parent_fqn").alias("owner"), "name").agg(F.max_by("fqn", "symbol_id").alias("dst_fqn"))
+    own = cut(symbols.filter("parent_fqn is not null").groupBy(*scope, F.col("parent_fqn").alias("owner"), "name").agg(F.max_by("fqn", "symbol_id").alias("dst_fqn")))
+    bases = cut(bases.select(*scope, "owner", "base", "ordinal"))
     out = own.select(*scope, "owner", "name", "dst_fqn", F.lit(0).alias("depth"), F.lit("").alias("way"))
     climb = bases.select(*scope, "owner", F.col("base").alias("at"), F.lpad(F.col("ordinal").cast("string"), 6, "0").alias("way"))
     step = bases.select(*scope, F.col("owner").alias("at"), F.col("base").alias("next"), F.lpad(F.col("ordinal").cast("string"), 6, "0").alias("turn"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import retrieval, store
+from ..session import cut
 from ..sources.tables import table
 from . import relations as R
 from .registry import query
@@ -24,9 +25,9 @@ def spans(spark, d):
 SPANS = R.CHUNKS + ", spn as (select repository_id request_id, repository_id, path, line_start span_start, line_end span_end from chk)"
 
 
-def anchors(spark, d):
+def anchors(spark, d, s=None):
     """Per request (a file) its classes."""
-    return R.symbols(spark, d).filter("kind = 'class'").select(F.col("file_id").alias("request_id"), "repository_id", "fqn")
+    return (R.symbols(spark, d) if s is None else s).filter("kind = 'class'").select(F.col("file_id").alias("request_id"), "repository_id", "fqn")
 
 
 ANCHORS = R.EDGES + ", anc as (select distinct file_id request_id, repository_id, fqn from sym where kind = 'class')"
@@ -48,7 +49,8 @@ nei as (select request_id, repository_id, fqn, distance, least(1.0::double, raw)
 
 @query(f"with {NEIGHBOURS} select request_id, fqn, distance, round(proximity, 6) as proximity, kind, via_fqn, inbound, reason from nei")
 def graph_expand(spark, d):
-    n = G.expand(anchors(spark, d), R.edges(spark, d))
+    s = cut(R.symbols(spark, d))
+    n = G.expand(anchors(spark, d, s), R.edges(spark, d, s))
     return n.select("request_id", "fqn", "distance", F.round("proximity", 6).alias("proximity"), "kind", "via_fqn", "inbound", "reason")
 
 
@@ -67,7 +69,8 @@ def hunk_groups(spark, d):
 
 @query(f"with {ANCHORS} select edge_id, kind, src_fqn, dst_fqn from edg e where exists (select 1 from anc a where a.repository_id = e.repository_id and a.fqn in (e.src_fqn, e.dst_fqn))")
 def edges_touching(spark, d):
-    return G.edges_touching(R.edges(spark, d), anchors(spark, d)).select("edge_id", "kind", "src_fqn", "dst_fqn")
+    s = cut(R.symbols(spark, d))
+    return G.edges_touching(R.edges(spark, d, s), anchors(spark, d, s)).select("edge_id", "kind", "src_fqn", "dst_fqn")
 
 
 @query(f"with {R.SYMBOLS}, req as (select file_id request_id, list(distinct fqn order by fqn) keys from sym group by file_id), ask as (select request_id, unnest(keys) fqn, generate_subscripts(keys, 1) - 1 pos from req) select a.request_id, a.pos::int as pos, y.symbol_id, y.line_start from ask a join sym y on y.fqn = a.fqn")
@@ -92,13 +95,12 @@ def symbol_table(spark, d):
     return G.symbol_table(R.symbols(spark, d)).select("repository_id", "fqn", "symbol_id", "kind", "name", "definitions")
 
 
-def references(spark, d):
+def references(spark, d, s):
     """A reference per symbol: to the name three symbols on in its repository, through self for every other method."""
-    s = R.symbols(spark, d)
     w = Window.partitionBy("repository_id").orderBy("symbol_id")
     name = F.coalesce(F.lead("name", 3).over(w), F.concat(F.lit("unknown_"), F.col("symbol_id").cast("string")))
     recv = F.when((F.col("kind") == "method") & (F.col("symbol_id") % 2 == 0), "self").when((F.col("kind") == "method") & (F.col("symbol_id") % 3 == 0), "self.store").when(F.col("symbol_id") % 5 == 0, "client")
-    return s.select("repository_id", F.col("symbol_id").alias("ref_id"), F.col("path").alias("module"), F.when(F.col("kind") == "method", F.col("parent_fqn")).alias("owner"), recv.alias("receiver"), name.alias("target_name"), F.col("language_of").alias("language") if "language_of" in s.columns else S.language_of("path").alias("language"))
+    return s.select("repository_id", F.col("symbol_id").alias("ref_id"), F.col("path").alias("module"), F.when(F.col("kind") == "method", F.col("parent_fqn")).alias("owner"), recv.alias("receiver"), name.alias("target_name"), S.language_of("path").alias("language"))
 
 
 REFS = R.SYMBOLS + """, ref as (select repository_id, symbol_id ref_id, path module, case when kind = 'method' then parent_fqn end as owner,
@@ -107,9 +109,9 @@ REFS = R.SYMBOLS + """, ref as (select repository_id, symbol_id ref_id, path mod
   case when ends_with(lower(path), '.py') or ends_with(lower(path), '.pyi') then 'python' else 'typescript' end as lang from sym)"""
 
 
-def bases(spark, d):
+def bases(spark, d, s):
     """A class is taken to extend the next class of its repository."""
-    c = R.symbols(spark, d).filter("kind = 'class'").select("repository_id", "fqn", "symbol_id")
+    c = s.filter("kind = 'class'").select("repository_id", "fqn", "symbol_id")
     nxt = F.lead("fqn").over(Window.partitionBy("repository_id").orderBy("symbol_id"))
     return c.select("repository_id", F.col("fqn").alias("owner"), nxt.alias("base"), F.lit(1).alias("ordinal")).filter("base is not null and base <> owner").dropDuplicates(["repository_id", "owner", "base"])
 
@@ -123,7 +125,8 @@ mem as (select repository_id, owner, name, min((lv, dst)) k from cand group by a
 
 @query(f"with {R.SYMBOLS}, {MEMBERS} select repository_id, owner as owner_fqn, name, struct_extract_at(k, 2) as dst_fqn, struct_extract_at(k, 1) as depth from mem")
 def resolve_members(spark, d):
-    m = G.members(R.symbols(spark, d), bases(spark, d))
+    s = cut(R.symbols(spark, d))
+    m = G.members(s, bases(spark, d, s))
     return m.select("repository_id", F.col("owner").alias("owner_fqn"), "name", "dst_fqn", "depth")
 
 
@@ -136,8 +139,9 @@ HEUR = """heu as (select r.*, coalesce(c.n, 0) n, c.dst from ref r left join lat
 @query(f"with {REFS}, {HEUR} select ref_id, case when n > 0 then dst end as dst_fqn, case when n = 0 then target_name end as dst_unresolved_name, (case when n = 0 then 0.3 when n = 1 then 0.8 else 0.5 end)::double as confidence from heu")
 def resolve_heuristic(spark, d):
     hidden = F.when(F.col("receiver").startswith("self."), F.col("owner"))
-    r = references(spark, d).withColumns({"prefer_methods": F.col("receiver").isNotNull(), "exclude_owner": hidden})
-    return G.heuristic(r, R.symbols(spark, d)).select("ref_id", "dst_fqn", "dst_unresolved_name", "confidence")
+    s = cut(R.symbols(spark, d))
+    r = references(spark, d, s).withColumns({"prefer_methods": F.col("receiver").isNotNull(), "exclude_owner": hidden})
+    return G.heuristic(r, s).select("ref_id", "dst_fqn", "dst_unresolved_name", "confidence")
 
 
 RESOLVED = REFS + ", " + HEUR + ", " + MEMBERS + """, tops as (select repository_id, path module, name, arg_max(fqn, symbol_id) dst from sym where parent_fqn is null group by all),
@@ -150,8 +154,8 @@ res as (select h.ref_id, h.repository_id, h.lang,
 
 
 def _resolved(spark, d):
-    s = R.symbols(spark, d).withColumn("module", F.col("path"))
-    return G.resolve(references(spark, d), s, bases(spark, d))
+    s = cut(R.symbols(spark, d))
+    return G.resolve(references(spark, d, s), s.withColumn("module", F.col("path")), bases(spark, d, s))
 
 
 @query(f"with {RESOLVED} select ref_id, dst_fqn, dst_unresolved_name, confidence, rule from res")
@@ -185,16 +189,17 @@ def resolve_imports(spark, d):
 @query(f"with recursive {R.SNAPSHOTS}, w as (select snapshot_id as origin, snapshot_id as at, 0 as steps from snp union all select w.origin, s.parent_snapshot_id, w.steps + 1 from w join snp s on s.snapshot_id = w.at where s.status <> 'ready' and s.parent_snapshot_id is not null and w.steps < 5) select w.origin, w.at as stands_on, w.steps from w join snp s on s.snapshot_id = w.at where s.status = 'ready'")
 def resolve_reexport(spark, d):
     """The bounded chase of re-exports, run over parent links: the nearest ready snapshot within five steps."""
-    s = R.snapshots(spark, d)
+    s = cut(R.snapshots(spark, d).select("snapshot_id", "parent_snapshot_id", "status"))
     got = G.follow(s.select(F.col("snapshot_id").alias("start")), s.filter("parent_snapshot_id is not null").select(F.col("snapshot_id").alias("at"), F.col("parent_snapshot_id").alias("next")), s.filter("status = 'ready'").select(F.col("snapshot_id").alias("at")))
     return got.select(F.col("start").alias("origin"), F.col("at").alias("stands_on"), "steps")
 
 
 def candidates(spark, d):
     """Anchors and graph neighbours of every request, with the chunk of their symbol."""
-    one = R.symbols(spark, d).groupBy("repository_id", "fqn").agg(F.min(F.struct("symbol_id", "path", "line_start", "line_end")).alias("s")).select("repository_id", "fqn", "s.path", "s.line_start", (F.greatest(F.lit(1), F.col("s.line_end") - F.col("s.line_start") + 1) * 6).alias("token_count"), F.sha2(F.concat_ws("|", "repository_id", "fqn"), 256).alias("content_hash"))
-    a = anchors(spark, d).distinct().select("request_id", "repository_id", "fqn", F.lit("anchor").alias("provenance"), F.lit(1.0).alias("proximity"), F.lit(0.0).alias("similarity"))
-    g = G.expand(anchors(spark, d), R.edges(spark, d)).select("request_id", "repository_id", "fqn", F.lit("graph").alias("provenance"), "proximity", F.lit(0.0).alias("similarity"))
+    s = cut(R.symbols(spark, d))
+    one = s.groupBy("repository_id", "fqn").agg(F.min(F.struct("symbol_id", "path", "line_start", "line_end")).alias("s")).select("repository_id", "fqn", "s.path", "s.line_start", (F.greatest(F.lit(1), F.col("s.line_end") - F.col("s.line_start") + 1) * 6).alias("token_count"), F.sha2(F.concat_ws("|", "repository_id", "fqn"), 256).alias("content_hash"))
+    a = anchors(spark, d, s).distinct().select("request_id", "repository_id", "fqn", F.lit("anchor").alias("provenance"), F.lit(1.0).alias("proximity"), F.lit(0.0).alias("similarity"))
+    g = G.expand(anchors(spark, d, s), R.edges(spark, d, s)).select("request_id", "repository_id", "fqn", F.lit("graph").alias("provenance"), "proximity", F.lit(0.0).alias("similarity"))
     return retrieval.fused(a.unionByName(g).join(one, ["repository_id", "fqn"]))
 
 

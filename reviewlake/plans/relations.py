@@ -28,9 +28,9 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 SYMBOLS = FILES + ", sym as (select y.*, src.path from (select * from (select *, row_number() over (partition by symbol_id order by file_id) rn from symbols) where rn = 1) y join (select file_id, path from src) src using (file_id))"
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+def edges(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
     """Members point at their parent (defines); every symbol calls the next one of its file, the last an unknown name."""
-    s = symbols(spark, d)
+    s = symbols(spark, d) if s is None else s
     nxt = F.lead("fqn").over(Window.partitionBy("file_id").orderBy("line_start", "symbol_id"))
     calls = s.select((F.col("symbol_id") * 2).alias("edge_id"), F.lit("calls").alias("kind"), F.col("repository_id"), F.col("file_id"), F.col("fqn").alias("src_fqn"), nxt.alias("dst_fqn"), "name")
     calls = calls.select("edge_id", "kind", "repository_id", "file_id", "src_fqn", "dst_fqn", F.when(F.col("dst_fqn").isNull(), F.concat(F.lit("ext_"), "name")).alias("dst_unresolved_name"), F.when(F.col("dst_fqn").isNull(), 0.3).otherwise(0.8).alias("confidence"))

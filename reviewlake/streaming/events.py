@@ -51,8 +51,8 @@ def index_incrementally(listings: DataFrame, state: str, out: str, checkpoint: s
 def stuck(events: DataFrame, key: str, final: list[str], after: str) -> DataFrame:
     """Keys whose last event is not final and lies more than ``after`` before the newest event of all."""
     last = events.groupBy(key).agg(F.max(F.struct("ts", "event_id", "event_type")).alias("l")).select(key, F.col("l.ts").alias("last_at"), F.col("l.event_type").alias("last_type"))
-    newest = events.agg(F.max("ts").alias("newest"))
-    return last.join(F.broadcast(newest)).filter(~F.col("last_type").isin(final) & (F.col("last_at") < F.expr(f"newest - interval {after}"))).drop("newest")
+    newest = events.agg(F.max("ts").alias("n")).first()["n"]
+    return last.filter(~F.col("last_type").isin(final) & (F.col("last_at") < F.lit(newest) - F.expr(f"interval {after}")))
 
 
 def stream_of(spark: SparkSession, directory: str, name: str, per_trigger: int = 1) -> DataFrame:
