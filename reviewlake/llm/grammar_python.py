@@ -21,12 +21,12 @@ assert max(CODE.values()) <= "~"
 _DIG = r"\d(?:_?\d)*"
 _PREFIX = r"(?i:[rub]|br|rb|f|fr|rf)?"
 _TOKEN = re.compile(
-    rf"""(?P<skip>[ \t\f]+|\\\r?\n|\#[^\r\n]*)
-    |(?P<nl>\r\n|\n|\r)
-    |(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:{_DIG})?\.{_DIG}(?:[eE][+-]?{_DIG})?[jJ]?|{_DIG}\.?(?:[eE][+-]?{_DIG})[jJ]?|{_DIG}\.[jJ]?|{_DIG}[jJ]|[1-9](?:_?\d)*|0(?:_?0)*)(?!\w))
-    |(?P<str>{_PREFIX}(?:\"\"\"|'''|\"|'))
+    rf"""[ \t\f]*(?:(?P<str>{_PREFIX}(?:\"\"\"|'''|\"|'))
     |(?P<name>[^\W\d]\w*)
-    |(?P<op>{"|".join(re.escape(o) for o in sorted(OPERATORS, key=len, reverse=True))})""",
+    |(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:{_DIG})?\.{_DIG}(?:[eE][+-]?{_DIG})?[jJ]?|{_DIG}\.?(?:[eE][+-]?{_DIG})[jJ]?|{_DIG}\.[jJ]?|{_DIG}[jJ]|[1-9](?:_?\d)*|0(?:_?0)*)(?!\w))
+    |(?P<op>{"|".join(re.escape(o) for o in sorted(OPERATORS, key=len, reverse=True))})
+    |(?P<nl>\r\n|\n|\r)
+    |(?P<skip>\\\r?\n|\#[^\r\n]*|\Z))""",
     re.X,
 )
 _BODY = {q: re.compile(rf"(?:[^\\{q}\r\n]|\\(?:\r\n|(?s:.)))*{q}") for q in "\"'"} | {q * 3: re.compile(rf"(?s:(?:[^\\{q}]|\\.|{q}(?!{q}{q}))*){q * 3}") for q in "\"'"}
@@ -35,6 +35,9 @@ _BLANK = re.compile(r"[ \t\f]*(?:\#[^\r\n]*)?(?:\r\n|\n|\r|\Z)")
 _OPEN, _CLOSE = "([{", {")": "(", "]": "[", "}": "{"}
 
 
+_WORDS = {t: CODE[t] for t in [*KEYWORDS, *SOFT]}
+
+
 class LexError(Exception):
     def __init__(self, at: int, why: str):
         super().__init__(why)
@@ -93,25 +96,31 @@ def _field(s: str, at: int, quote: str, raw: bool) -> int:
         if m.lastgroup == "str":
             at = _string(s, m)
             continue
+        if m.end() == at:
+            break
         if m.lastgroup == "op":
-            if m[0] in _OPEN:
-                depth.append(m[0])
-            elif m[0] in _CLOSE:
-                if not depth or depth.pop() != _CLOSE[m[0]]:
+            op = m["op"]
+            if m.start("op") > at:  # what ends a field is looked at anew
+                at = m.start("op")
+                continue
+            if op in _OPEN:
+                depth.append(op)
+            elif op in _CLOSE:
+                if not depth or depth.pop() != _CLOSE[op]:
                     raise LexError(at, "unbalanced bracket in f-string")
         at = m.end()
     raise LexError(at, "unterminated f-string field")
 
 
 def _string(s: str, m: re.Match) -> int:
-    text = m[0]
+    text = m["str"]
     quote = text.lstrip("rRuUbBfF")
     prefix = text[: len(text) - len(quote)].lower()
     if "f" in prefix:
         return _fstring(s, m.end(), quote, "r" in prefix)
     body = _BODY[quote].match(s, m.end())
     if not body:
-        raise LexError(m.start(), "unterminated string")
+        raise LexError(m.start("str"), "unterminated string")
     return body.end()
 
 
@@ -120,6 +129,7 @@ def tokens_of(s: str) -> tuple[str, list[int]]:
     at = 1 if s.startswith("﻿") else 0
     codes, places, stack, indents = [], [], [], [(0, 0)]
     n, bol = len(s), True
+    match, words, name_code = _TOKEN.match, _WORDS, CODE["NAME"]
 
     def put(code: str, where: int) -> None:
         codes.append(CODE[code])
@@ -153,30 +163,32 @@ def tokens_of(s: str) -> tuple[str, list[int]]:
                 if col != indents[-1][0]:
                     raise LexError(at, "unindent matches no outer level")
         bol = False
-        m = _TOKEN.match(s, at)
+        m = match(s, at)
         if not m:
             raise LexError(at, "invalid character or number")
-        kind, text = m.lastgroup, m[0]
-        if kind == "nl":
+        kind = m.lastgroup
+        if kind == "name":
+            codes.append(words.get(m[kind], name_code))
+            places.append(m.start(kind))
+        elif kind == "op":
+            text, where = m[kind], m.start(kind)
+            if text in _OPEN:
+                stack.append((text, where))
+            elif text in _CLOSE:
+                if not stack or stack.pop()[0] != _CLOSE[text]:
+                    raise LexError(where, "unbalanced bracket")
+            codes.append(CODE[text])
+            places.append(where)
+        elif kind == "nl":
             if not stack:
-                put("NL", at)
+                put("NL", m.start(kind))
                 bol = True
         elif kind == "num":
-            put("NUM", at)
+            put("NUM", m.start(kind))
         elif kind == "str":
-            end = _string(s, m)
-            put("STR", at)
-            at = end
+            put("STR", m.start(kind))
+            at = _string(s, m)
             continue
-        elif kind == "name":
-            put(text if text in CODE and text not in ("NAME", "NUM", "STR", "NL", "INDENT", "DEDENT") else "NAME", at)
-        elif kind == "op":
-            if text in _OPEN:
-                stack.append((text, at))
-            elif text in _CLOSE:
-                if not stack or stack.pop()[0] != _CLOSE[text]:
-                    raise LexError(at, "unbalanced bracket")
-            put(text, at)
         at = m.end()
     if stack:
         raise LexError(stack[-1][1], "bracket never closed")
@@ -268,7 +280,7 @@ CompFor <- ('async'? 'for' Targets 'in' Disj ('if' Disj)*)+
 def parser(start: str = "File"):
     tokens = {k: Token(re.escape(CODE[k]), CODE[k]) for k in ("NAME", "NUM", "STR", "NL", "INDENT", "DEDENT")}
     tokens["EOF"] = Token(r"(?=\x00)", "\x00")
-    return compile_grammar(GRAMMAR, tokens, start, "", lambda t: re.escape(CODE[t]), None, lambda t: CODE[t])
+    return compile_grammar(GRAMMAR, tokens, start, "", lambda t: re.escape(CODE[t]), None, lambda t: CODE[t], CODE)
 
 
 def parse(source: str) -> tuple[bool, int, str]:

@@ -6,7 +6,7 @@ A grammar is text, one rule a line (continuation lines are indented)::
 
 ``'literal'`` is a keyword or punctuation mark followed by trivia, an upper-case word names an entry of the token
 table, anything else is a rule.  ``compile_grammar`` turns the text into one Python function per rule, with a memo table
-per rule (linear time) and first-character sets that skip alternatives which cannot match.  The parser is a recogniser
+for every rule that several rules call (linear time) and first-character sets that skip alternatives which cannot match.  The parser is a recogniser
 over positions: a rule gives the position behind what it matched, or -1.  ``Hit`` marks -- ``Name@ <- ...`` -- record
 ``(start, end)`` of every match of that rule, which is how callers see functions and classes.
 """
@@ -90,13 +90,14 @@ def _seq(toks: list) -> tuple[tuple, list]:
     return (items[0] if len(items) == 1 else ("seq", items)), toks
 
 
-def compile_grammar(text: str, tokens: dict[str, Token], start: str, trivia: str, literal: Callable[[str], str], tests: dict[str, Callable[[str, int], bool]] | None = None, head: Callable[[str], str] = lambda text: text[0]):
+def compile_grammar(text: str, tokens: dict[str, Token], start: str, trivia: str, literal: Callable[[str], str], tests: dict[str, Callable[[str, int], bool]] | None = None, head: Callable[[str], str] = lambda text: text[0], codes: dict[str, str] | None = None, guarded: bool = True):
     """Returns ``run(source) -> (end, furthest, hits, ok)``.
 
     ``literal(text)`` gives the pattern of a literal without its trivia; ``trivia`` is the pattern skipped behind it.
     ``ok`` is true if the start rule consumed the whole input; ``furthest`` is the furthest position any rule was tried
     at, which is where an invalid input went wrong.  ``tests`` names tokens that match nothing but ask a function.
-    ``head(text)`` is the character a literal starts with in the input.
+    ``head(text)`` is the character a literal starts with in the input.  Where the input is a string of token codes,
+    ``codes`` gives the one character of each literal and token, which is then compared without a pattern.
     """
     raw = _rules(text)
     marked = {n[:-1] for n in raw if n.endswith("@")}
@@ -153,10 +154,20 @@ def compile_grammar(text: str, tokens: dict[str, Token], start: str, trivia: str
         count[0] += 1
         return f"q{count[0]}"
 
+    def starts(node) -> str | None:
+        """A test of ``c`` that holds wherever the node can match; None if it may match anywhere."""
+        f, empty = first(node)
+        if f is None or empty or not guarded:
+            return None
+        name = sets.setdefault(f - {NON_ASCII}, f"F{len(sets)}")
+        return f"c in {name} or c > '\\x7f'" if NON_ASCII in f else f"c in {name}"
+
     def emit(node, ind: str) -> None:
         k = node[0]
         if k == "ref" and node[1] in (tests or {}):
             out.append(f"{ind}if not X_{node[1]}(s, p): p = -1")
+        elif codes and k in ("lit", "ref") and node[1] in codes and (k == "lit" or node[1] in tokens):
+            out.append(f"{ind}p = p + 1 if s[p] == {codes[node[1]]!r} else -1")
         elif k == "lit" or k == "ref" and node[1] in tokens:
             out.append(f"{ind}m = {pat(node)}(s, p)")
             out.append(f"{ind}p = m.end() if m else -1")
@@ -173,12 +184,8 @@ def compile_grammar(text: str, tokens: dict[str, Token], start: str, trivia: str
             q = fresh()
             out.append(f"{ind}{q} = p; p = -1; c = s[{q}]")
             for x in node[1]:
-                f, empty = first(x)
-                guard = "p < 0"
-                if f is not None and not empty:
-                    name = sets.setdefault(f - {NON_ASCII}, f"F{len(sets)}")
-                    guard += f" and (c in {name} or c > '\\x7f')" if NON_ASCII in f else f" and c in {name}"
-                out.append(f"{ind}if {guard}:")
+                may = starts(x)
+                out.append(f"{ind}if p < 0:" if may is None else f"{ind}if p < 0 and ({may}):")
                 out.append(f"{ind} p = {q}")
                 emit(x, ind + " ")
                 out.append(f"{ind} c = s[{q}]")
@@ -189,12 +196,19 @@ def compile_grammar(text: str, tokens: dict[str, Token], start: str, trivia: str
                 ind += " "
             q = fresh()
             out.append(f"{ind}while True:")
+            if may := starts(node[1]):
+                out.append(f"{ind} c = s[p]")
+                out.append(f"{ind} if not ({may}): break")
             out.append(f"{ind} {q} = p")
             emit(node[1], ind + " ")
             out.append(f"{ind} if p <= {q}:")
             out.append(f"{ind}  p = {q}; break")
         elif k == "opt":
             q = fresh()
+            if may := starts(node[1]):
+                out.append(f"{ind}c = s[p]")
+                out.append(f"{ind}if {may}:")
+                ind += " "
             out.append(f"{ind}{q} = p")
             emit(node[1], ind)
             out.append(f"{ind}if p < 0: p = {q}")
@@ -204,18 +218,37 @@ def compile_grammar(text: str, tokens: dict[str, Token], start: str, trivia: str
             emit(node[1], ind)
             out.append(f"{ind}p = {q} if p {'<' if k == 'not' else '>='} 0 else -1")
 
+    # A rule that one other rule alone calls is met once at a position, that rule being memoised or met once itself.
+    callers: dict[str, set[str]] = {n: set() for n in rules}
+
+    def calls(node, by: str) -> None:
+        if node[0] == "ref":
+            if node[1] in rules:
+                callers[node[1]].add(by)
+        elif node[0] in ("seq", "choice"):
+            for x in node[1]:
+                calls(x, by)
+        elif node[0] != "lit":
+            calls(node[1], by)
+
+    for name, node in rules.items():
+        calls(node, name)
+
     body: list[str] = []
     for name, node in rules.items():
         out.clear()
-        f, empty = first(node)
-        body.append(f" M_{name} = {{}}; memos.append(M_{name})")
+        memo = len(callers[name]) > 1 or name in callers[name] or name in marked or name == start
+        if memo:
+            body.append(f" M_{name} = {{}}; memos.append(M_{name})")
         body.append(f" def r_{name}(p):")
-        body.append(f"  v = M_{name}.get(p)")
-        body.append("  if v is not None: return v")
-        body.append("  p0 = p")
+        if memo:
+            body.append(f"  v = M_{name}.get(p)")
+            body.append("  if v is not None: return v")
+            body.append("  p0 = p")
         emit(node, "  ")
         body.extend(out)
-        body.append(f"  M_{name}[p0] = p")
+        if memo:
+            body.append(f"  M_{name}[p0] = p")
         if name in marked:
             body.append(f"  if p >= 0: hits.setdefault({name!r}, {{}})[p0] = p")
         body.append("  return p")
@@ -225,4 +258,18 @@ def compile_grammar(text: str, tokens: dict[str, Token], start: str, trivia: str
     env |= {f"X_{k}": f for k, f in (tests or {}).items()}
     env["SKIP"] = re.compile(trivia).match
     exec("\n".join(src), env)  # noqa: S102 - generated from the grammar text above
-    return env["run"]
+    run = env["run"]
+    if not guarded:
+        return run
+    whole: list = []
+
+    def checked(s: str):
+        got = run(s)
+        if got[3]:
+            return got
+        # Alternatives that are skipped leave no trace of how far the input was looked at: try them all once more.
+        if not whole:
+            whole.append(compile_grammar(text, tokens, start, trivia, literal, tests, head, codes, False))
+        return got[0], whole[0](s)[1], got[2], False
+
+    return checked
