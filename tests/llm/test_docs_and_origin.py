@@ -72,6 +72,17 @@ def test_inherited_documentation_climbs(spark):
     assert doc_pairs.function_doc_pairs(df.limit(0)).count() == 0
 
 
+def test_inherited_documentation_passes_classes_without_methods_and_any_depth(spark):
+    base = 'class A:\n    def f(self):\n        """Reads the rows that nobody has claimed yet."""\n'
+    chain = "".join(f"class K{i}({'A' if i == 0 else f'K{i - 1}'}): {'pass' if i < 9 else 'f = 1'}\n" for i in range(10)) + "class Z(K9):\n    def f(self): pass\n    def g(self): pass\n"
+    ring = "class P(Q): pass\nclass Q(P): pass\nclass R(Q):\n    def f(self): pass\n"
+    near = 'class N(A):\n    def f(self):\n        """Writes the rows that were claimed by a worker."""\nclass M(A): pass\nclass O(M, N):\n    def f(self): pass\nclass S(O): pass\nclass T(S, A):\n    def f(self): pass\n'
+    script = "class V extends A {}\nclass W extends V { f() {} }\n"
+    df = spark.createDataFrame([(i, "r", p, c, None, "x") for i, (p, c) in enumerate([("a.py", base), ("b.py", chain), ("c.py", ring), ("d.py", near), ("e.ts", script)])], SCHEMA)
+    got = {(r.file_id, r.line_start): r.docstring.split()[0] for r in doc_pairs.function_doc_pairs(df).filter("doc_source = 'inherited'").collect()}
+    assert got == {(1, 12): "Reads", (3, 6): "Writes", (3, 9): "Reads", (4, 2): "Reads"}
+
+
 HAND = 'import re\n\ndef load(path, limit=10):\n    """Reads a file."""\n    with open(path) as handle:\n        rows = [x.strip() for x in handle if x]\n    if len(rows) > limit:\n        raise ValueError(path)\n    return rows\n'
 MINI = "".join(f"var a{i}=1,b=[{i},2];function f{i}(x){{return x.y({i})}}if(a>1){{b=a.c}}" for i in range(20))
 
