@@ -7,7 +7,8 @@ one altered word in ten.  (Four alterations in 40 words leave a run of eight, so
 
 Items are few and the documents many: while the items' words stay under ``BROADCAST_WORDS``, which is counted first, the
 seed index is broadcast and documents are read once without any shuffle.  Beyond that, seeds of both sides meet in a
-shuffle join, spread by their hash, and only the candidate pairs' texts are brought together.
+shuffle join, spread by their hash, and only the candidate pairs' texts are brought together, with the item's seeds that
+more than two texts of all items hold.
 
 Defined results: null and blank texts hold nothing; repeated rows give a pair once; an item of fewer than 40 words cannot
 leak; an item that repeats another's text leaks with it.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 WINDOW, ALTERED, SEED, TILE = 40, 0.1, 8, 3
+#: Texts of items that may hold a run of words before it counts as a shared instruction.
+COMMON = 2
 #: Words of all items up to which their index (some 40 bytes a word) is broadcast.
 BROADCAST_WORDS = 2_000_000
 
@@ -178,9 +181,13 @@ def longest_window(found: np.ndarray, shared: np.ndarray, least: int = WINDOW, a
 
 
 class Index:
-    """The items' words, seeds and shared parts."""
+    """The items' words, seeds and shared parts.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    A seed is shared if more than ``COMMON`` distinct texts hold it; ``shared`` names those (by ``stable_seeds``) where
+    ``items`` are not all items.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], shared: set[int] | None = None):
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, list[int], np.ndarray]] = []
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -195,9 +202,11 @@ class Index:
             for p, h in enumerate(rolling(np.array(codes, np.uint64)).tolist()):
                 seeds[h].append((len(self.items), p))
             self.items.append((len(self.items), codes, np.zeros(len(codes), bool)))
+            for p in np.flatnonzero(np.isin(stable_seeds(words), list(shared))).tolist() if shared else ():
+                self.items[-1][2][p : p + SEED] = True
             self.ids.append(sorted(set(ids)))
-        for where in seeds.values():
-            if len({x for x, _ in where}) > 2:
+        for where in seeds.values() if shared is None else ():
+            if len({x for x, _ in where}) > COMMON:
                 for x, p in where:
                     self.items[x][2][p : p + SEED] = True
         # Four alterations of 40 words leave at least 26 of its runs of three, so a region with fewer holds no leak.
@@ -272,24 +281,35 @@ def _join_all(documents: DataFrame, items: DataFrame) -> DataFrame:
             for b in batches:
                 ids, hashes = [], []
                 for k, t in zip(b[key], b["text"]):
-                    codes = np.fromiter((_stable(w) for w in words_of(t)), np.uint64)
-                    h = np.unique(rolling(codes)).view(np.int64)
+                    h = np.unique(stable_seeds(words_of(t)))
                     ids += [k] * len(h)
                     hashes += h.tolist()
                 yield pd.DataFrame({key: ids, "seed": hashes}, columns=[key, "seed"])
 
         return run
 
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Items long enough to leak, with a key of their words."""
+        for b in batches:
+            words = [words_of(t) for t in b["text"]]
+            b["words"] = [_key(w) for w in words]
+            yield b[[len(w) >= WINDOW for w in words]]
+
     d = documents.select("doc_id", "text").distinct().filter("doc_id is not null")
-    i = items.select("item_id", "text").distinct().filter("item_id is not null")
+    i = items.select("item_id", "text").distinct().filter("item_id is not null").mapInPandas(keyed, "item_id bigint, text string, words string")
     left = d.mapInPandas(seeds("doc_id"), "doc_id bigint, seed bigint")
     right = i.mapInPandas(seeds("item_id"), "item_id bigint, seed bigint")
     pairs = left.join(right, "seed").select("doc_id", "item_id").distinct()
-    both = pairs.join(d.withColumnRenamed("text", "d_text"), "doc_id").join(i.withColumnRenamed("text", "i_text"), "item_id")
+    # Seeds of shared instructions, counted over all items as Index does: each distinct text of WINDOW words or more once.
+    held = i.dropDuplicates(["words"]).select("words", "text").mapInPandas(seeds("words"), "words string, seed bigint")
+    common = held.groupBy("seed").count().filter(F.col("count") > COMMON).select("seed")
+    shared = held.join(common, "seed").groupBy("words").agg(F.collect_list("seed").alias("shared"))
+    i = i.join(shared, "words", "left").select("item_id", F.col("text").alias("i_text"), "shared")
+    both = pairs.join(d.withColumnRenamed("text", "d_text"), "doc_id").join(i, "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(doc, *x) for doc, item, dt, it in zip(b["doc_id"], b["item_id"], b["d_text"], b["i_text"]) for x in Index([(item, it)]).search(dt)]
+            rows = [(doc, *x) for doc, item, dt, it, sh in zip(b["doc_id"], b["item_id"], b["d_text"], b["i_text"], b["shared"]) for x in Index([(item, it)], set() if sh is None else set(sh)).search(dt)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "leaked_words", "item_words"])
 
     return both.mapInPandas(verify, "doc_id bigint, item_id bigint, leaked_words int, item_words int")
@@ -301,6 +321,17 @@ def _stable(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
+def _key(words: list[str]) -> str:
+    import xxhash
+
+    return xxhash.xxh128_hexdigest(" ".join(words))
+
+
+def stable_seeds(words: list[str]) -> np.ndarray:
+    """Seeds of a text that are the same in every process, as signed numbers."""
+    return rolling(np.fromiter((_stable(w) for w in words), np.uint64)).view(np.int64)
+
+
 def leaks(documents: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """``doc_id, item_id, leaked_words, item_words``: every pair of a document and an item that leaked into it.
 

@@ -156,6 +156,17 @@ def test_both_ways_give_the_same(spark):
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_both_ways_know_shared_instructions(spark):
+    shared, pair = item(99, 45), item(98, 45)
+    rows = [(i, f"{shared} {item(i)}") for i in range(4)] + [(10, f"{pair} {item(10)}"), (11, f"{pair} {item(11)}"), (12, f"{pair} {item(11)}".upper()), (13, item(98, 45)[:60])]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"before {shared} after"), (2, f"{shared} {words(item(3), 0, 60)}"), (3, f"before {pair} after")], "doc_id bigint, text string")
+    # An instruction of two texts is none, however many items repeat one of them.
+    want = [(2, 3), (3, 10), (3, 11), (3, 12)]
+    got = [sorted(tuple(r) for r in leakage.leaks(docs, items, **x).collect()) for x in ({}, {"broadcast_words": 0})]
+    assert [r[:2] for r in got[0]] == want and got[0] == got[1]
+
+
 # -- spam --------------------------------------------------------------------------------------------------------------
 PROSE = "The scheduler waits until the last worker has reported, and only then closes the batch. Nobody noticed that the lease had run out before. We should write down why the limit is there, because the next reader will ask. "
 NOTES = ["The lease ran out before the batch closed.", "Nobody asked why the limit is there.", "Two workers reported the same shard.", "The oldest voucher is booked twice a week.", "A trailing newline breaks the excerpt.", "Our cache keeps the header of another file."]
