@@ -127,6 +127,54 @@ def _close(text: str, at: int) -> int:
     return len(text)
 
 
+def _mark(m: re.Match) -> str:
+    """A comment blanked; of a string, template or regular expression no character is left that means anything."""
+    own = m[0].lstrip()
+    return _blank(m) if own.startswith(("//", "/*")) else m[0][: len(m[0]) - len(own)] + '"' * len(own)
+
+
+# What may end or begin a line whose statement goes on.
+_GOES_ON = re.compile(r"(?:[=|&?:,.(\[{<+\-*/%^!~]|=>|\b(?:keyof|extends|infer|typeof|in|instanceof|readonly|is|as|satisfies|asserts|new|await))\s*\Z")
+_CARRIES_ON = re.compile(r"\s*(?:[=|&?:,.)\]}>+*/%^<\-]|(?:extends|is|in|instanceof|as|satisfies)\b)")
+_TYPE_BEFORE = re.compile(r"(?:[:|&]|=>|\b(?:is|extends|keyof|readonly))\s*\Z")
+_BRACE = re.compile(r"\s*\{")
+_CLOSES = {")": "(", "]": "[", "}": "{"}
+
+
+def _head_end(text: str, at: int, kind: str) -> int:
+    """Where the head of a declaration ends that goes on at ``at``: before its body, else behind its last character.
+
+    ``kind`` is ``type_alias``, ``arrow``, ``function`` or one whose body is the first brace outside brackets.  ``text``
+    has passed ``_mark``.
+    """
+    if kind == "arrow" and _BRACE.match(text, at):
+        return text.index("{", at)
+    open_: list[str] = []
+    last = at - 1  # the last character that is no white space
+    for i in range(at, len(text)):
+        c = text[i]
+        before = text[max(at, last - 11) : last + 1] if c in "{\n" and not open_ else ""  # holds the longest word of both patterns
+        if c == "{" and not open_ and kind not in ("type_alias", "arrow") and not (kind == "function" and _TYPE_BEFORE.search(before)):
+            return i
+        if c in "([{" or (c == "<" and kind != "arrow"):
+            open_.append(c)
+        elif c == ">" and open_ and open_[-1] == "<" and text[i - 1] != "=":
+            open_.pop()
+        elif c in ")]}":
+            while open_ and open_[-1] == "<":
+                open_.pop()
+            if not open_ or open_.pop() != _CLOSES[c]:
+                return i
+        elif c == ";" and all(x == "<" for x in open_):
+            return i + 1
+        elif c == "\n" and not open_ and kind in ("type_alias", "arrow", "function") and before:
+            if not _GOES_ON.search(before) and not _CARRIES_ON.match(text, i) and not (kind == "function" and _BRACE.match(text, i)):
+                return i
+        if not c.isspace():
+            last = i
+    return len(text)
+
+
 def _script(path: str, source: str) -> tuple[str, list, list, list]:
     module = re.sub(r"\.(d\.ts|mts|cts|tsx|ts|jsx|mjs|cjs|js)$", "", path)
     text = _SCRIPT_TOKEN.sub(_blank, source)
@@ -150,19 +198,19 @@ def _script(path: str, source: str) -> tuple[str, list, list, list]:
                 imports.append((x, mod, "default", rel, 0, at))
         if not what:
             imports.append((mod, mod, None, rel, 0, at))
-    found = []
+    found, marked = [], _SCRIPT_TOKEN.sub(_mark, source)
     for m in _DECLARATION.finditer(text):
         name = m["name"] or m["fn"] or m["var"]
         kind = {"type": "type_alias"}.get(m["kind"], m["kind"]) or "function"
         brace, semi = text.find("{", m.end()), text.find(";", m.end())
         end = _close(text, brace) if brace >= 0 and (kind != "type_alias" and (semi < 0 or brace < semi)) else (semi + 1 if semi >= 0 else len(text))
-        found.append((m.start(), end, name, kind, bool(m["export"])))
-    for at, end, name, kind, exported in found:
+        found.append((m.start(), end, name, kind, bool(m["export"]), _head_end(marked, m.end(), "arrow" if m[0].endswith("=>") else kind)))
+    for at, end, name, kind, exported, head_end in found:
         outer = [f for f in found if f[0] < at and end <= f[1]]
         parent = f"{module}::" + ".".join(f[2] for f in sorted(outer)) if outer else None
         fqn = f"{parent}.{name}" if parent else f"{module}::{name}"
         spans.append((at, end, fqn))
-        symbols.append((fqn, name, kind, line(at), line(end - 1), " ".join(source[at : text.find("{", at) if text.find("{", at) > 0 else end].split())[:400], None, exported, parent))
+        symbols.append((fqn, name, kind, line(at), line(end - 1), " ".join(source[at:head_end].split()), None, exported, parent))
         if kind == "class":
             head = text[at : text.find("{", at)]
             for base in re.findall(r"\b(?:extends|implements)\s+([\w$.]+(?:\s*,\s*[\w$.]+)*)", head):

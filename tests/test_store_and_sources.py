@@ -54,6 +54,16 @@ def test_script_parser():
     assert imports == [("b", "./m", "a", True, 0, 1)] and ("inherits", "L", "p/q::K", 2, None, None) in refs and any(r[1] == "g" and r[2] == "p/q::f" for r in refs)
 
 
+def test_script_signatures_are_whole():
+    args = ", ".join(f"argument{i}: Map<string, {{ a: number }}>" for i in range(40))
+    union = " | ".join(f'"value {i};"' for i in range(60))
+    heads = [f"function f({args}): {{ b: T }} | Array<() => void>", f"export class K<T extends {{ a: 1 }}> extends L<{args}>", f"const g = async ({args.replace('{ a: number }', 'X')}) =>", f"type A = {union};", "type B = { a: string; b: () => void };"]
+    src = f"{heads[0]} {{ return 1; }}\n{heads[1]} {{\n  go() {{}}\n}}\n{heads[2]} {{ g(); }}\n{heads[3]}\n{heads[4]}\ntype C =\n  | 'x' // first\n  | 'y'\nconst h = x => x < 1\ndeclare function o(a: {{ c: 1 }}): string\ninterface I extends J<{{ d: 1 }}> {{ e: 1 }}\n"
+    got = {x[1]: x[5] for x in parsing.parse("q.ts", src)[1]}
+    assert [got[n] for n in "fKgAB"] == heads
+    assert [got[n] for n in "ChoI"] == ["type C = | 'x' // first | 'y'", "const h = x => x < 1", "declare function o(a: { c: 1 }): string", "interface I extends J<{ d: 1 }>"]
+
+
 def test_git_and_tree_listing(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
     run("init", "-q")
