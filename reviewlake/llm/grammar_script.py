@@ -128,8 +128,9 @@ Labelled <- ID ':' Stmt
 ExprStmt <- !('function' / 'class' / '{') !LetBracket Expr Eos
 LetBracket <- 'let' '['
 VarDecl@ <- ('var' / 'let' &(ID / '[' / '{') / 'const') VarOne (',' VarOne)*
-[js]VarOne@ <- Binding ('=' Assign)?
-[ts]VarOne@ <- Binding '!'? TypeAnn? ('=' Assign)?
+[js]VarOne@ <- Binding ('=' VarValue)?
+[ts]VarOne@ <- Binding '!'? TypeAnn? ('=' VarValue)?
+VarValue@ <- Assign
 Binding <- ID / '[' ArrBind? (',' ArrBind?)* ']' / '{' (ObjBind (',' ObjBind)* ','?)? '}'
 ArrBind <- '...' Binding / Binding ('=' Assign)?
 ObjBind <- '...' Binding / PropName ':' Binding ('=' Assign)? / ID ('=' Assign)?

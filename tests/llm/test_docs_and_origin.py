@@ -63,6 +63,12 @@ function p() {}
     assert next(d for d in documented("x.ts", src) if d.name == "m").bases == ["C"]
 
 
+def test_script_functions_behind_long_annotations():
+    doc, long = "/** Reads the rows of a shard. */\n", " | ".join(f"'value={i}'" for i in range(300))
+    src = f"{doc}const a: (x: {long}) => void = (x) => {{}};\n{doc}export{' ' * 300}const b = async () => 1;\n{doc}const c = d = () => 1;\n{doc}const e = f(() => 1);\n{doc}const {{ g }} = function () {{}};\n"
+    assert [(d.name, d.line_start, d.doc) for d in documented("x.ts", src)] == [("a", 2, " Reads the rows of a shard. "), ("b", 4, " Reads the rows of a shard. ")]
+
+
 def test_inherited_documentation_climbs(spark):
     base = 'class A:\n    def f(self):\n        """Reads the rows that nobody has claimed yet."""\n\nclass B(A):\n    def f(self):\n        """See above."""\n\nclass C(m.B):\n    def f(self):\n        pass\n    def g(self):\n        pass\n'
     df = spark.createDataFrame([(1, "r", "a.py", base, None, "x"), (1, "r", "a.py", base, None, "x"), (2, "q", "a.py", "class C(B):\n    def f(self): pass\n", None, "x"), (3, "r", "b.py", None, None, "x"), (4, "r", "c.py", "def f(:", None, "x")], SCHEMA)
