@@ -51,6 +51,11 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return leakage.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_coverage(spark: SparkSession, directory: str) -> DataFrame:
+    """What was covered of each item, passages in another order among them."""
+    return leakage.coverage(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return spam.spam_documents(table(spark, directory, "documents"))
 

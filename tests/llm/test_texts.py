@@ -167,6 +167,48 @@ def test_both_ways_know_shared_instructions(spark):
     assert [r[:2] for r in got[0]] == want and got[0] == got[1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
+def test_common_subsequence_equals_the_table(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    got, rest = [a[i] for i in leakage._common(a, b)], iter(b)
+    assert len(got) == table[-1][-1] and all(x in rest for x in got)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.booleans()), max_size=40))
+def test_longest_window_equals_every_window(words):
+    found, shared = np.array([x or y for x, y in words], bool), np.array([x and y for x, y in words], bool)
+    want = max((j - i for i in range(len(found)) for j in range(i + 8, len(found) + 1) if found[i] and found[j - 1] and 4 * (~found[i:j]).sum() <= j - i and (found[i:j] & ~shared[i:j]).sum() >= 4), default=0)
+    assert leakage.longest_window(found, shared, 8, 0.25, 4) == want
+
+
+def test_gaps_and_items_of_any_length_are_aligned():
+    r = random.Random(5)
+    a = [f"v{r.randrange(5000)}" for _ in range(10_000)]
+    # every third word of the long middle is altered, so that no tile stands in it, and the ends are whole
+    b = [w if i < 60 or i >= 9940 or i % 3 else f"q{i}" for i, w in enumerate(a)]
+    index = leakage.Index([(1, " ".join(a))])
+    assert index.search(" ".join(b))[0][1] >= 60
+    codes = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
+    mine, other = [codes[w] for w in a], [codes[w] for w in b]
+    found = leakage.in_order(mine, other, leakage.tiles(mine, other))
+    assert found.sum() >= sum(x == y for x, y in zip(a, b))
+    assert len(leakage._common(mine * 2, other * 2)) >= 2 * sum(x == y for x, y in zip(a, b))
+
+
+def test_reordered_passages_are_covered_but_not_leaked(spark):
+    t = item(1)
+    reordered = " ".join(words(t, i, i + 20) for i in (100, 60, 20, 80, 40, 0))
+    assert leakage.Index([(7, t)]).cover(reordered) == [(7, 0, 120, 120)]
+    docs = spark.createDataFrame([(1, reordered), (2, t)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, t)], "item_id bigint, text string")
+    assert sorted(tuple(r) for r in leakage.coverage(docs, items).collect()) == [(1, 7, 0, 120, 120), (2, 7, 120, 120, 120)]
+
+
 # -- spam --------------------------------------------------------------------------------------------------------------
 PROSE = "The scheduler waits until the last worker has reported, and only then closes the batch. Nobody noticed that the lease had run out before. We should write down why the limit is there, because the next reader will ask. "
 NOTES = ["The lease ran out before the batch closed.", "Nobody asked why the limit is there.", "Two workers reported the same shard.", "The oldest voucher is booked twice a week.", "A trailing newline breaks the excerpt.", "Our cache keeps the header of another file."]
