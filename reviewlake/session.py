@@ -56,4 +56,4 @@ def spread(df):
     An input of so few partitions is small, so the shuffle is; a large one has partitions enough and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
