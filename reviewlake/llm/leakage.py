@@ -168,38 +168,46 @@ def covered(item: list[int], marks: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def in_order(item: list[int], part: list[int], marks: list[tuple[int, int, int]]) -> np.ndarray:
-    """Which words of the item stand in the part in the item's order."""
-    # Heaviest chain of tiles that follow one another on both sides with gaps of like size.
-    ts = sorted(marks)
-    score, back = [t[2] for t in ts], [-1] * len(ts)
-    for y, (i, j, n) in enumerate(ts):
-        for x in range(y):
-            pi, pj, pn = ts[x]
-            gi, gj = i - pi - pn, j - pj - pn
-            if gi >= 0 and gj >= 0 and abs(gi - gj) <= 6 + min(gi, gj) and score[x] + n - (gi > 8) * (gi - 8) > score[y]:
-                score[y], back[y] = score[x] + n, x
+def chains(marks: list[tuple[int, int, int]], least: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Tiles that follow one another on both sides with gaps of like size: the heaviest such chain, then the heaviest of the
+    tiles left, down to ``least`` words.  A gap costs what it is longer than eight words."""
+    rest = sorted(marks)
+    while sum(n for _, _, n in rest) >= least:
+        score, back = [n for _, _, n in rest], [-1] * len(rest)
+        for y, (i, j, n) in enumerate(rest):
+            for x in range(y):
+                pi, pj, pn = rest[x]
+                gi, gj = i - pi - pn, j - pj - pn
+                if gi >= 0 and gj >= 0 and abs(gi - gj) <= 6 + min(gi, gj) and score[x] + n - (gi > 8) * (gi - 8) > score[y]:
+                    score[y], back[y] = score[x] + n, x
+        chain, y = set(), max(range(len(rest)), key=score.__getitem__)
+        while y >= 0:
+            chain.add(y)
+            y = back[y]
+        yield [rest[y] for y in sorted(chain)]
+        rest = [t for y, t in enumerate(rest) if y not in chain]
+
+
+def in_order(item: list[int], part: list[int], chain: list[tuple[int, int, int]], marks: list[tuple[int, int, int]] = ()) -> np.ndarray:
+    """Which words of the item stand in the part along a chain of tiles, those between the tiles included.
+
+    Words of other tiles (``marks``) stand elsewhere and are not taken for the chain's surroundings.
+    """
+    mine, other = list(item), list(part)
+    for i, j, n in set(marks).difference(chain):
+        mine[i : i + n], other[j : j + n] = [None] * n, [-1 << 62] * n
     found = np.zeros(len(item), bool)
-    if not ts:
-        return found
-    chain, y = [], int(np.argmax(score))
-    while y >= 0:
-        chain.append(ts[y])
-        y = back[y]
-    chain.reverse()
-    for (i, j, n), nxt in zip(chain, [*chain[1:], None]):
-        found[i : i + n] = True
-        if nxt:
-            for x in _common(item[i + n : nxt[0]], part[j + n : nxt[1]]):
-                found[i + n + x] = True
     # Beyond the outer tiles no run of three is left, so every third word is altered and a window ends within this reach.
     reach = 3 * (int(len(item) * ALTERED) + 1)
-    i, j, n = chain[0]
-    for x in _common(item[max(0, i - reach) : i], part[max(0, j - reach) : j]):
-        found[max(0, i - reach) + x] = True
-    i, j, n = chain[-1]
-    for x in _common(item[i + n : i + n + reach], part[j + n : j + n + reach]):
-        found[i + n + x] = True
+    (i, j, _), (ei, ej, en) = chain[0], chain[-1]
+    gaps = [(max(0, i - reach), i, max(0, j - reach), j), (ei + en, ei + en + reach, ej + en, ej + en + reach)]
+    for (i, j, n), (ni, nj, _) in zip(chain, chain[1:]):
+        gaps.append((i + n, ni, j + n, nj))
+    for i, _, n in chain:
+        found[i : i + n] = True
+    for a, to_a, b, to_b in gaps:
+        for x in _common(mine[a:to_a], other[b:to_b]):
+            found[a + x] = True
     return found
 
 
@@ -322,7 +330,8 @@ class Index:
             if not longest_window(seen, shared, WINDOW, 1 - COVERED, 0):
                 continue
             for part, marks in parts:
-                best = max(best, longest_window(in_order(item, part, marks), shared))
+                for chain in chains(marks, int(WINDOW * COVERED)):
+                    best = max(best, longest_window(in_order(item, part, chain, marks), shared))
             if best or longest_window(seen, shared, WINDOW, 1 - COVERED):
                 out.extend((i, best, int(seen.sum()), n) for i in self.ids[x])
         return out
