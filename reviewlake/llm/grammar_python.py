@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 from .peg import Token, compile_grammar
 
@@ -15,7 +16,7 @@ from .peg import Token, compile_grammar
 KEYWORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 SOFT = ["match", "case", "type"]
 OPERATORS = "( ) [ ] { } : , ; . ... = == != < > <= >= -> := + - * / // % @ & | ^ ~ << >> ** += -= *= /= //= %= @= &= |= ^= <<= >>= **=".split()
-CODE = {t: chr(0x21 + i) for i, t in enumerate([*KEYWORDS, *SOFT, *OPERATORS, "NAME", "NUM", "STR", "NL", "INDENT", "DEDENT"])}
+CODE = {t: chr(0x21 + i) for i, t in enumerate([*KEYWORDS, *SOFT, *OPERATORS, "NAME", "NUM", "STR", "BSTR", "NL", "INDENT", "DEDENT"])}
 assert max(CODE.values()) <= "~"
 
 _DIG = r"\d(?:_?\d)*"
@@ -23,7 +24,7 @@ _PREFIX = r"(?i:[rub]|br|rb|f|fr|rf)?"
 _TOKEN = re.compile(
     rf"""[ \t\f]*(?:(?P<str>{_PREFIX}(?:\"\"\"|'''|\"|'))
     |(?P<name>[^\W\d]\w*)
-    |(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:{_DIG})?\.{_DIG}(?:[eE][+-]?{_DIG})?[jJ]?|{_DIG}\.?(?:[eE][+-]?{_DIG})[jJ]?|{_DIG}\.[jJ]?|{_DIG}[jJ]|[1-9](?:_?\d)*|0(?:_?0)*)(?!\w))
+    |(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:{_DIG})?\.{_DIG}(?:[eE][+-]?{_DIG})?[jJ]?|{_DIG}\.?(?:[eE][+-]?{_DIG})[jJ]?|{_DIG}\.[jJ]?|{_DIG}[jJ]|(?:[1-9](?:_?\d)*|0(?:_?0)*)(?!\.))(?:(?!\w)|(?=and|else|for|i[fns]|not|or)))
     |(?P<op>{"|".join(re.escape(o) for o in sorted(OPERATORS, key=len, reverse=True))})
     |(?P<nl>\r\n|\n|\r)
     |(?P<skip>\\\r?\n|\#[^\r\n]*|\Z))""",
@@ -38,12 +39,26 @@ _OPEN, _CLOSE = "([{", {")": "(", "]": "[", "}": "{"}
 _WORDS = {t: CODE[t] for t in [*KEYWORDS, *SOFT]}
 
 
+# What a literal must not hold: broken escapes of text and of bytes.
+_BAD_ESCAPE = re.compile(r"(?s)(?:[^\\]|\\[^xuUN])*?\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[^{}]+\}))")
+_BAD_BYTE = re.compile(r"(?s)(?:[^\\]|\\[^x])*?\\x(?![0-9a-fA-F]{2})")
+_NAMED = re.compile(r"\\N\{([^{}]+)\}")
+
+
 class LexError(Exception):
     def __init__(self, at: int, why: str):
         super().__init__(why)
         self.at, self.why = at, why
 
 
+def _behind_escape(s: str, at: int, raw: bool) -> int:
+    """The position behind the backslash at ``at`` and what it escapes, which a brace never is."""
+    m = None if raw else _NAMED.match(s, at)
+    if not raw:
+        _escapes(m[0] if m else s[at : at + 10], at, False)
+    return m.end() if m else at + 1 if s[at + 1 : at + 2] in ("{", "}") else at + 2
+
+
 def _fstring(s: str, at: int, quote: str, raw: bool) -> int:
     """The position behind an f-string's body that starts at ``at``; its expressions are lexed, not skipped."""
     n = len(s)
@@ -51,8 +66,8 @@ def _fstring(s: str, at: int, quote: str, raw: bool) -> int:
         c = s[at]
         if s.startswith(quote, at):
             return at + len(quote)
-        if c == "\\" and not raw:
-            at += 2
+        if c == "\\":
+            at = _behind_escape(s, at, raw)
         elif c in "\r\n" and len(quote) == 1:
             break
         elif s.startswith("{{", at) or s.startswith("}}", at):
@@ -70,6 +85,9 @@ def _field(s: str, at: int, quote: str, raw: bool) -> int:
     start, depth = at, []
     while at < len(s):
         c = s[at]
+        if c in " \t\f":
+            at += 1
+            continue
         if not depth and (c in "}:" or c == "!" and not s.startswith("!=", at) or c == "=" and re.compile(r"=\s*[}:!]").match(s, at) and s[at - 1] not in "=!<>"):
             codes, _ = tokens_of("(" + s[start:at] + ")\n")
             end, far, hits, ok = parser("FieldExpr")(codes)
@@ -112,6 +130,18 @@ def _field(s: str, at: int, quote: str, raw: bool) -> int:
     raise LexError(at, "unterminated f-string field")
 
 
+def _escapes(body: str, at: int, of_bytes: bool) -> None:
+    """Refuses escapes that the language does not know how to finish."""
+    if (_BAD_BYTE if of_bytes else _BAD_ESCAPE).match(body):
+        raise LexError(at, "broken escape")
+    for m in _NAMED.finditer(body) if not of_bytes and "\\N" in body else ():
+        try:
+            unicodedata.lookup(m[1])
+        except KeyError:
+            if len(re.search(r"\\*$", body[: m.start()])[0]) % 2 == 0:
+                raise LexError(at, "unknown character name") from None
+
+
 def _string(s: str, m: re.Match) -> int:
     text = m["str"]
     quote = text.lstrip("rRuUbBfF")
@@ -121,6 +151,11 @@ def _string(s: str, m: re.Match) -> int:
     body = _BODY[quote].match(s, m.end())
     if not body:
         raise LexError(m.start("str"), "unterminated string")
+    inner = body[0][: -len(quote)]
+    if "b" in prefix and not inner.isascii():
+        raise LexError(m.start("str"), "bytes beyond ASCII")
+    if "\\" in inner and "r" not in prefix:
+        _escapes(inner, m.start("str"), "b" in prefix)
     return body.end()
 
 
@@ -183,10 +218,12 @@ def tokens_of(s: str) -> tuple[str, list[int]]:
             if not stack:
                 put("NL", m.start(kind))
                 bol = True
+        elif kind == "skip" and m.end() == n and m[kind][:1] == "\\":
+            raise LexError(n, "nothing behind a continued line")
         elif kind == "num":
             put("NUM", m.start(kind))
         elif kind == "str":
-            put("STR", m.start(kind))
+            put("BSTR" if m[kind][:2].strip("rR\"'") in ("b", "B") else "STR", m.start(kind))
             at = _string(s, m)
             continue
         at = m.end()
@@ -211,7 +248,7 @@ Import <- 'import' Dotted ('as' Name)? (',' Dotted ('as' Name)?)* / 'from' (('.'
 FromName <- Name ('as' Name)?
 Dotted <- Name ('.' Name)*
 TypeAlias <- 'type' Name TypeParams? '=' Expr
-Assign <- (Name / '(' Single ')' / Access) ':' Expr ('=' Rhs)? / (Targets '=')+ Rhs !'=' / Single AugOp Rhs
+Assign <- (Access / Name / '(' Single ')') ':' Expr ('=' Rhs)? / (Targets '=')+ Rhs !'=' / Single AugOp Rhs
 AugOp <- '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '**='
 Rhs <- Yield / Stars
 Yield <- 'yield' ('from' Expr / Stars?)
@@ -224,8 +261,11 @@ Access <- Atom (Trailer &('.' / '[' / '('))* ('.' Name / '[' Slices ']') !('.' /
 Compound <- Decorated / Def / Class / If / While / For / Try / With / Match / 'async' (Def / For / With)
 Decorated <- ('@' Named NL)+ ('async'? Def / Class)
 Def <- 'def' Name TypeParams? '(' Params? ')' ('->' Expr)? ':' Block
-Params <- Param (',' Param)* ','?
-Param <- '/' / '**' Name (':' Expr)? / '*' (Name (':' ('*' Arith / Expr))?)? / Name (':' Expr)? ('=' Expr)?
+Params <- Plain (',' Plain)* (',' '/' (',' Plain)* (',' Default)* / (',' Default)+ (',' '/' (',' Default)*)?)? (',' Behind)? ','? / Default (',' Default)* (',' '/' (',' Default)*)? (',' Behind)? ','? / Behind ','?
+Plain <- Name (':' Expr)? !'='
+Default <- Name (':' Expr)? '=' Expr
+Either <- Name (':' Expr)? ('=' Expr)?
+Behind <- '*' (Name (':' ('*' Arith / Expr))? (',' Either)* / (',' Either)+) (',' '**' Name (':' Expr)?)? / '**' Name (':' Expr)?
 TypeParams <- '[' TypeParam (',' TypeParam)* ','? ']'
 TypeParam <- ('*' / '**')? Name (':' Expr)? ('=' ('*' Arith / Expr))?
 Class <- 'class' Name TypeParams? ('(' Args? ')')? ':' Block
@@ -243,18 +283,23 @@ Case <- 'case' (OpenSeq / Pattern) ('if' Named)? ':' Block
 OpenSeq <- MaybeStar ',' (MaybeStar (',' MaybeStar)* ','?)?
 MaybeStar <- '*' Name / Pattern
 Pattern <- Closed ('|' Closed)* ('as' Name)?
-Closed <- ClassPat / Name ('.' Name)* / '-'? NUM (('+' / '-') NUM)? / STR+ / 'None' / 'True' / 'False' / '(' (OpenSeq / MaybeStar)? ')' / '[' (MaybeStar (',' MaybeStar)* ','?)? ']' / '{' (MapItem (',' MapItem)* ','?)? '}'
-MapItem <- '**' Name / ('-'? NUM (('+' / '-') NUM)? / STR+ / 'None' / 'True' / 'False' / Name ('.' Name)+) ':' Pattern
+Closed <- ClassPat / Name ('.' Name)* / '-'? NUM (('+' / '-') NUM)? / Str / 'None' / 'True' / 'False' / '(' (OpenSeq / MaybeStar)? ')' / '[' (MaybeStar (',' MaybeStar)* ','?)? ']' / '{' (MapItem (',' MapItem)* ','?)? '}'
+MapItem <- '**' Name / ('-'? NUM (('+' / '-') NUM)? / Str / 'None' / 'True' / 'False' / Name ('.' Name)+) ':' Pattern
 ClassPat <- Name ('.' Name)* '(' (ClassArg (',' ClassArg)* ','?)? ')'
 ClassArg <- Name '=' Pattern / Pattern
 
+Str <- STR+ !BSTR / BSTR+ !STR
 Stars <- StarExpr (',' StarExpr)* ','?
 StarExpr <- '*' Arith / Expr
 Named <- Name ':=' Expr / Expr !':='
 StarNamed <- '*' Arith / Named
 Expr <- Lambda / Disj ('if' Disj 'else' Expr)?
-Lambda <- 'lambda' (LParam (',' LParam)* ','?)? ':' Expr
-LParam <- '/' / '**' Name / '*' Name? / Name ('=' Expr)?
+Lambda <- 'lambda' LParams? ':' Expr
+LParams <- LPlain (',' LPlain)* (',' '/' (',' LPlain)* (',' LDefault)* / (',' LDefault)+ (',' '/' (',' LDefault)*)?)? (',' LBehind)? ','? / LDefault (',' LDefault)* (',' '/' (',' LDefault)*)? (',' LBehind)? ','? / LBehind ','?
+LPlain <- Name !'='
+LDefault <- Name '=' Expr
+LEither <- Name ('=' Expr)?
+LBehind <- '*' (Name (',' LEither)* / (',' LEither)+) (',' '**' Name)? / '**' Name
 Disj <- Conj ('or' Conj)*
 Conj <- Inv ('and' Inv)*
 Inv <- 'not' Inv / Comp
@@ -265,12 +310,14 @@ BinOp <- '+' / '-' / '*' / '/' / '//' / '%' / '@' / '&' / '|' / '^' / '<<' / '>>
 Factor <- ('+' / '-' / '~') Factor / Power
 Power <- 'await'? Primary ('**' Factor)?
 Primary <- Atom Trailer*
-Trailer <- '.' Name / '(' Args? ')' / '[' Slices ']'
-Args <- Arg (',' Arg)* ','?
-Arg <- Name '=' Expr / '**' Expr / '*' Expr / Named CompFor?
+Trailer <- '.' Name / '(' (Named CompFor / Args)? ')' / '[' Slices ']'
+Args <- Pos (',' Pos)* (',' KwStar)* (',' KwPair)* ','? / KwStar (',' KwStar)* (',' KwPair)* ','? / KwPair (',' KwPair)* ','?
+Pos <- '*' Expr / Named !'='
+KwStar <- Name '=' Expr / '*' Expr
+KwPair <- Name '=' Expr / '**' Expr
 Slices <- Slice (',' Slice)* ','?
 Slice <- Expr? ':' Expr? (':' Expr?)? / StarNamed
-Atom <- Name / NUM / STR+ / '...' / 'None' / 'True' / 'False' / '(' (Yield / StarNamed CompFor / StarNamed (',' StarNamed)* ','?)? ')' / '[' (StarNamed CompFor / StarNamed (',' StarNamed)* ','?)? ']' / '{' (DictItem CompFor / DictItem (',' DictItem)* ','? / StarNamed CompFor / StarNamed (',' StarNamed)* ','?)? '}'
+Atom <- Name / NUM / Str / '...' / 'None' / 'True' / 'False' / '(' (Yield / Named (CompFor / (',' StarNamed)* ','?) / '*' Arith ',' (StarNamed (',' StarNamed)* ','?)?)? ')' / '[' (Named CompFor / StarNamed (',' StarNamed)* ','?)? ']' / '{' (Expr ':' Expr CompFor / DictItem (',' DictItem)* ','? / Named CompFor / StarNamed (',' StarNamed)* ','?)? '}'
 DictItem <- '**' Arith / Expr ':' Expr
 CompFor <- ('async'? 'for' Targets 'in' Disj ('if' Disj)*)+
 """
@@ -278,7 +325,7 @@ CompFor <- ('async'? 'for' Targets 'in' Disj ('if' Disj)*)+
 
 @functools.cache
 def parser(start: str = "File"):
-    tokens = {k: Token(re.escape(CODE[k]), CODE[k]) for k in ("NAME", "NUM", "STR", "NL", "INDENT", "DEDENT")}
+    tokens = {k: Token(re.escape(CODE[k]), CODE[k]) for k in ("NAME", "NUM", "STR", "BSTR", "NL", "INDENT", "DEDENT")}
     tokens["EOF"] = Token(r"(?=\x00)", "\x00")
     return compile_grammar(GRAMMAR, tokens, start, "", lambda t: re.escape(CODE[t]), None, lambda t: CODE[t], CODE)
 
