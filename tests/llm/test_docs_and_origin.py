@@ -2,6 +2,7 @@ import pytest
 
 from reviewlake.llm import doc_pairs, origin
 from reviewlake.llm.functions_docs import documented
+from reviewlake.llm.layout import Layout, by_layout, lay_out
 from reviewlake.llm.layout import origin as why
 from reviewlake.llm.substance import has_substance
 
@@ -108,3 +109,28 @@ def test_origin_rows(spark):
     df = spark.createDataFrame([(1, "r", "node_modules/a.js", "f()", None, "x")] * 2 + [(2, "r", "a.py", None, None, "x"), (3, "r", None, None, None, "x")], SCHEMA)
     assert [r.file_id for r in origin.not_hand_written(df).collect()] == [1]
     assert origin.not_hand_written(df.limit(0)).count() == 0
+
+
+def test_canonical_layout():
+    lines = lambda script, text: ["".join(t for _, t in x) for x in Layout(script, text).canonical]
+    assert lines(True, "if(a>1){b=2;c([1,2]);}else{d()}") == ["if(a>1){", "b=2;", "c([1,2]);", "}else{", "d()", "}"]
+    assert lines(False, "a=1;b=2\nif a: b(x[1:2], lambda y: 1)\n") == ["a=1;", "b=2", "ifa:", "b(x[1:2],lambday:1)"]
+    wide = Layout(False, "x = [" + ", ".join(["12345678"] * 60) + "]\n")
+    assert 5 <= len(wide.canonical) <= 8 and wide.tightness() == 0
+    assert Layout(True, "a=1;" * 30).tightness() == 1 and Layout(True, "").expansion() == 0
+
+
+NAMES = "merge split trim load".split()
+
+
+@pytest.mark.parametrize("path,text,want", [
+    ("a.js", "".join(f"function {n}{i}(a){{if(a>{i}){{b=a}}return b}}" for i in range(8) for n in NAMES), "minified"),
+    ("a.py", "\n".join(f"a{i}=1;b{i}=2;c{i}=[a{i},b{i}];d{i}=f(a{i},b{i})" for i in range(12)), "minified"),
+    ("a.py", "".join(f"class M{i}(Message):\n    FIELD = {i}\n    slots = ('f', 'g')\n\n" for i in range(6)), "generated"),
+    ("a.ts", "".join(f"export class M{i} extends Message {{\n  f = undefined;\n}}\n" for i in range(6)), "generated"),
+    ("a.js", "module.exports = [\n" + "".join("0x1f, " * 16 + "\n" for _ in range(12)) + "];\n", "data"),
+    ("a.py", "RATES = {\n" + "".join(f'    "{n}{i}": {i},  # since the {n} of last year\n' for i in range(9) for n in NAMES) + "}\n", None),
+    ("a.py", "".join(f"def {n}(a, b={i}):\n    if a > {i}:\n        return {n}_all(a)\n    return b\n\n\n" if i % 2 else f"def {n}(a):\n    for x in a:\n        yield x\n\n\n" for i, n in enumerate(NAMES)), None),
+    ("a.py", "".join(f"from app.{n} import x{i}\n" for i in range(8) for n in NAMES), None)])
+def test_layout_alone(path, text, want):
+    assert by_layout(path, text, lay_out(path, text)) == want
