@@ -1,12 +1,14 @@
 """Problem 9: keyword-stuffed and link-list pages.
 
-A text is cut into blocks.  A block's compression ratio, divided by what prose of its length and language compresses to,
-tells its redundancy; extreme redundancy with few sentence ends is spam, and so is utter redundancy even in the shape of
-sentences.  Blocks that are links with at most a label, tags or product names are spam by what is left when links, tags
-and prices are taken out.  A page is spam if such blocks hold more than half of its text.
+A text is cut into blocks, and each is brought to the words a reader is given: markup is taken off, the texts of attributes
+are put in, disguised letters undone, and what stands in lists of links, tags and numbers becomes one mark each.  The block's
+redundancy is what that compresses to, divided by what prose of the block's length and language compresses to.  Extreme
+redundancy with few sentence ends is spam, and so is utter redundancy even in the shape of sentences.  Rules only take blocks
+out again: logs, tables and code repeat their form and inform all the same.  A page is spam if such blocks hold more than
+half of its text.
 
 Defined results: null and blank texts are not spam; each ``doc_id`` is given once, if any of its rows is spam; very long
-texts are processed whole, block by block.
+texts are processed whole, block by block; one or two links, and up to three tags, are mentions and stay as they are.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from ..session import spread
 SHARE = 0.5
 #: Redundancy (ratio over expected ratio) below which a block without sentences, or any block, is spam.
 LIST_BELOW, ANY_BELOW = 0.70, 0.55
+#: Sentence ends a word (or mark) below which a block has few.
+FEW_ENDS = 0.02
+#: Links and tags that make a list.
+LINKS, TAGS = 3, 4
 #: Longest block that is scored as one; zlib's window is 32 KB.
 BLOCK = 6000
 
@@ -42,12 +48,13 @@ _MD_LINK = re.compile(r"!?\[([^\]\n]*)\]\(\s*(?:https?://|www\.|/)[^)\s]*\)", re
 _TAG = re.compile(r"<!--|-->|</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.I)
 _ATTRIBUTE = re.compile(r"\b(?:alt|title|content|placeholder|aria-label|value)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
 _HASH = re.compile(r"(?<!\S)[#@][^\W\d][\w-]*")
-_PRICE = re.compile(r"(?:[$€£¥]\s?\d[\d.,]*|\b\d[\d.,]*\s?(?:eur|usd|gbp|chf|€|\$|£)\b|\bsku[-\s:]?\w+|\b(?:art|item)\.?\s?(?:no|nr)\.?\s?\w+)", re.I)
+_NUMBER = re.compile(r"\d[\d.,:/_-]*")
+_HOLDER = re.compile(r"<(?:a|img)\b[^<>]*>", re.I)
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d|[A-Z][a-z]{2}\s+\d{1,2}\s\d\d:\d\d:\d\d|(?:DEBUG|INFO|WARN(?:ING)?|ERROR|TRACE|FATAL)\b)")
 _ROW = re.compile(r"\s*\|.*\|\s*$")
 _END = re.compile(r"[.!?。！？…](?=[\s\"'”’)\]*_`]|$)")
 _WORD = re.compile(r"[^\W_]+(?:['’_-][^\W_]+)*")
-_CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|if .*[:{]$|for .*[:{]$|while .*[:{]$|else\b.*[:{]$|try\b|\}|@\w|const |let |var |export |function |public |private |[+-]\s|@@ |diff --git|[\w.\[\]]+\s*[-+*/|&]?=[^=]|\w+\(.*\)[;:]?$|//|#\s|/\*|\*)")
+_CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|if .*[:{]$|for .*[:{]$|while .*[:{]$|else\b.*[:{]$|try\b|\}|@\w|const |let |var |export |function |public |private |@@ |diff --git|[\w.\[\]]+\s*[-+*/|&]?=[^=]|\w+\(.*\)[;:]?$|//|#\s|/\*|\*/)")
 # Digits and signs that stand for letters in disguised words.
 _LEET = str.maketrans({"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
@@ -64,15 +71,14 @@ def language(words: list[str]) -> str:
     return best if counts[best] else "en"
 
 
-def redundancy(text: str) -> float:
-    """Compression ratio over that of prose of the same length and language; about 1 for prose, near 0 for repetition."""
-    words = text.lower().split()
-    text = " ".join(words)
-    n = len(text)
-    if n < 60:
+def redundancy(text: str, length: int | None = None) -> float:
+    """Compressed size over that of prose of ``length`` characters (the text's own if not given) in the text's language; about
+    1 for prose, near 0 for repetition.  Short prose compresses to its own length."""
+    length = len(text) if length is None else length
+    if not text or length <= 0:
         return 1.0
-    data = text.encode("utf-8", "replace")
-    return (len(zlib.compress(data, 6)) - 8) / len(data) / ((0.38 + 4.0 / n**0.5) * _FACTOR[language(words)])
+    expected = length * min(1.0, 0.38 + 4.0 / length**0.5) * _FACTOR[language(text.split())]
+    return max(0, len(zlib.compress(text.encode("utf-8", "replace"), 6)) - 8) / expected
 
 
 _DISGUISED = re.compile(r"\S*\d\S*")
@@ -88,61 +94,75 @@ def _size(text: str) -> int:
     return sum(map(len, text.split()))
 
 
-def _visible(block: str) -> tuple[str, int]:
-    """The text a reader is meant to see, attributes included, and the number of links and images."""
-    links = len(_MD_LINK.findall(block)) if "](" in block else 0
-    text, said = _MD_LINK.sub(lambda m: f" {m[1]} ", block) if links else block, ""
-    tags = 0
-    if "<" in text:
+def canonical(block: str) -> tuple[str, int, int]:
+    """(words and marks of a block, characters they stand for, marks).  A link is one mark, a tag is one, a number is 0."""
+    held = marks = 0
+
+    def link(m: re.Match) -> str:
+        nonlocal held, marks
+        label = m[1] if m.re is _MD_LINK else ""
+        held, marks = held + len(m[0]) - len(label) - 1, marks + 1
+        return f" {label} \u00a4 "
+
+    def tag(m: re.Match) -> str:
+        nonlocal held, marks
+        held, marks = held + len(m[0]) - 1, marks + 1
+        return "#"
+
+    text, said = block, ""
+    holders = _HOLDER.findall(text) if "<" in text else ()
+    plain = _HOLDER.sub(" ", text) if holders else text
+    if len(holders) + len(_URL.findall(plain)) >= LINKS:
+        text = _MD_LINK.sub(link, text) if "](" in text else text
+        said = " ".join(a or b for a, b in _ATTRIBUTE.findall(text)) if "<" in text else ""
+        text = _URL.sub(link, _HOLDER.sub(link, text) if holders else text)
+        held -= len(said) if holders else 0
+    elif "<" in text:
         said = " ".join(a or b for a, b in _ATTRIBUTE.findall(text))
-        tags = len(re.findall(r"<(?:a|img)\b", text, re.I))
-        whole, text = text, _TAG.sub(" ", text)
-        links += tags or len(_URL.findall(whole))
-        text = _URL.sub(" ", text)
-    else:
-        text, n = _URL.subn(" ", text)
-        links += n
-    return html.unescape(f"{text} {said}"), links
+    if "<" in text:
+        text = html.unescape(_TAG.sub(" ", text) + " " + said)
+    if ("#" in text or "@" in text) and len(_HASH.findall(text)) >= TAGS:
+        text = _HASH.sub(tag, text)
+    text = _NUMBER.sub("0", _plain(text.split()))
+    return text, len(text) + max(0, held), marks
 
 
-def _spam(block: str) -> str | None:
-    """Why a block is spam, or None."""
-    lines = [x for x in block.split("\n") if x.strip()]
-    if not lines:
-        return None
+def _explained(line: str) -> bool:
+    """Whether a link is followed by a sentence of twelve words."""
+    rest = _URL.sub(" ", _MD_LINK.sub(" ", line)).strip()
+    return rest[-1:] in (".", "!", "?") and len(_WORD.findall(rest)) >= 12
+
+
+def _informs(lines: list[str]) -> bool:
+    """Lines of a log, of a table, of code or of links that a sentence explains, whose form repeats while each tells something."""
     logged = sum(bool(_LOG.match(x)) for x in lines)
-    if logged >= 0.6 * len(lines):
-        return None
-    text, links = _visible(block)
-    words = _WORD.findall(text)
-    ends = len(_END.findall(text))
-    density = ends / max(1, len(words))
-    if links >= 3 and len(words) <= 6 * links and density < 0.04 and len(words) < 6 * (links + 1):
-        return "links"
-    hashes = _HASH.findall(block) if "#" in block or "@" in block else ()
-    if len(hashes) >= 4 and sum(map(len, hashes)) >= 0.5 * _size(_TAG.sub("", block)):
-        return "tags"
-    priced = sum(bool(_PRICE.search(x)) for x in lines) if len(lines) >= 3 and density < 0.03 else 0
-    if len(lines) >= 3 and priced >= 0.6 * len(lines) and density < 0.03 and not sum(bool(_ROW.match(x)) for x in lines) >= 0.6 * len(lines):
-        return "products"
-    if len(words) < 12 or len(lines) >= 3 and sum(bool(_CODE.match(x)) for x in lines) >= 0.5 * len(lines):
+    rows = sum(bool(_ROW.match(x)) for x in lines)
+    told = sum(("](" in x or "://" in x) and _explained(x) for x in lines)
+    patch = any(x.startswith(("@@ ", "diff --git ")) for x in lines)
+    code = sum(bool(_CODE.match(x)) or patch and x[0] in "+-" for x in lines)
+    return logged >= 0.6 * len(lines) or told >= 0.6 * len(lines) or rows >= 0.6 * len(lines) or len(lines) >= 3 and code >= 0.5 * len(lines)
+
+
+def _spam(block: str) -> str | None:
+    """Why a block is spam -- links, tags, keywords or repetition --, or None."""
+    text, length, marks = canonical(block)
+    words = len(_WORD.findall(text))
+    ends = len(_END.findall(_TAG.sub(" ", block) if "<" in block else block))
+    density = ends / max(1, words + marks)
+    r = redundancy(text, length)
+    if r >= LIST_BELOW:
         return None
-    items = [] if density >= 0.02 else [x.strip().lower() for x in re.split(r"\s+[»«|•·~–—-]+\s+|[,\n]+", text) if x.strip()]
-    short = sum(len(x.split()) <= 4 for x in items)
-    if len(items) >= 12 and short >= 0.9 * len(items) and len(set(items)) <= 0.7 * len(items) and density < 0.02 and sum(bool(re.search(r"[{}();=]", x)) for x in lines) < 0.3 * len(lines):
-        return "keywords"
-    if density >= 0.02:
+    if density >= FEW_ENDS:
         # Prose that is quoted twice is not spam: a sentence counts once, unless a few are all there is.
         sentences = re.split(r"(?<=[.!?])\s+", text.strip())
         once = list(dict.fromkeys(sentences))
         if len(once) < len(sentences) < 5 * len(once):
-            words = _WORD.findall(" ".join(once))
-    r = redundancy(_plain(words))
-    if r < ANY_BELOW:
-        return "repetition"
-    if r < LIST_BELOW and density < 0.02 and not sum(bool(_ROW.match(x)) for x in lines) >= 0.6 * len(lines):
-        return "keywords"
-    return None
+            r = redundancy(" ".join(once))
+    if r >= (LIST_BELOW if density < FEW_ENDS else ANY_BELOW) or _informs([x for x in block.split("\n") if x.strip()]):
+        return None
+    if marks and 6 * marks >= words:
+        return "tags" if text.count("#") > marks / 2 else "links"
+    return "keywords" if density < FEW_ENDS else "repetition"
 
 
 def _is_prose(text: str) -> bool:

@@ -233,6 +233,19 @@ def test_spam(text, want):
     assert (spam.spam_share(text)[0] > spam.SHARE) is want
 
 
+def test_compression_finds_spam_and_rules_only_take_out(monkeypatch):
+    log = "\n".join(f"2024-05-{i + 1:02} 03:31:{i:02} INFO worker job took {i * 77} ms" for i in range(25))
+    texts = [stuffed(" | "), "\n".join(f"https://x{i}.example/a/{i * 7}" for i in range(30)), " ".join("#" + p.replace(" ", "") for p in stuffed("\n", 40).split("\n")), "buy cheap flights " * 9]
+    assert all(spam.spam_share(t)[0] == 1 for t in texts) and not spam.spam_share(log)[0]
+    monkeypatch.setattr(spam, "_informs", lambda lines: False)
+    assert all(spam.spam_share(t)[0] == 1 for t in [*texts, log])
+
+
+def test_mentions_are_no_lists():
+    assert [spam.spam_share(t)[0] for t in ("see https://x.example/a/very/long/path/to/some/page?with=parameters", "#fix #later", "a", "Hello, world.")] == [0, 0, 0, 0]
+    assert spam.redundancy("ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab") < 0.5 < spam.redundancy("short words stay as they are") <= 1.2
+
+
 def test_spam_rows(spark):
     df = spark.createDataFrame([(1, stuffed(" | "), 0.1), (1, stuffed(" | "), 0.1), (2, None, 0.1), (3, PROSE, 0.1), (4, stuffed(" ", 60_000), 0.1)], "doc_id bigint, text string, spam_share double")
     assert sorted(r.doc_id for r in spam.spam_documents(df).collect()) == [1, 4]
