@@ -121,30 +121,6 @@ def members(symbols: DataFrame, bases: DataFrame, depth: int = 5, scope: Sequenc
     return best.select(*scope, "owner", "name", "_b.dst_fqn", "_b.depth")
 
 
-def resolve(refs: DataFrame, symbols: DataFrame, bases: DataFrame, imports: DataFrame | None = None, scope: Sequence[str] = ("repository_id",)) -> DataFrame:
-    """Every reference with its edge: the first rule that applies.
-
-    ``refs``: scope, ref_id, module, owner (class around it or null), receiver, target_name.  Rules in order: a member of
-    the class around it for self, this or cls (1.0); an import of the module bound to the name (``imports``: scope, module,
-    local_name, dst_fqn, dst_unresolved_name, confidence); a top-level symbol of the module (1.0); the name alone.
-    """
-    self_ = F.coalesce(F.col("receiver").isin("self", "this", "cls"), F.lit(False))
-    bare = F.col("receiver").isNull()
-    mem = members(symbols, bases, scope=scope).select(*scope, "owner", F.col("name").alias("target_name"), F.col("dst_fqn").alias("m_dst"))
-    top = symbols.filter("parent_fqn is null").groupBy(*scope, "module", F.col("name").alias("target_name")).agg(F.max_by("fqn", "symbol_id").alias("t_dst"))
-    hidden = F.when(F.coalesce(F.col("receiver").startswith("self."), F.lit(False)), F.col("owner"))
-    r = heuristic(refs.withColumns({"prefer_methods": F.col("receiver").isNotNull(), "exclude_owner": hidden}), symbols, scope)
-    r = r.withColumnsRenamed({"dst_fqn": "h_dst", "dst_unresolved_name": "h_un", "confidence": "h_conf"})
-    r = r.join(mem, [*scope, "owner", "target_name"], "left").join(top, [*scope, "module", "target_name"], "left")
-    by_member, by_top = self_ & F.col("m_dst").isNotNull(), bare & F.col("t_dst").isNotNull()
-    if imports is not None:
-        r = r.join(imports.select(*scope, "module", F.col("local_name").alias("target_name"), F.struct("dst_fqn", "dst_unresolved_name", "confidence").alias("_i")), [*scope, "module", "target_name"], "left")
-    by_import = bare & F.col("_i").isNotNull() if imports is not None else F.lit(False)
-    pick = lambda a, i, t, h: F.when(by_member, a).when(by_import, F.col(i) if imports is not None else F.lit(None)).when(by_top, t).otherwise(F.col(h))
-    return r.select(*refs.columns, pick(F.col("m_dst"), "_i.dst_fqn", F.col("t_dst"), "h_dst").alias("dst_fqn"), pick(F.lit(None), "_i.dst_unresolved_name", F.lit(None), "h_un").alias("dst_unresolved_name"),
-                    pick(F.lit(1.0), "_i.confidence", F.lit(1.0), "h_conf").alias("confidence"), F.when(by_member, "member").when(by_import, "import").when(by_top, "module").otherwise("name").alias("rule"))
-
-
 def resolution_stats(edges: DataFrame, by: str = "language") -> DataFrame:
     """Totals and rates by ``by`` and over all (null): external names are counted but are in no rate; no edge gives 1."""
     outside = F.col("dst_fqn").isNull() & (F.col("confidence") == S.CONFIDENCE["external"])
@@ -152,37 +128,3 @@ def resolution_stats(edges: DataFrame, by: str = "language") -> DataFrame:
     g = e.rollup(by).agg(F.count("*").alias("edges"), F.count_if("ok").alias("resolved"), F.count_if("ext").alias("external"), F.count_if("un").alias("unresolved"), F.grouping(by).alias("is_total"))
     tried = F.col("resolved") + F.col("unresolved")
     return g.withColumn("rate", F.when(tried == 0, F.lit(1.0)).otherwise(F.round(F.col("resolved") / tried, 6)))
-
-
-def follow(starts: DataFrame, links: DataFrame, ends: DataFrame, hops: int = 5) -> DataFrame:
-    """Follows links from every start until it stands on an end, ``hops`` times at most: start, at, steps.
-
-    ``starts``: start; ``links``: at, next; ``ends``: at.  Chains that break off or go in circles give no row.
-    """
-    goal = ends.select("at").distinct()
-    walk, out = starts.select("start", F.col("start").alias("at")), None
-    for step in range(hops + 1):
-        got = walk.join(goal, "at", "left_semi").select("start", "at", F.lit(step).alias("steps"))
-        out = got if out is None else out.unionByName(got)
-        if step < hops:
-            walk = walk.join(goal, "at", "left_anti").join(links, "at").select("start", F.col("next").alias("at"))
-    return out
-
-
-def binding(imports: DataFrame, modules: DataFrame, top_level: DataFrame, scope: Sequence[str] = ("repository_id",)) -> DataFrame:
-    """What each import is bound to.
-
-    ``imports``: scope, import_id, module, imported_symbol; ``modules``: scope, module; ``top_level``: scope, module, name,
-    fqn.  In order: a whole module of the repository, a symbol of one (1.0), a submodule (1.0), an unknown name of a known
-    module (0.3), anything else external (0.9).
-    """
-    known = modules.select(*scope, "module").distinct().withColumn("is_known", F.lit(True))
-    t = top_level.groupBy(*scope, "module", F.col("name").alias("imported_symbol")).agg(F.max("fqn").alias("t_fqn"))
-    target = F.concat_ws(".", "module", "imported_symbol")
-    r = imports.withColumn("target", target).join(known, [*scope, "module"], "left").join(t, [*scope, "module", "imported_symbol"], "left")
-    r = r.join(known.select(*scope, F.col("module").alias("target"), F.col("is_known").alias("is_sub")), [*scope, "target"], "left")
-    whole = F.col("imported_symbol").isNull()
-    kind = F.when(whole & F.col("is_known"), "module").when(whole, "external").when(F.col("t_fqn").isNotNull(), "symbol").when(F.col("is_sub"), "submodule").when(F.col("is_known"), "unknown").otherwise("external")
-    k = F.col("binding")
-    return r.withColumn("binding", kind).select(*imports.columns, "binding", F.when(k == "module", F.col("module")).when(k == "symbol", F.col("t_fqn")).when(k == "submodule", F.col("target")).alias("dst_fqn"),
-                                                F.when(k.isin("external", "unknown"), F.col("target")).alias("dst_unresolved_name"), F.when(k == "external", 0.9).when(k == "unknown", 0.3).otherwise(1.0).alias("confidence"))

@@ -47,11 +47,13 @@ class _Python:
             self.refs.append((kind, name, owner, node.lineno, receiver, types.get(receiver) if receiver else None))
 
     def _names(self, kind: str, node: ast.expr | None, owner: str) -> None:
-        for n in ast.walk(node) if node is not None else ():
-            if isinstance(n, (ast.Name, ast.Attribute)):
+        todo = [node] if node is not None else []
+        while todo:
+            n = todo.pop()
+            if isinstance(n, (ast.Name, ast.Attribute)):  # a dotted name is one
                 self._ref(kind, n, owner, {})
-                if isinstance(n, ast.Attribute):
-                    break
+            else:
+                todo += reversed(list(ast.iter_child_nodes(n)))
 
     def _calls(self, body: list[ast.stmt], owner: str, types: dict[str, str]) -> None:
         todo: list[ast.AST] = list(body)
@@ -72,7 +74,7 @@ class _Python:
                     types.setdefault(n.targets[0].id, name)
         for n in body:
             if isinstance(n, ast.Import):
-                self.imports += [(a.asname or a.name.split(".")[0], a.name, None, False, 0, n.lineno) for a in n.names]
+                self.imports += [(a.asname or a.name, a.name, None, False, 0, n.lineno) for a in n.names]
             elif isinstance(n, ast.ImportFrom):
                 self.imports += [(a.asname or a.name, n.module or "", None if a.name == "*" else a.name, n.level > 0, n.level, n.lineno) for a in n.names]
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -99,16 +101,28 @@ class _Python:
         self._calls(own, owner, types)
 
 
-# Names of the language that never become references.
-PYTHON_BUILTINS = frozenset("print len range int str float bool list dict set tuple frozenset bytes type isinstance issubclass super object enumerate zip map filter sorted reversed sum min max any all abs round open iter next getattr setattr hasattr repr hash id property staticmethod classmethod Exception ValueError TypeError KeyError IndexError RuntimeError NotImplementedError".split())
+# Names of Python that never become references.
+PYTHON_BUILTINS = frozenset(
+    "print len range enumerate zip map filter open isinstance issubclass getattr setattr hasattr super str int float bool bytes list dict set tuple frozenset object type repr hash id iter next "
+    "sorted reversed sum min max abs round any all callable vars dir format input chr ord hex oct bin Exception ValueError TypeError KeyError IndexError RuntimeError StopIteration None True False self cls "
+    "property staticmethod classmethod NotImplementedError AttributeError OSError IOError".split())
+# Objects of the script runtime whose members never become references.
+SCRIPT_MEMBER_GLOBALS = frozenset("console window document globalThis process Math JSON Object Reflect Number String Boolean Symbol Date Array Promise localStorage sessionStorage navigator".split())
+# Functions of the script runtime that never become references where they are called bare.
+SCRIPT_BARE_GLOBALS = frozenset("parseInt parseFloat isNaN isFinite setTimeout setInterval clearTimeout clearInterval structuredClone queueMicrotask require super".split())
+# Types of TypeScript that never become references.
+SCRIPT_BUILTIN_TYPES = frozenset(
+    "string number boolean void any unknown never null undefined object bigint symbol this Array Promise Record Partial Readonly Pick Omit Map Set Date Function Object String Number Boolean RegExp Error "
+    "Iterable Iterator ReadonlyArray".split())
 
 _SCRIPT_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|`(?:[^`\\]|\\.)*`?|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|(?<=[=(,:;!&|?{}\n])\s*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", re.S)
 _DECLARATION = re.compile(r"(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?(?:(?:abstract\s+)?(?P<kind>class|interface|enum|type|function)\b\*?\s*(?P<name>[A-Za-z_$][\w$]*)|(?:async\s+)?function\s*\*?\s*(?P<fn>[A-Za-z_$][\w$]*)|(?:const|let|var)\s+(?P<var>[A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=;{]+)?=>|[A-Za-z_$][\w$]*\s*=>))")
 _MEMBER = re.compile(r"(?:^|[;}\n{])\s*(?:@[\w.]+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)\s+)*\*?(?P<name>#?[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\((?P<args>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?::[^;{=]+)?\{")
 _CALL = re.compile(r"(?:\bnew\s+)?(?:(?P<recv>[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\.)?(?P<name>[A-Za-z_$][\w$]*)\s*\(")
 _IMPORT = re.compile(r"\b(?:import|export)\b\s*(?:type\s+)?(?P<what>[^;'\"]*?)\s*(?:\bfrom\s*)?(?P<q>['\"])(?P<module>[^'\"]+)(?P=q)")
-# Words and globals that are no calls into a repository.
-SCRIPT_WORDS = frozenset("if for while switch catch return function typeof void delete await yield super import require constructor new class else do try throw in of instanceof console Math JSON Object Array String Number Boolean Promise Symbol Date RegExp Error Map Set parseInt parseFloat".split())
+# Words of the language that a bracket may follow.
+SCRIPT_WORDS = frozenset("if for while switch catch return function typeof void delete await yield import constructor new class else do try throw in of instanceof".split())
+_TYPE_NAME = re.compile(r"(?<![\w$.])[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?!\s*\??:)")
 
 
 def _blank(m: re.Match) -> str:
@@ -175,6 +189,20 @@ def _head_end(text: str, at: int, kind: str) -> int:
     return len(text)
 
 
+def _annotations(head: str) -> list[str]:
+    """Names of the types behind the colons of a declaration's head, in the order they stand."""
+    names, depth, start = [], 0, None
+    for i, c in enumerate(head + ","):
+        if start is None:
+            start = i + 1 if c == ":" else None
+            continue
+        depth += (c == "<") - (c == ">" and head[i - 1] != "=")
+        if depth <= 0 and c in ",)=;{" or i == len(head):
+            names += _TYPE_NAME.findall(head[start:i])
+            depth, start = 0, None
+    return [x for x in names if x not in SCRIPT_BUILTIN_TYPES]
+
+
 def _script(path: str, source: str) -> tuple[str, list, list, list]:
     module = re.sub(r"\.(d\.ts|mts|cts|tsx|ts|jsx|mjs|cjs|js)$", "", path)
     text = _SCRIPT_TOKEN.sub(_blank, source)
@@ -218,15 +246,19 @@ def _script(path: str, source: str) -> tuple[str, list, list, list]:
             body = text.find("{", at)
             for m in _MEMBER.finditer(text, body, end):
                 n_at = m.start("name")
-                if m["name"] in SCRIPT_WORDS - {"constructor"} or text.count("{", body, n_at) - text.count("}", body, n_at) != 1 or n_at in seen:
+                if m["name"] in SCRIPT_WORDS - {"constructor"} | {"super"} or text.count("{", body, n_at) - text.count("}", body, n_at) != 1 or n_at in seen:
                     continue
                 seen.add(n_at)
                 stop = _close(text, m.end() - 1)
                 spans.append((n_at, stop, f"{fqn}.{m['name']}"))
                 symbols.append((f"{fqn}.{m['name']}", m["name"], "method", line(n_at), line(stop - 1), " ".join(source[n_at : m.end() - 1].split()), None, False, fqn))
+    if re.search(r"\.[mc]?tsx?$", path):
+        for at, end, fqn in spans:
+            stop = min(x for x in (marked.find("{", at), end) if x >= 0)
+            refs += [("references", x.rpartition(".")[2], fqn, line(at), x.rpartition(".")[0] or None, None) for x in _annotations(marked[at:stop]) if not x.startswith('"')]
     spans.sort()
     for m in _CALL.finditer(text):
-        if m["name"] in SCRIPT_WORDS or (m["recv"] or "").split(".")[0] in SCRIPT_WORDS:
+        if m["name"] in SCRIPT_WORDS or (m["recv"].split(".")[0] in SCRIPT_MEMBER_GLOBALS if m["recv"] else m["name"] in SCRIPT_BARE_GLOBALS | SCRIPT_MEMBER_GLOBALS):
             continue
         own = [x for x in spans if x[0] < m.start() < x[1]]
         if m.start("name") in seen or any(abs(x[0] - m.start()) < 2 for x in spans) or re.search(r"function\s*\*?\s*$", text[max(0, m.start() - 12) : m.start("name")]):

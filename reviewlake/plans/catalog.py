@@ -6,7 +6,7 @@ FLAGSHIP = "context_pack"
 
 
 def _load():
-    from . import evaluation, files, graph, review, snapshots, streams, texts  # noqa: F401 - they register their queries
+    from . import evaluation, files, graph, resolution, review, snapshots, streams, texts  # noqa: F401 - they register their queries
     from .registry import QUERIES, SQL
 
     return QUERIES, SQL

@@ -9,7 +9,7 @@ from ..operators import retrieval
 from ..sources.tables import table
 from . import relations as R
 from . import review as V
-from .graph import BUDGET, PACK, RESOLVED, _pack, _resolved
+from .graph import BUDGET, PACK, _pack
 from .registry import query
 
 
@@ -82,11 +82,3 @@ def eval_retrieval(spark, d):
     return s.agg(F.count("*").alias("requests"), F.round(F.avg(kept / (kept + F.col("dropped"))), 6).alias("mean_recall"), F.sum("graph").alias("structural"), F.round(F.avg("tokens") / BUDGET, 6).alias("mean_utilization"))
 
 
-@query(f"with {RESOLVED} select lang as language, count(*) as labels, count_if(regexp_extract(replace(dst_fqn, '::', '.'), '[^.]*$') = r.target_name) as agreed, round(count_if(regexp_extract(replace(dst_fqn, '::', '.'), '[^.]*$') = r.target_name) / count(*), 6) as accuracy from res join (select ref_id, target_name from ref) r using (ref_id) group by lang")
-def eval_resolution(spark, d):
-    """Resolved references whose symbol bears the name that was meant, by language."""
-    from ..functions.scalars import fqn_tail as tail
-
-    r = _resolved(spark, d)
-    ok = F.count_if(tail("dst_fqn") == F.col("target_name"))
-    return r.groupBy("language").agg(F.count("*").alias("labels"), ok.alias("agreed"), F.round(ok / F.count("*"), 6).alias("accuracy"))

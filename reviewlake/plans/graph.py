@@ -144,56 +144,6 @@ def resolve_heuristic(spark, d):
     return G.heuristic(r, s).select("ref_id", "dst_fqn", "dst_unresolved_name", "confidence")
 
 
-RESOLVED = REFS + ", " + HEUR + ", " + MEMBERS + """, tops as (select repository_id, path module, name, arg_max(fqn, symbol_id) dst from sym where parent_fqn is null group by all),
-res as (select h.ref_id, h.repository_id, h.lang,
-  case when h.receiver in ('self', 'this', 'cls') and m.k is not null then struct_extract_at(m.k, 2) when h.receiver is null and t.dst is not null then t.dst when h.n > 0 then h.dst end dst_fqn,
-  case when (h.receiver in ('self', 'this', 'cls') and m.k is not null) or (h.receiver is null and t.dst is not null) or h.n > 0 then null else h.target_name end dst_unresolved_name,
-  (case when (h.receiver in ('self', 'this', 'cls') and m.k is not null) or (h.receiver is null and t.dst is not null) then 1.0 when h.n = 0 then 0.3 when h.n = 1 then 0.8 else 0.5 end)::double confidence,
-  case when h.receiver in ('self', 'this', 'cls') and m.k is not null then 'member' when h.receiver is null and t.dst is not null then 'module' else 'name' end as rule
-  from heu h left join mem m on m.repository_id = h.repository_id and m.owner = h.owner and m.name = h.target_name left join tops t on t.repository_id = h.repository_id and t.module = h.module and t.name = h.target_name)"""
-
-
-def _resolved(spark, d):
-    s = cut(R.symbols(spark, d))
-    return G.resolve(references(spark, d, s), s.withColumn("module", F.col("path")), bases(spark, d, s))
-
-
-@query(f"with {RESOLVED} select ref_id, dst_fqn, dst_unresolved_name, confidence, rule from res")
-def resolve_refs(spark, d):
-    return _resolved(spark, d).select("ref_id", "dst_fqn", "dst_unresolved_name", "confidence", "rule")
-
-
-@query(f"""with {RESOLVED}, g as (select lang as language, count(*) edges, count_if(dst_fqn is not null) resolved, count_if(dst_fqn is null and confidence = 0.9) external, count_if(dst_fqn is null and confidence <> 0.9) unresolved from res group by rollup (lang))
-select language, edges, resolved, external, unresolved, case when resolved + unresolved = 0 then 1.0 else round(resolved / (resolved + unresolved), 6) end as rate from g""")
-def resolution_stats(spark, d):
-    return G.resolution_stats(_resolved(spark, d)).drop("is_total")
-
-
-@query(rf"""with {R.SYMBOLS}, raw as (select file_id, repository_id, unnest(regexp_extract_all(coalesce(content, ''), '(?m)^from [\w.]+ import \w+')) t from src where ends_with(path, '.py')),
-imp as (select distinct file_id, repository_id, regexp_extract(t, '^from ([\w.]+) import', 1) module, regexp_extract(t, 'import (\w+)$', 1) imported_symbol from raw),
-mods as (select distinct repository_id, regexp_replace(replace(regexp_replace(path, '\.pyi?$', ''), '/', '.'), '(^|\.)__init__$', '') module from src where ends_with(path, '.py')),
-tops as (select repository_id, regexp_replace(replace(regexp_replace(path, '\.pyi?$', ''), '/', '.'), '(^|\.)__init__$', '') module, name, max(fqn) fqn from sym where parent_fqn is null and ends_with(path, '.py') group by all),
-b as (select i.*, m.module is not null known, t.fqn, s.module is not null sub from imp i left join mods m on m.repository_id = i.repository_id and m.module = i.module left join tops t on t.repository_id = i.repository_id and t.module = i.module and t.name = i.imported_symbol left join mods s on s.repository_id = i.repository_id and s.module = i.module || '.' || i.imported_symbol)
-select file_id, module, imported_symbol, case when fqn is not null then 'symbol' when sub then 'submodule' when known then 'unknown' else 'external' end as binding,
-  case when fqn is not null then fqn when sub then module || '.' || imported_symbol end as dst_fqn, (case when fqn is not null or sub then 1.0 when known then 0.3 else 0.9 end)::double as confidence from b""")
-def resolve_imports(spark, d):
-    """From-imports of Python files, read off the text, bound to modules and symbols of their repository."""
-    src = R.files(spark, d).filter("path like '%.py'")
-    lines = src.select("file_id", "repository_id", F.explode(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?m)^from [\w.]+ import \w+"), F.lit(0))).alias("t"))
-    imports = lines.select("file_id", "repository_id", F.regexp_extract("t", r"^from ([\w.]+) import", 1).alias("module"), F.regexp_extract("t", r"import (\w+)$", 1).alias("imported_symbol")).distinct()
-    modules = src.select("repository_id", S.module_fqn("path").alias("module"))
-    top = R.symbols(spark, d).filter("parent_fqn is null and path like '%.py'").select("repository_id", S.module_fqn("path").alias("module"), "name", "fqn")
-    return G.binding(imports, modules, top).select("file_id", "module", "imported_symbol", "binding", "dst_fqn", "confidence")
-
-
-@query(f"with recursive {R.SNAPSHOTS}, w as (select snapshot_id as origin, snapshot_id as at, 0 as steps from snp union all select w.origin, s.parent_snapshot_id, w.steps + 1 from w join snp s on s.snapshot_id = w.at where s.status <> 'ready' and s.parent_snapshot_id is not null and w.steps < 5) select w.origin, w.at as stands_on, w.steps from w join snp s on s.snapshot_id = w.at where s.status = 'ready'")
-def resolve_reexport(spark, d):
-    """The bounded chase of re-exports, run over parent links: the nearest ready snapshot within five steps."""
-    s = cut(R.snapshots(spark, d).select("snapshot_id", "parent_snapshot_id", "status"))
-    got = G.follow(s.select(F.col("snapshot_id").alias("start")), s.filter("parent_snapshot_id is not null").select(F.col("snapshot_id").alias("at"), F.col("parent_snapshot_id").alias("next")), s.filter("status = 'ready'").select(F.col("snapshot_id").alias("at")))
-    return got.select(F.col("start").alias("origin"), F.col("at").alias("stands_on"), "steps")
-
-
 def candidates(spark, d):
     """Anchors and graph neighbours of every request, with the chunk of their symbol."""
     s = cut(R.symbols(spark, d))

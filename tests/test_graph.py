@@ -36,29 +36,3 @@ def test_other_repositories_and_empty_input(spark):
     assert G.expand(a.limit(0), e.limit(0)).count() == 0
     with pytest.raises(ValueError):
         G.expand(a, e, depth=0)
-
-
-def refs(spark, rows):
-    return spark.createDataFrame([("r", i, *x) for i, x in enumerate(rows)], "repository_id string, ref_id int, module string, owner string, receiver string, target_name string")
-
-
-def test_resolution_rules_in_order(spark):
-    s = spark.createDataFrame([
-        ("r", 1, "m.A", "A", "class", None, "m"), ("r", 2, "m.A.go", "go", "method", "m.A", "m"), ("r", 3, "m.B", "B", "class", None, "m"), ("r", 4, "m.B.run", "run", "method", "m.B", "m"),
-        ("r", 5, "m.help", "help", "function", None, "m"), ("r", 6, "n.help", "help", "function", None, "n"), ("r", 7, "n.C.close", "close", "method", "n.C", "n"), ("r", 8, "m.A.close", "close", "method", "m.A", "m")], SYMBOLS)
-    bases = spark.createDataFrame([("r", "m.A", "m.B", 1), ("r", "m.B", "m.A", 1)], "repository_id string, owner string, base string, ordinal int")
-    got = {r.ref_id: (r.dst_fqn, r.dst_unresolved_name, r.confidence, r.rule) for r in G.resolve(refs(spark, [
-        ("m", "m.A", "self", "go"), ("m", "m.A", "self", "run"), ("m", None, None, "help"), ("x", None, None, "help"), ("m", "m.A", "self.conn", "close"), ("m", None, "obj", "nothing"), ("m", None, "obj", "close")]), s, bases).collect()}
-    assert got == {0: ("m.A.go", None, 1.0, "member"), 1: ("m.B.run", None, 1.0, "member"), 2: ("m.help", None, 1.0, "module"), 3: ("m.help", None, 0.5, "name"), 4: ("n.C.close", None, 0.8, "name"), 5: (None, "nothing", 0.3, "name"), 6: ("m.A.close", None, 0.5, "name")}
-
-
-def test_imports_bind_first_and_chains_are_bounded(spark):
-    imp = spark.createDataFrame([("r", 1, "pkg.m", "f"), ("r", 2, "pkg", "m"), ("r", 3, "pkg.m", "zzz"), ("r", 4, "os", None), ("r", 5, "pkg.m", None), ("r", 6, "os", "path")], "repository_id string, import_id int, module string, imported_symbol string")
-    mods = spark.createDataFrame([("r", "pkg"), ("r", "pkg.m")], "repository_id string, module string")
-    top = spark.createDataFrame([("r", "pkg.m", "f", "pkg.m.f")], "repository_id string, module string, name string, fqn string")
-    got = {r.import_id: (r.binding, r.dst_fqn, r.confidence) for r in G.binding(imp, mods, top).collect()}
-    assert got == {1: ("symbol", "pkg.m.f", 1.0), 2: ("submodule", "pkg.m", 1.0), 3: ("unknown", None, 0.3), 4: ("external", None, 0.9), 5: ("module", "pkg.m", 1.0), 6: ("external", None, 0.9)}
-    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("c", "c")], "at string, next string")
-    starts = spark.createDataFrame([("n0",), ("n4",), ("n9",), ("c",)], "start string")
-    ends = spark.createDataFrame([("n9",)], "at string")
-    assert sorted((r.start, r.steps) for r in G.follow(starts, links, ends).collect()) == [("n4", 5), ("n9", 0)]

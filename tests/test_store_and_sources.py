@@ -73,11 +73,20 @@ def test_git_and_tree_listing(spark, tmp_path):
     run("add", ".")
     run("-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "m")
     listing.register(spark)
-    got = {r.path: (r.size_bytes, r.content) for r in spark.read.format("git").option("content", "true").option("partitions", "2").load(str(tmp_path)).collect()}
-    assert got == {"d/a.py": (6, "x = 1\n"), "b.ts": (0, "")}
+    read = lambda **o: spark.read.format("git").options(**o)
+    df = read(content="true", slice_files="1").load(str(tmp_path))
+    assert {r.path: (r.size_bytes, r.content) for r in df.collect()} == {"d/a.py": (6, "x = 1\n"), "b.ts": (0, "")} and df.rdd.getNumPartitions() == 2
+    assert {r.path: (r.size_bytes, r.content) for r in read().load(str(tmp_path)).collect()} == {"d/a.py": (6, None), "b.ts": (0, None)}
+    url, cache = f"file://{tmp_path}/.git", str(tmp_path / "clones")
+    for _ in range(2):
+        assert sorted(r.path for r in read(url=url, cache=cache).load().collect()) == ["b.ts", "d/a.py"]
+    assert len(list((tmp_path / "clones").iterdir())) == 1
     tree = {r.path: r.size_bytes for r in listing.list_tree(spark, str(tmp_path / "d")).collect()}
     assert tree == {"a.py": 6}
-    assert listing.parse_ls_tree(b"120000 blob aa       -\tl\x00160000 commit bb       -\tsub\x00") == [("l", "aa", 0)]
+    assert listing.entries(b"blob aa 12 a b\x00commit bb - sub\x00blob cc - \xff\x00") == [("a b", "aa", 12), ("\\xff", "cc", 0)]
+    assert listing.slug("https://x.example/o/re po.git/").startswith("re_po-") and listing.slug("a") != listing.slug("b")
+    files = spark.createDataFrame([(".gitignore", "a/\n*.log"), ("d/.gitignore", "x")], "path string, content string")
+    assert listing.root_ignore_rules(files) == ["a/", "*.log"] and listing.root_ignore_rules(files.limit(0)) == []
 
 
 def test_stream_drops_redelivery_and_goes_on_where_it_ended(spark, tmp_path):
