@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,6 +45,7 @@ _COMMON = {
 _FACTOR = {"en": 1.0, "de": 0.92, "fr": 0.9, "es": 0.9}
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|^[ \t*•-]*[\w-]+(?:\.[\w-]+)+(?:/\S*)?[ \t\r]*$", re.I | re.M)
+_HOST = re.compile(r"^[ \t*•-]*[\w-]+(?:\.[\w-]+)+(?:/\S*)?[ \t\r]*$", re.M)
 _MD_LINK = re.compile(r"!?\[([^\]\n]*)\]\(\s*(?:https?://|www\.|/)[^)\s]*\)", re.I)
 _TAG = re.compile(r"<!--|-->|</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.I)
 _ATTRIBUTE = re.compile(r"\b(?:alt|title|content|placeholder|aria-label|value)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
@@ -59,14 +61,9 @@ _CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|if .*[:
 _LEET = str.maketrans({"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
 
-_LANGUAGES = {w: [k for k, v in _COMMON.items() if w in v] for v in _COMMON.values() for w in v}
-
-
 def language(words: list[str]) -> str:
-    counts = dict.fromkeys(_COMMON, 0)
-    for w in words:
-        for k in _LANGUAGES.get(w, ()):
-            counts[k] += 1
+    often = Counter(words)
+    counts = {k: sum(map(often.get, v & often.keys())) for k, v in _COMMON.items()}
     best = max(counts, key=counts.get)
     return best if counts[best] else "en"
 
@@ -81,7 +78,7 @@ def redundancy(text: str, length: int | None = None) -> float:
     return max(0, len(zlib.compress(text.encode("utf-8", "replace"), 6)) - 8) / expected
 
 
-_DISGUISED = re.compile(r"\S*\d\S*")
+_DISGUISED = re.compile(r"(?<!\S)[^\s\d]*\d\S*")
 
 
 def _plain(words: list[str]) -> str:
@@ -112,7 +109,8 @@ def canonical(block: str) -> tuple[str, int, int]:
     text, said = block, ""
     holders = _HOLDER.findall(text) if "<" in text else ()
     plain = _HOLDER.sub(" ", text) if holders else text
-    if len(holders) + len(_URL.findall(plain)) >= LINKS:
+    urls = _URL if "://" in plain or "www." in plain or "WWW." in plain else _HOST
+    if len(holders) + len(urls.findall(plain)) >= LINKS:
         text = _MD_LINK.sub(link, text) if "](" in text else text
         said = " ".join(a or b for a, b in _ATTRIBUTE.findall(text)) if "<" in text else ""
         text = _URL.sub(link, _HOLDER.sub(link, text) if holders else text)
@@ -146,12 +144,12 @@ def _informs(lines: list[str]) -> bool:
 def _spam(block: str) -> str | None:
     """Why a block is spam -- links, tags, keywords or repetition --, or None."""
     text, length, marks = canonical(block)
-    words = len(_WORD.findall(text))
-    ends = len(_END.findall(_TAG.sub(" ", block) if "<" in block else block))
-    density = ends / max(1, words + marks)
     r = redundancy(text, length)
     if r >= LIST_BELOW:
         return None
+    words = len(_WORD.findall(text))
+    ends = len(_END.findall(_TAG.sub(" ", block) if "<" in block else block))
+    density = ends / max(1, words + marks)
     if density >= FEW_ENDS:
         # Prose that is quoted twice is not spam: a sentence counts once, unless a few are all there is.
         sentences = re.split(r"(?<=[.!?])\s+", text.strip())
