@@ -94,7 +94,8 @@ class Graph:
         src, dst = src[dst >= 0], dst[dst >= 0]
         if not len(dst):
             return
-        by = np.argsort(dst, kind="stable")
+        near = np.concatenate([np.einsum("ij,ij->i", self.x[src[i : i + 65536]], self.x[dst[i : i + 65536]]) for i in range(0, len(src), 65536)])
+        by = np.lexsort((-near, dst))  # the nearest first, should more come than are looked at
         src, dst = src[by], dst[by]
         targets, starts, counts = np.unique(dst, return_index=True, return_counts=True)
         most = int(min(counts.max(), 3 * self.degree))

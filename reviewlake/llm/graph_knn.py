@@ -1,16 +1,18 @@
 """Problem 1: the most similar vectors of every vector.
 
-Distinct vectors are dealt at random into shards; each shard builds a robust-pruned directed graph (see ``graph``) and
-answers a beam search for every distinct vector of the model.  What the searches propose is scored again in double
-precision, the shards' bests are merged, and groups of equal vectors are put back in.
+Distinct vectors are dealt to shards by centroids; each shard builds a robust-pruned directed graph (see ``graph``) and
+answers beam searches.  A vector is a member of the ``COPIES`` shards whose centroids are nearest to it and is searched in the
+``PROBES`` nearest ones, so what a vector costs does not grow with their number.  What the searches propose is scored again in
+double precision, the shards' bests are merged, and groups of vectors of one direction are put back in.
 
-Shards hold a third of a model's vectors, but 4,096 at least and 65,536 at most, so the searches per vector stay few up
-to two hundred thousand vectors and grow with the number of shards beyond; a shard is built and searched in one task that reads
-its members first and streams the queries, so memory follows the shard's size and not the table's.
+A shard holds ``SHARD`` vectors of its own on average (and as many copies), at all sizes; beyond ``MOST_SHARDS`` shards they
+grow instead, as the centroids are broadcast.  Centroids are fitted on a sample of ``SAMPLE`` vectors a shard, ``MOST_SAMPLE``
+at most; every vector is indexed.  A shard that comes out larger than four average ones is split at random, and its queries
+search all parts; one with more than ``QUERIES_A_TASK`` queries is built again in further tasks.
 
 Defined results: null, wrong-width, all-zero and non-finite vectors are left out, as are rows with a null id or model; of
 rows that repeat a ``vector_id`` the smallest vector holds; scores are rounded to 6 places and ties go to the smaller id;
-an empty table gives no rows.
+vectors whose directions agree to seven places are one point; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .graph import Graph
 
-SMALLEST, LARGEST, SHARDS = 4096, 65536, 3
-DEGREE, BEAM, ALPHA = 24, 40, 1.2
+SHARD, MOST_SHARDS, COPIES, PROBES = 4096, 4096, 2, 4
+SAMPLE, MOST_SAMPLE, ROUNDS = 64, 131_072, 6
+DEGREE, BEAM, ALPHA = 20, 28, 1.2
 #: Queries a shard's task answers at most; beyond, the shard is built again in another task.
 QUERIES_A_TASK = 250_000
 
@@ -81,44 +84,86 @@ def _shard_task(k: int, beam: int):
     return run
 
 
-def nearest(points: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
+def centroids(x: np.ndarray, shards: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Spherical k-means from ``shards`` of the vectors, which puts as many centroids where as much of the data is."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = x[np.random.default_rng(7).choice(len(x), shards, replace=False)]
+    for _ in range(rounds):
+        own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 0, total / np.where(norm > 0, norm, 1), c)
+    return c.astype(np.float32)
+
+
+def _route(points: DataFrame, fitted: dict[str, np.ndarray]) -> DataFrame:
+    """Adds ``homes`` and ``asks``: the shards a point is a member of and those it is searched in."""
+    sent = points.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["homes"], b["asks"] = [np.array([0], np.int32)] * len(b), [np.array([0], np.int32)] * len(b)
+            for model, part in b.groupby("embedding_model"):
+                c = sent.value.get(model)
+                if c is None:
+                    continue
+                by = np.argsort(-(np.stack(part["embedding"].to_numpy()).astype(np.float32) @ c.T), axis=1, kind="stable").astype(np.int32)
+                b.loc[part.index, "homes"] = pd.Series(list(by[:, :COPIES]), index=part.index)
+                b.loc[part.index, "asks"] = pd.Series(list(by[:, :PROBES]), index=part.index)
+            yield b
+
+    return points.mapInPandas(run, "embedding_model string, id bigint, embedding array<float>, homes array<int>, asks array<int>")
+
+
+def nearest(points: DataFrame, k: int, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
     """``embedding_model, id, near`` for distinct points ``(embedding_model, id, embedding)``.
 
     ``near`` holds up to ``k`` others as ``struct<lack: double, id: bigint>``, ``lack`` being one minus the rounded score,
-    nearest first.  Models and their sizes are collected (a row each); points never are.
+    nearest first.  Collected are the models' sizes, the sample the centroids are fitted on, and the shards' sizes.
     """
     sizes = {r["embedding_model"]: r["count"] for r in points.groupBy("embedding_model").count().collect()}
     if not sizes:
         return points.select("embedding_model", "id", F.expr("array(named_struct('lack', 0d, 'id', id))").alias("near")).limit(0)
-    first, total = {}, 0
-    for model in sorted(sizes):
-        n = sizes[model]
-        shards = max(1, -(-n // max(SMALLEST, min(LARGEST, -(-n // SHARDS)))))
-        copies = max(1, -(-n // QUERIES_A_TASK))
-        first[model] = (total, shards, copies)
-        total += shards * copies
-    plan = F.create_map(*[x for m, (a, s, c) in first.items() for x in (F.lit(m), F.struct(F.lit(a).alias("at"), F.lit(s).alias("shards"), F.lit(c).alias("copies")))])
-    p = points.withColumn("plan", plan[F.col("embedding_model")])
-    own = F.col("plan.at") + F.pmod(F.xxhash64("id"), F.col("plan.shards")) * F.col("plan.copies")
-    members = p.select("embedding_model", "id", "embedding", F.lit(False).alias("is_query"), F.explode(F.expr("sequence(0, plan.copies - 1)")).alias("copy"), own.alias("base")).withColumn("task", (F.col("base") + F.col("copy")).cast("int"))
-    asked = p.withColumn("shard", F.explode(F.expr("sequence(0, plan.shards - 1)"))).select(
-        "embedding_model", "id", "embedding", F.lit(True).alias("is_query"),
-        (F.col("plan.at") + F.col("shard") * F.col("plan.copies") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("plan.copies"))).cast("int").alias("task"))
-    dealt = members.select(asked.columns).unionByName(asked).repartitionById(total, F.col("task")).sortWithinPartitions("is_query")
+    fitted: dict[str, np.ndarray] = {}
+    for model, n in sorted(sizes.items()):
+        shards = min(MOST_SHARDS, -(-n // shard))
+        if shards > 1:
+            sample = points.filter(F.col("embedding_model") == model).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(min(n, MOST_SAMPLE, SAMPLE * shards)).select("embedding").toPandas()
+            fitted[model] = centroids(np.stack(sample["embedding"].to_numpy()).astype(np.float64), min(shards, len(sample)))
+    routed = cut(_route(points.select("embedding_model", "id", "embedding"), fitted))
+    held = routed.select("embedding_model", F.explode("homes").alias("shard"), F.lit(1).alias("m"), F.lit(0).alias("q")).unionByName(routed.select("embedding_model", F.explode("asks").alias("shard"), F.lit(0).alias("m"), F.lit(1).alias("q")))
+    total, rows = 0, []
+    for r in held.groupBy("embedding_model", "shard").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).orderBy("embedding_model", "shard").collect():
+        parts, copies = max(1, -(-r["m"] // (4 * COPIES * max(shard, sizes[r["embedding_model"]] // MOST_SHARDS)))), max(1, -(-r["q"] // QUERIES_A_TASK))
+        rows.append((r["embedding_model"], r["shard"], total, parts, copies))
+        total += parts * copies
+    # one row a shard and model, bounded by MOST_SHARDS
+    plan = F.broadcast(points.sparkSession.createDataFrame(rows, "embedding_model string, shard int, at int, parts int, copies int"))
+    member = F.transform("homes", lambda s: F.struct(s.alias("shard"), F.lit(False).alias("is_query")))
+    asked = F.transform("asks", lambda s: F.struct(s.alias("shard"), F.lit(True).alias("is_query")))
+    each = routed.select("embedding_model", "id", "embedding", F.explode(F.concat(member, asked)).alias("d")).select("embedding_model", "id", "embedding", "d.*").join(plan, ["embedding_model", "shard"])
+    # a member is in one part, in all copies of its graph; a query goes to one copy of every part
+    own, copy = F.pmod(F.xxhash64("id"), F.col("parts")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("copies"))
+    tasks = F.when(F.col("is_query"), F.expr("sequence(0, parts - 1)")).otherwise(F.expr("sequence(0, copies - 1)"))
+    each = each.withColumns({"own": own, "copy": copy}).withColumn("t", F.explode(tasks))
+    task = F.col("at") + F.when(F.col("is_query"), F.col("t") * F.col("copies") + F.col("copy")).otherwise(F.col("own") * F.col("copies") + F.col("t"))
+    dealt = each.select("embedding_model", "id", "embedding", "is_query", task.cast("int").alias("task")).repartitionById(total, F.col("task")).sortWithinPartitions("is_query")
     found = dealt.select("embedding_model", "id", "embedding", "is_query").mapInPandas(_shard_task(k, beam), "embedding_model string, id bigint, near array<struct<lack:double,id:bigint>>")
-    return found.groupBy("embedding_model", "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return found.groupBy("embedding_model", "id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
 
 def most_similar(vectors: DataFrame, k: int = 10, widths: dict[str, int] | None = None, beam: int = BEAM) -> DataFrame:
     """``embedding_model, vector_id, best``: the ``k`` best others of every usable vector, ``struct<lack, id>`` each.
 
-    Equal vectors are searched once.  Of a group of them only the ``k + 1`` smallest ids can be among anyone's best, so no
+    Vectors of one direction are searched once.  Of a group of them only the ``k + 1`` smallest ids can be among anyone's best, so no
     group is ever collected; the row-number limit is applied before the shuffle as well as after it.
     """
-    base = usable(vectors, widths).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(7), "embedding")})
-    base = cut(base)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    base = usable(vectors, widths).withColumn("norm", norm).withColumn("way", F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("norm") * 1e7).cast("bigint")))
+    base = cut(base.withColumns({"h1": F.xxhash64("way"), "h2": F.xxhash64(F.lit(7), "way")}).drop("norm", "way"))
     key = ["embedding_model", "h1", "h2"]
-    groups = base.groupBy(key).agg(F.min("vector_id").alias("id"), F.min("embedding").alias("embedding"))
+    groups = base.groupBy(key).agg(F.min("vector_id").alias("id"), F.min_by("embedding", "vector_id").alias("embedding"))
     order = Window.partitionBy(key).orderBy("vector_id")
     heads = base.select(*key, "vector_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).groupBy(key).agg(F.sort_array(F.collect_list("vector_id")).alias("members")).withColumn("id", F.col("members")[0])
     near = nearest(groups.select("embedding_model", "id", "embedding"), k, beam)

@@ -50,6 +50,31 @@ def test_dirty_vectors_ties_and_hot_groups(spark):
     assert (400, 401) in got
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_many_shards_find_nearly_all(spark, monkeypatch, hot):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 2400)] + rng.normal(size=(2400, 16)) * 0.3
+    if hot:  # a third lies close around one direction, and graphs are built for few queries at a time
+        x[:800] = np.ones(16) + rng.normal(size=(800, 16)) * 0.01
+        monkeypatch.setattr(graph_knn, "QUERIES_A_TASK", 300)
+    points = spark.createDataFrame([("m", i, [float(y) for y in v]) for i, v in enumerate(x)], "embedding_model string, id bigint, embedding array<float>")
+    got = {r.id: [c.id for c in r.near] for r in graph_knn.nearest(points, 10, shard=100).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = u @ u.T
+    np.fill_diagonal(score, -2)
+    want = np.argsort(-score, axis=1)[:, :10]
+    assert len(got) == 2400 and all(len(set(v)) == len(v) == 10 and i not in v for i, v in got.items())
+    assert np.mean([len(set(want[i]) & set(got[i])) / 10 for i in range(2400)]) >= 0.9
+
+
+def test_scaled_copies_are_one_point(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8).astype(np.float32)
+    rows = [(i, "m", base * np.float32(1 + i / 7)) for i in range(1, 80)] + [(100 + i, "m", rng.normal(size=8)) for i in range(40)]
+    got = {(r.vector_id_a, r.vector_id_b) for r in graph_knn.neighbour_pairs(frame(spark, rows), 10, {"m": 8}).collect()}
+    assert {p for p in got if p[1] < 100} == {p for p in brute(rows, {"m": 8}, 10) if p[1] < 100}
+
+
 def test_width_by_majority_and_few_or_no_rows(spark):
     df = frame(spark, [(1, "m", [1, 2]), (2, "m", [2, 1]), (3, "m", [1, 2, 3])])
     assert [(r.vector_id_a, r.vector_id_b) for r in graph_knn.neighbour_pairs(df).collect()] == [(1, 2)]
