@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import string
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -34,3 +36,9 @@ def hash_embedding(dims: int = 1536):
         return tokens.map(lambda t: _bag_vector(t, dims))
 
     return lambda text: run(embedding_tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
+
+
+def letter_counts(text) -> Column:
+    """How often each letter from a to z occurs, in any case: a small embedding that SQL can state as well."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in string.ascii_lowercase])

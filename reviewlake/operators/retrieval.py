@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import cut
+from .graph import expand
 
 
 def symbols_in_spans(symbols: DataFrame, spans: DataFrame) -> DataFrame:
@@ -30,12 +32,12 @@ def innermost(symbols: DataFrame, spans: DataFrame) -> DataFrame:
     return s.groupBy(spans.columns).agg(best["f"].alias("symbol_fqn"))
 
 
-def in_request_order(requests: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Items looked up by a request's list of keys, with the place of the key in the list.
+def in_request_order(requests: DataFrame, items: DataFrame, key: str, scope: Sequence[str] = ("repository_id",)) -> DataFrame:
+    """Items of a request's own scope looked up by its list of keys, with the place of the key in the list.
 
-    ``requests``: request_id, keys (array).
+    ``requests``: request_id, scope, keys (array).
     """
-    return requests.select("request_id", F.posexplode("keys").alias("pos", key)).join(items, key)
+    return requests.select("request_id", *scope, F.posexplode("keys").alias("pos", key)).join(items, [*scope, key])
 
 
 def fused(items: DataFrame) -> DataFrame:
@@ -73,49 +75,80 @@ def pack_stats(packed: DataFrame, budget: int) -> DataFrame:
     return packed.groupBy("request_id").agg(n("anchor").alias("anchors"), n("graph").alias("graph"), n("semantic").alias("semantic"), F.count_if(~kept).alias("dropped"), used.cast("bigint").alias("tokens"), F.round(used / budget, 6).alias("utilization"))
 
 
-def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, group: str, exclude: str | None = None, block: int = 256, chunk: int = 2048) -> DataFrame:
+def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, group: str | Sequence[str], exclude: str | None = None, block: int = 1024, chunk: int = 8192) -> DataFrame:
     """The ``k`` vectors of highest cosine for every query within its ``group``; ties go to the smaller key.
 
-    ``queries``: query_id, group, embedding [, exclude]; ``vectors``: key, group, embedding [, exclude].  Queries and
-    vectors are folded to blocks, and blocks meet blocks as matrix products; only the best ``k`` of each pair of blocks
-    are shuffled.  Rows whose ``exclude`` equals the query's are left out before the limit.  A ``k`` of 0 or less gives
-    no rows; zero vectors score 0.
+    ``queries``: query_id, group, embedding [, exclude: a value or an array of them]; ``vectors``: key, group, embedding
+    [, exclude].  A group of any size is cut into blocks of queries and of vectors; every pair of blocks is a task's matrix
+    product, of which only the best ``k`` are shuffled.  Rows whose ``exclude`` is among the query's are left out before the
+    limit.  A ``k`` of 0 or less gives no rows; zero vectors score 0.
     """
     if k <= 0:
         return queries.select("query_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("score")).limit(0)
+    keys = [group] if isinstance(group, str) else list(group)
+    blocks = lambda df, size, name: df.groupBy(keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    plan = blocks(queries, block, "_qs").join(blocks(vectors, chunk, "_vs"), keys)
 
-    def folded(df: DataFrame, name: str, size: int, total: int) -> DataFrame:
-        spread = max(1, -(-total // size))
+    def dealt(df: DataFrame, name: str, own: str, others: str) -> DataFrame:
         cols = [F.col(name).alias("id"), F.col("embedding").alias("v"), (F.col(exclude) if exclude else F.lit(None).cast("string")).alias("x")]
-        return df.withColumn("_b", F.pmod(F.xxhash64(name), F.lit(spread))).groupBy(group, "_b").agg(F.collect_list(F.struct(*cols)).alias("rows"))
-
-    q = folded(queries, "query_id", block, queries.count()).select(group, F.col("rows").alias("q"))
-    v = folded(vectors, "key", chunk, vectors.count()).select(group, F.col("rows").alias("v"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for qs, vs in zip(b["q"], b["v"]):
-                unit = []
-                for side in (qs, vs):
-                    m = np.stack([np.asarray(r["v"], np.float64) for r in side])
-                    n = np.linalg.norm(m, axis=1, keepdims=True)
-                    unit.append(m / np.where(n == 0, 1, n))
-                keys = np.array([str(r["id"]) for r in vs])
-                s = np.round(unit[0] @ unit[1].T, 6)
-                if exclude:
-                    s[np.array([r["x"] for r in qs], object)[:, None] == np.array([r["x"] for r in vs], object)[None, :]] = -9
-                by_key = np.argsort(keys, kind="stable")
-                s, keys = s[:, by_key], keys[by_key]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(s, best, 1)
-                out = [(qs[i]["id"], [{"lack": 1 - float(c), "key": keys[j]} for j, c in zip(best[i], got[i]) if c > -9]) for i in range(len(qs))]
-                yield pd.DataFrame(out, columns=["query_id", "best"])
-
-    part = q.join(v, group).select("q", "v").mapInPandas(run, "query_id bigint, best array<struct<lack:double,key:string>>")
+        d = df.select(*keys, *cols).join(plan, keys).withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(f"_{own}s")))
+        d = d.withColumn(f"_{others}", F.explode(F.sequence(F.lit(0), F.col(f"_{others}s") - 1)))
+        where = [F.col(c).alias(f"{own}_{i}") for i, c in enumerate(keys)] + [F.col(c).cast("int").alias(f"{own}{c}") for c in ("_q", "_v")]
+        return d.select(*where, "id", "v", "x").groupBy(*[f"{own}_{i}" for i in range(len(keys))], f"{own}_q", f"{own}_v")
+
+    def run(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(vs):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "best": pd.Series(dtype=object)})
+        vs = vs.assign(id=vs["id"].astype(str)).sort_values("id", kind="stable")
+        unit = []
+        for side in (qs, vs):
+            m = np.stack(side["v"].to_numpy()).astype(np.float64)
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            unit.append(m / np.where(n == 0, 1, n))
+        s = np.round(unit[0] @ unit[1].T, 6)
+        if exclude:
+            of = vs["x"].to_numpy(object)
+            for i, x in enumerate(qs["x"]):
+                s[i, np.isin(of, list(x) if isinstance(x, (np.ndarray, list)) else [x])] = -9
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        got, names = np.take_along_axis(s, best, 1), vs["id"].to_numpy()
+        return pd.DataFrame({"query_id": qs["id"].array, "best": [[{"lack": 1 - float(c), "key": names[j]} for j, c in zip(best[i], got[i]) if c > -9] for i in range(len(qs))]})
+
+    part = dealt(queries, "query_id", "q", "v").cogroup(dealt(vectors, "key", "v", "q")).applyInPandas(run, "query_id bigint, best array<struct<lack:double,key:string>>")
     merged = part.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("place", "b")).select("query_id", (F.col("place") + 1).alias("place"), F.col("b.key").alias("key"), F.round(1 - F.col("b.lack"), 6).alias("score"))
 
 
+def candidates(spans: DataFrame, symbols: DataFrame, chunks: DataFrame, edges: DataFrame, embed: Callable[[Column], Column], semantic_limit: int = 5) -> DataFrame:
+    """What may go into each request's pack: ``request_id, repository_id, fqn, path, line_start, content_hash, token_count, body,
+    provenance, proximity, similarity, score, reason``.
+
+    ``spans``: request_id (a number), repository_id, path, span_start, span_end; ``chunks``: repository_id, fqn, path, line_start,
+    content_hash, token_count, body.  Anchors are the chunks of symbols that a span touches, graph items those of symbols
+    around them, semantic items those nearest to the anchors' bodies, found in the repository outside the anchors' files
+    and left out if the others hold them or their file.  The search limit comes before that, so fewer may remain.
+    """
+    own = chunks.select("repository_id", "fqn", "path", "line_start", "content_hash", "token_count", "body").distinct()
+    named = cut(symbols_in_spans(symbols, spans).select("request_id", "repository_id", "fqn").distinct())
+    zero = F.lit(0.0)
+    anchors = named.join(own, ["repository_id", "fqn"]).withColumns({"provenance": F.lit("anchor"), "proximity": F.lit(1.0), "similarity": zero, "reason": F.lit("changed by this diff")})
+    around = expand(named, edges).select("request_id", "repository_id", "fqn", "proximity", "reason")
+    graph = around.join(own, ["repository_id", "fqn"]).withColumns({"provenance": F.lit("graph"), "similarity": zero})
+    held = cut(anchors.unionByName(graph))
+    if semantic_limit <= 0:
+        return fused(held)
+    # a request's anchors are the symbols of a few spans
+    bodies = held.filter("provenance = 'anchor'").groupBy(F.col("request_id").alias("query_id"), "repository_id").agg(F.sort_array(F.collect_list(F.struct("path", "line_start", "content_hash", "body"))).alias("a"))
+    asked = bodies.select("query_id", "repository_id", embed(F.array_join("a.body", "\n\n")).alias("embedding"), F.array_distinct("a.path").alias("beside"))
+    stored = own.groupBy("repository_id", F.col("content_hash").alias("key")).agg(F.min("path").alias("beside"), F.min("body").alias("body")).withColumn("embedding", embed(F.col("body")))
+    hits = exact_topk(asked, stored, semantic_limit, "repository_id", "beside").join(asked.select("query_id", "repository_id"), "query_id")
+    hits = hits.select(F.col("query_id").alias("request_id"), "repository_id", F.col("key").alias("content_hash"), F.col("score").alias("found"))
+    near = hits.join(own, ["repository_id", "content_hash"])
+    near = near.join(held.select("request_id", "content_hash").distinct(), ["request_id", "content_hash"], "left_anti").join(held.select("request_id", "path").distinct(), ["request_id", "path"], "left_anti")
+    near = near.withColumns({"provenance": F.lit("semantic"), "proximity": zero, "similarity": S.clamp("found")})
+    return fused(held.unionByName(near.withColumn("reason", F.format_string("similar to the changed code (cosine %.2f)", "similarity")).drop("found")))
+
+
 class SnapshotNotReady(LookupError):
     """A repository has no ready snapshot."""
 
@@ -135,8 +168,3 @@ def check(requests: DataFrame, serving: DataFrame) -> None:
     bad = guard(requests, serving).filter("status <> 200").orderBy("status", "repository_id").first()
     if bad is not None:
         raise (SnapshotNotReady if bad["status"] == 404 else EmbeddingModelMismatch)(bad["repository_id"])
-
-
-def semantic_items(hits: DataFrame, covered: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hits that no anchor or graph item covers.  The search limit came before, so fewer may remain."""
-    return hits.join(covered.select(*keys).distinct(), list(keys), "left_anti").withColumn("similarity", S.clamp("score"))

@@ -96,13 +96,13 @@ def line_stats(spark, d):
     return table(spark, d, "source_files").select("file_id", F.size(lines).alias("lines"), F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(0)).alias("widest")).distinct()
 
 
-CHUNK_SQL = f"""with {R.SYMBOLS},
+CHUNK_CTE = f"""{R.SYMBOLS},
 kids as (select file_id, parent_fqn fqn, list({{'s': line_start, 'e': line_end}}) spans from sym where parent_fqn is not null group by all),
 cut as (select y.symbol_id, y.repository_id, y.path, y.fqn, y.line_start, y.line_end, string_split(replace(replace(coalesce(src.content, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))[y.line_start:y.line_end] ls,
         case when y.kind in ('class', 'interface', 'enum') then coalesce(kids.spans, []) else [] end spans
         from sym y join src using (file_id) left join kids on kids.file_id = y.file_id and kids.fqn = y.fqn where y.line_start >= 1),
-body as (select *, regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(ls, lambda x, i: len(list_filter(spans, lambda c: i + line_start - 1 between c.s and c.e)) = 0), lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '^\\n+', ''), '\\n+$', '') body from cut)
-select symbol_id, body, sha256(concat_ws(chr(0), repository_id, path, fqn, body)) as content_hash, greatest(1, length(body) // 4)::int as token_count from body where body <> ''"""
+body as (select *, regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(ls, lambda x, i: len(list_filter(spans, lambda c: i + line_start - 1 between c.s and c.e)) = 0), lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '^\\n+', ''), '\\n+$', '') body from cut)"""
+CHUNK_SQL = f"with {CHUNK_CTE} select symbol_id, body, sha256(concat_ws(chr(0), repository_id, path, fqn, body)) as content_hash, greatest(1, length(body) // 4)::int as token_count from body where body <> ''"
 
 
 @query(CHUNK_SQL)

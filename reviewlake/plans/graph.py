@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.embed import letter_counts
+from ..operators import chunking, retrieval, store
 from ..operators import graph as G
-from ..operators import retrieval, store
 from ..session import cut
 from ..sources.tables import table
 from . import relations as R
+from .files import CHUNK_CTE
 from .registry import query
 
-BUDGET = 300
+BUDGET, SEMANTIC = 300, 5
 WIDTHS = {"code-embed-64": 64, "code-embed-mini-48": 48}
 
 
@@ -43,10 +47,24 @@ kept{level} as (select *, {level} distance from best{level} qualify row_number()
 
 
 _PHRASES = "case when inbound then case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in G.INBOUND.items()) + " end else case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in G.OUTBOUND.items()) + " end end"
-NEIGHBOURS = ANCHORS + ", " + _hop(1, "anc", "anc") + ", seen1 as (select request_id, repository_id, fqn from anc union all select request_id, repository_id, fqn from kept1), " + _hop(2, "kept1", "seen1") + f""",
+
+
+def _neighbours(anchors: str) -> str:
+    return anchors + ", " + _hop(1, "anc", "anc") + ", seen1 as (select request_id, repository_id, fqn from anc union all select request_id, repository_id, fqn from kept1), " + _hop(2, "kept1", "seen1") + f""",
 nei as (select request_id, repository_id, fqn, distance, least(1.0::double, raw) proximity, kind, via_fqn, inbound, ({_PHRASES}) || ' ' || via_fqn reason from (select * from kept1 union all select * from kept2))"""
 
 
+NEIGHBOURS = _neighbours(ANCHORS)
+
+
+def chunk_rows(spark, d, s):
+    """The chunks that the symbols of the source files make."""
+    return chunking.symbol_chunks(s, R.files(spark, d)).select("repository_id", "fqn", "path", "line_start", "content_hash", "token_count", "body")
+
+
+CHUNK_ROWS = "ck as (select distinct repository_id, fqn, path, line_start, sha256(concat_ws(chr(0), repository_id, path, fqn, body)) content_hash, greatest(1, length(body) // 4)::int token_count, body from body where body <> '')"
+
+
 @query(f"with {NEIGHBOURS} select request_id, fqn, distance, round(proximity, 6) as proximity, kind, via_fqn, inbound, reason from nei")
 def graph_expand(spark, d):
     s = cut(R.symbols(spark, d))
@@ -73,16 +91,20 @@ def edges_touching(spark, d):
     return G.edges_touching(R.edges(spark, d, s), anchors(spark, d, s)).select("edge_id", "kind", "src_fqn", "dst_fqn")
 
 
-@query(f"with {R.SYMBOLS}, req as (select file_id request_id, list(distinct fqn order by fqn) keys from sym group by file_id), ask as (select request_id, unnest(keys) fqn, generate_subscripts(keys, 1) - 1 pos from req) select a.request_id, a.pos::int as pos, y.symbol_id, y.line_start from ask a join sym y on y.fqn = a.fqn")
+@query(f"with {CHUNK_CTE}, req as (select file_id request_id, repository_id, list(distinct fqn order by fqn) keys from sym group by all), ask as (select request_id, repository_id, unnest(keys) fqn, generate_subscripts(keys, 1) - 1 pos from req), {CHUNK_ROWS} select a.request_id, a.pos::int as pos, k.content_hash, k.token_count from ask a join ck k on k.repository_id = a.repository_id and k.fqn = a.fqn")
 def chunks_for_symbols(spark, d):
-    req = R.symbols(spark, d).groupBy(F.col("file_id").alias("request_id")).agg(F.sort_array(F.collect_set("fqn")).alias("keys"))
-    return retrieval.in_request_order(req, R.symbols(spark, d), "fqn").select("request_id", "pos", "symbol_id", "line_start")
+    """A request is a file that asks for the chunks of its symbols, in its repository alone."""
+    s = cut(R.symbols(spark, d))
+    req = s.groupBy(F.col("file_id").alias("request_id"), "repository_id").agg(F.sort_array(F.collect_set("fqn")).alias("keys"))
+    return retrieval.in_request_order(req, chunk_rows(spark, d, s), "fqn").select("request_id", "pos", "content_hash", "token_count")
 
 
-@query(f"with {R.CHUNKS}, req as (select repository_id request_id, list(distinct content_hash order by content_hash desc) keys from chk group by repository_id), ask as (select request_id, unnest(keys) content_hash, generate_subscripts(keys, 1) - 1 pos from req) select a.request_id, a.pos::int as pos, c.chunk_id from ask a join chk c on c.content_hash = a.content_hash")
+@query(f"with {R.CHUNKS}, req as (select path request_id, repository_id, list(distinct content_hash order by content_hash desc) keys from chk group by all), ask as (select request_id, repository_id, unnest(keys) content_hash, generate_subscripts(keys, 1) - 1 pos from req) select a.request_id, a.pos::int as pos, c.chunk_id from ask a join chk c on c.repository_id = a.repository_id and c.content_hash = a.content_hash")
 def chunks_by_hash(spark, d):
-    req = R.chunks(spark, d).groupBy(F.col("repository_id").alias("request_id")).agg(F.sort_array(F.collect_set("content_hash"), asc=False).alias("keys"))
-    return retrieval.in_request_order(req, R.chunks(spark, d), "content_hash").select("request_id", "pos", "chunk_id")
+    """A request is a file that asks for its chunks by hash, in its repository alone."""
+    c = R.chunks(spark, d)
+    req = c.groupBy(F.col("path").alias("request_id"), "repository_id").agg(F.sort_array(F.collect_set("content_hash"), asc=False).alias("keys"))
+    return retrieval.in_request_order(req, c, "content_hash").select("request_id", "pos", "chunk_id")
 
 
 @query(f"with {R.EDGES} select repository_id, kind, src_fqn, dst_fqn, dst_unresolved_name, max(confidence) as confidence, min(edge_id) as edge_id from edg group by all")
@@ -144,17 +166,28 @@ def resolve_heuristic(spark, d):
     return G.heuristic(r, s).select("ref_id", "dst_fqn", "dst_unresolved_name", "confidence")
 
 
-def candidates(spark, d):
-    """Anchors and graph neighbours of every request, with the chunk of their symbol."""
-    s = cut(R.symbols(spark, d))
-    one = s.groupBy("repository_id", "fqn").agg(F.min(F.struct("symbol_id", "path", "line_start", "line_end")).alias("s")).select("repository_id", "fqn", "s.path", "s.line_start", (F.greatest(F.lit(1), F.col("s.line_end") - F.col("s.line_start") + 1) * 6).alias("token_count"), F.sha2(F.concat_ws("|", "repository_id", "fqn"), 256).alias("content_hash"))
-    a = anchors(spark, d, s).distinct().select("request_id", "repository_id", "fqn", F.lit("anchor").alias("provenance"), F.lit(1.0).alias("proximity"), F.lit(0.0).alias("similarity"))
-    g = G.expand(anchors(spark, d, s), R.edges(spark, d, s)).select("request_id", "repository_id", "fqn", F.lit("graph").alias("provenance"), "proximity", F.lit(0.0).alias("similarity"))
-    return retrieval.fused(a.unionByName(g).join(one, ["repository_id", "fqn"]))
+def hunks(spark, d):
+    """Changed spans: of every file the ten lines behind its first third."""
+    third = F.floor(F.col("line_count") / 3).cast("int")
+    return R.files(spark, d).select(F.col("file_id").alias("request_id"), "repository_id", "path", (third + 1).alias("span_start"), (third + 10).alias("span_end"))
 
 
-CANDIDATES = NEIGHBOURS + """, one as (select repository_id, fqn, arg_min(path, symbol_id) path, arg_min(line_start, symbol_id) line_start, greatest(1, arg_min(line_end, symbol_id) - arg_min(line_start, symbol_id) + 1) * 6 token_count, sha256(repository_id || '|' || fqn) content_hash from sym group by repository_id, fqn),
-itm as (select i.*, one.path, one.line_start, one.token_count, one.content_hash from (select request_id, repository_id, fqn, 'anchor' provenance, 1.0::double score from anc union all select request_id, repository_id, fqn, 'graph', 0.6::double * proximity + 0.3::double * 0.0 + 0.1::double * 0.0 from nei) i join one using (repository_id, fqn))"""
+def _candidates(spark, d):
+    s = cut(R.symbols(spark, d))
+    return retrieval.candidates(hunks(spark, d), s, chunk_rows(spark, d, s), R.edges(spark, d, s), letter_counts, SEMANTIC)
+
+
+_LETTERS = ", ".join(f"(length(l) - length(replace(l, '{c}', '')))::double" for c in string.ascii_lowercase)
+PACK_ANCHORS = CHUNK_CTE + R.EDGES[len(R.SYMBOLS):] + ", hun as (select file_id request_id, repository_id, path, line_count // 3 + 1 span_start, line_count // 3 + 10 span_end from src), anc as (select distinct h.request_id, h.repository_id, y.fqn from hun h join sym y on y.repository_id = h.repository_id and y.path = h.path and y.line_start <= h.span_end and h.span_start <= y.line_end)"
+_COS_Q = "case when list_inner_product(q.v, q.v) = 0 or list_inner_product(t.v, t.v) = 0 then 0 else round(list_inner_product(q.v, t.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(t.v, t.v))), 6) end"
+CANDIDATES = _neighbours(PACK_ANCHORS) + f""", {CHUNK_ROWS},
+hld as (select a.request_id, k.*, 'anchor' provenance, 1.0::double score, 'changed by this diff' reason from anc a join ck k using (repository_id, fqn) union all select n.request_id, k.*, 'graph', 0.6::double * n.proximity + 0.3::double * 0.0 + 0.1::double * 0.0, n.reason from nei n join ck k using (repository_id, fqn)),
+txt as (select request_id, repository_id, lower(string_agg(body, chr(10) || chr(10) order by path, line_start, content_hash)) l, list(distinct path) ex from hld where provenance = 'anchor' group by all),
+qv as (select request_id, repository_id, ex, [{_LETTERS}] v from txt),
+vv as (select repository_id, content_hash, min(path) path, [{_LETTERS}] v from (select repository_id, content_hash, path, lower(body) l from ck) group by repository_id, content_hash, l),
+hit as (select q.request_id, q.repository_id, t.content_hash, {_COS_Q} found from qv q join vv t on t.repository_id = q.repository_id and not list_contains(q.ex, t.path) qualify row_number() over (partition by q.request_id order by {_COS_Q} desc, t.content_hash) <= {SEMANTIC}),
+itm as (select * from hld union all select h.request_id, k.*, 'semantic', 0.6::double * 0.0 + 0.3::double * greatest(0.0::double, least(1.0::double, h.found)) + 0.1::double * 0.0, printf('similar to the changed code (cosine %.2f)', greatest(0.0::double, least(1.0::double, h.found))) from hit h join ck k on k.repository_id = h.repository_id and k.content_hash = h.content_hash
+  where not exists (select 1 from hld x where x.request_id = h.request_id and x.content_hash = h.content_hash) and not exists (select 1 from hld x where x.request_id = h.request_id and x.path = k.path))"""
 PACK = CANDIDATES + f""", ord as (select *, row_number() over (partition by request_id order by provenance <> 'anchor', -score, path, line_start, content_hash) n from itm),
 fold as (with recursive f as (select request_id, 0::bigint n, 0::bigint used, false kept from (select distinct request_id from ord) union all
   select f.request_id, o.n, case when o.provenance = 'anchor' or f.used + o.token_count <= {BUDGET} then f.used + o.token_count else f.used end, o.provenance = 'anchor' or f.used + o.token_count <= {BUDGET} from f join ord o on o.request_id = f.request_id and o.n = f.n + 1) select * from f where n > 0),
@@ -163,16 +196,16 @@ pck as (select o.*, case when f.kept then row_number() over (partition by o.requ
 
 @query(f"with {CANDIDATES} select request_id, fqn, provenance, round(score, 6) as score, token_count, path from itm")
 def pack_candidates(spark, d):
-    return candidates(spark, d).select("request_id", "fqn", "provenance", F.round("score", 6).alias("score"), "token_count", "path")
+    return _candidates(spark, d).select("request_id", "fqn", "provenance", F.round("score", 6).alias("score"), "token_count", "path")
 
 
 @query(f"with {CANDIDATES} select provenance, count(*) as items, round(min(score), 6) as least, round(max(score), 6) as most from itm group by provenance")
 def fusion_score(spark, d):
-    return candidates(spark, d).groupBy("provenance").agg(F.count("*").alias("items"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
+    return _candidates(spark, d).groupBy("provenance").agg(F.count("*").alias("items"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
 
 
 def _pack(spark, d):
-    return retrieval.enforce_budget(candidates(spark, d), BUDGET)
+    return retrieval.enforce_budget(_candidates(spark, d), BUDGET)
 
 
 @query(f"with {PACK} select request_id, content_hash, place as position from pck")
@@ -180,12 +213,12 @@ def token_budget(spark, d):
     return _pack(spark, d).select("request_id", "content_hash", "position")
 
 
-@query(f"with {PACK} select request_id, place as position, fqn, provenance, round(score, 6) as score, token_count, path, line_start from pck where place is not null")
+@query(f"with {PACK} select request_id, place as position, fqn, provenance, round(score, 6) as score, token_count, path, line_start, reason from pck where place is not null")
 def context_pack(spark, d):
-    return _pack(spark, d).filter("position is not null").select("request_id", "position", "fqn", "provenance", F.round("score", 6).alias("score"), "token_count", "path", "line_start")
+    return _pack(spark, d).filter("position is not null").select("request_id", "position", "fqn", "provenance", F.round("score", 6).alias("score"), "token_count", "path", "line_start", "reason")
 
 
-@query(f"with {PACK} select request_id, count_if(place is not null and provenance = 'anchor') as anchors, count_if(place is not null and provenance = 'graph') as graph, 0::bigint as semantic, count_if(place is null) as dropped, coalesce(sum(case when place is not null then token_count end), 0)::bigint as tokens, round(coalesce(sum(case when place is not null then token_count end), 0) / {BUDGET}, 6) as utilization from pck group by request_id")
+@query(f"with {PACK} select request_id, count_if(place is not null and provenance = 'anchor') as anchors, count_if(place is not null and provenance = 'graph') as graph, count_if(place is not null and provenance = 'semantic') as semantic, count_if(place is null) as dropped, coalesce(sum(case when place is not null then token_count end), 0)::bigint as tokens, round(coalesce(sum(case when place is not null then token_count end), 0) / {BUDGET}, 6) as utilization from pck group by request_id")
 def pack_stats(spark, d):
     return retrieval.pack_stats(_pack(spark, d), BUDGET)
 
@@ -208,31 +241,31 @@ _COS = "round(list_inner_product(q.v, t.v) / (sqrt(list_inner_product(q.v, q.v))
 
 
 def _search(spark, d, k, exclude=None):
-    v = usable(spark, d).select(F.col("vector_id").cast("string").alias("key"), "vector_id", "embedding_model", "embedding", "repository_id")
+    """The vectors whose id is divisible by 100, each against all of its repository and model."""
+    where = R.chunks(spark, d).groupBy("repository_id", "content_hash").agg(F.min("path").alias("path"))
+    v = usable(spark, d).join(where, ["repository_id", "content_hash"], "left").select(F.col("vector_id").cast("string").alias("key"), "vector_id", "repository_id", "embedding_model", "embedding", "path")
     q = v.filter("vector_id % 100 = 0").withColumnRenamed("vector_id", "query_id")
-    return retrieval.exact_topk(q, v, k, "embedding_model", exclude)
+    return retrieval.exact_topk(q, v, k, ["repository_id", "embedding_model"], exclude)
+
+
+_PLACED = USABLE + ", " + R.CHUNKS + ", plc as (select u.*, c.path from usv u left join (select repository_id, content_hash, min(path) path from chk group by all) c using (repository_id, content_hash))"
 
 
-@query(f"with {USABLE}, r as (select q.vector_id query_id, t.vector_id::varchar as key, {_COS} score from usv q join usv t on t.embedding_model = q.embedding_model where q.vector_id % 100 = 0) select query_id, (row_number() over (partition by query_id order by score desc, key))::int as place, key, score from r qualify place <= 20")
+@query(f"with {_PLACED}, r as (select q.vector_id query_id, t.vector_id::varchar as key, {_COS} score from plc q join plc t on t.repository_id = q.repository_id and t.embedding_model = q.embedding_model where q.vector_id % 100 = 0) select query_id, (row_number() over (partition by query_id order by score desc, key))::int as place, key, score from r qualify place <= 20")
 def ann_topk(spark, d):
-    """Exact search: queries are the vectors whose id is divisible by 100, against all of their model."""
     return _search(spark, d, 20)
 
 
-@query(f"with {USABLE}, r as (select q.vector_id query_id, t.vector_id::varchar as key, {_COS} score from usv q join usv t on t.embedding_model = q.embedding_model and t.repository_id is distinct from q.repository_id where q.vector_id % 100 = 0) select query_id, (row_number() over (partition by query_id order by score desc, key))::int as place, key, score from r qualify place <= 10")
+@query(f"with {_PLACED}, r as (select q.vector_id query_id, t.vector_id::varchar as key, {_COS} score from plc q join plc t on t.repository_id = q.repository_id and t.embedding_model = q.embedding_model and t.path is distinct from q.path where q.vector_id % 100 = 0) select query_id, (row_number() over (partition by query_id order by score desc, key))::int as place, key, score from r qualify place <= 10")
 def ann_exclude(spark, d):
-    return _search(spark, d, 10, "repository_id")
+    """As ``ann_topk``, without what stands in the query's own file."""
+    return _search(spark, d, 10, "path")
 
 
-@query(f"with {USABLE}, r as (select q.vector_id query_id, q.repository_id q_repo, t.repository_id t_repo, t.vector_id::varchar as key, {_COS} score from usv q join usv t on t.embedding_model = q.embedding_model where q.vector_id % 100 = 0), hit as (select *, row_number() over (partition by query_id order by score desc, key) n from r qualify n <= 20) select query_id, key, round(0.3::double * greatest(0.0::double, least(1.0::double, score)), 6) as score, printf('similar to the changed code (cosine %.2f)', score) as reason from hit where t_repo <> q_repo")
+@query(f"with {CANDIDATES} select request_id, content_hash, round(score, 6) as score, reason from itm where provenance = 'semantic'")
 def pack_semantic(spark, d):
-    """Search hits that the request's own repository does not cover, scored as context."""
-    v = usable(spark, d)
-    repo = v.select(F.col("vector_id").cast("string").alias("key"), "repository_id")
-    hits = _search(spark, d, 20).join(repo, "key")
-    covered = v.filter("vector_id % 100 = 0").select(F.col("vector_id").alias("query_id"), "repository_id")
-    left = retrieval.semantic_items(hits, covered, ["query_id", "repository_id"])
-    return left.select("query_id", "key", F.round(S.fuse(F.lit(0.0), "similarity", F.lit(0.0)), 6).alias("score"), F.format_string("similar to the changed code (cosine %.2f)", "score").alias("reason"))
+    """Search hits that neither anchors nor graph items of the request cover, scored as context."""
+    return _candidates(spark, d).filter("provenance = 'semantic'").select("request_id", "content_hash", F.round("score", 6).alias("score"), "reason")
 
 
 SERVING = "srv as (select repository_id, snapshot_id, embedding_model from (select *, row_number() over (partition by repository_id order by created_at desc, snapshot_id desc) n from snp where status = 'ready') where n = 1)"
