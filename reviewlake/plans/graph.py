@@ -194,9 +194,9 @@ fold as (with recursive f as (select request_id, 0::bigint n, 0::bigint used, fa
 pck as (select o.*, case when f.kept then row_number() over (partition by o.request_id, f.kept order by o.n) end::int as place from ord o join fold f on f.request_id = o.request_id and f.n = o.n)"""
 
 
-@query(f"with {CANDIDATES} select request_id, fqn, provenance, round(score, 6) as score, token_count, path from itm")
+@query(f"with {CANDIDATES} select request_id, fqn, provenance, round(score, 9) as score, token_count, path from itm")
 def pack_candidates(spark, d):
-    return _candidates(spark, d).select("request_id", "fqn", "provenance", F.round("score", 6).alias("score"), "token_count", "path")
+    return _candidates(spark, d).select("request_id", "fqn", "provenance", F.round("score", 9).alias("score"), "token_count", "path")
 
 
 @query(f"with {CANDIDATES} select provenance, count(*) as items, round(min(score), 6) as least, round(max(score), 6) as most from itm group by provenance")
@@ -213,9 +213,9 @@ def token_budget(spark, d):
     return _pack(spark, d).select("request_id", "content_hash", "position")
 
 
-@query(f"with {PACK} select request_id, place as position, fqn, provenance, round(score, 6) as score, token_count, path, line_start, reason from pck where place is not null")
+@query(f"with {PACK} select request_id, place as position, fqn, provenance, round(score, 9) as score, token_count, path, line_start, reason from pck where place is not null")
 def context_pack(spark, d):
-    return _pack(spark, d).filter("position is not null").select("request_id", "position", "fqn", "provenance", F.round("score", 6).alias("score"), "token_count", "path", "line_start", "reason")
+    return _pack(spark, d).filter("position is not null").select("request_id", "position", "fqn", "provenance", F.round("score", 9).alias("score"), "token_count", "path", "line_start", "reason")
 
 
 @query(f"with {PACK} select request_id, count_if(place is not null and provenance = 'anchor') as anchors, count_if(place is not null and provenance = 'graph') as graph, count_if(place is not null and provenance = 'semantic') as semantic, count_if(place is null) as dropped, coalesce(sum(case when place is not null then token_count end), 0)::bigint as tokens, round(coalesce(sum(case when place is not null then token_count end), 0) / {BUDGET}, 6) as utilization from pck group by request_id")
@@ -262,10 +262,10 @@ def ann_exclude(spark, d):
     return _search(spark, d, 10, "path")
 
 
-@query(f"with {CANDIDATES} select request_id, content_hash, round(score, 6) as score, reason from itm where provenance = 'semantic'")
+@query(f"with {CANDIDATES} select request_id, content_hash, round(score, 9) as score, reason from itm where provenance = 'semantic'")
 def pack_semantic(spark, d):
     """Search hits that neither anchors nor graph items of the request cover, scored as context."""
-    return _candidates(spark, d).filter("provenance = 'semantic'").select("request_id", "content_hash", F.round("score", 6).alias("score"), "reason")
+    return _candidates(spark, d).filter("provenance = 'semantic'").select("request_id", "content_hash", F.round("score", 9).alias("score"), "reason")
 
 
 SERVING = "srv as (select repository_id, snapshot_id, embedding_model from (select *, row_number() over (partition by repository_id order by created_at desc, snapshot_id desc) n from snp where status = 'ready') where n = 1)"
