@@ -150,7 +150,10 @@ def nearest(points: DataFrame, k: int, beam: int = BEAM, shard: int = SHARD) ->
     task = F.col("at") + F.when(F.col("is_query"), F.col("t") * F.col("copies") + F.col("copy")).otherwise(F.col("own") * F.col("copies") + F.col("t"))
     dealt = each.select("embedding_model", "id", "embedding", "is_query", task.cast("int").alias("task")).repartitionById(total, F.col("task")).sortWithinPartitions("is_query")
     found = dealt.select("embedding_model", "id", "embedding", "is_query").mapInPandas(_shard_task(k, beam), "embedding_model string, id bigint, near array<struct<lack:double,id:bigint>>")
-    return found.groupBy("embedding_model", "id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    # a point that several shards found stands beside itself once all are sorted
+    every = found.groupBy("embedding_model", "id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("every"))
+    once = F.filter("every", lambda x, i: (i == 0) | (F.get("every", i - 1)["id"] != x["id"]))
+    return every.select("embedding_model", "id", F.slice(once, 1, k).alias("near"))
 
 
 def most_similar(vectors: DataFrame, k: int = 10, widths: dict[str, int] | None = None, beam: int = BEAM) -> DataFrame:
@@ -170,7 +173,7 @@ def most_similar(vectors: DataFrame, k: int = 10, widths: dict[str, int] | None
     beside = near.select("embedding_model", F.col("id").alias("of"), F.explode("near").alias("c")).select("embedding_model", "of", F.col("c.lack").alias("lack"), F.col("c.id").alias("id"))
     spread = beside.join(heads.select("embedding_model", "id", "members"), ["embedding_model", "id"]).select("embedding_model", "of", F.transform("members", lambda m: F.struct(F.col("lack").alias("lack"), m.alias("id"))).alias("part"))
     own = heads.select("embedding_model", F.col("id").alias("of"), F.transform("members", lambda m: F.struct(F.lit(0.0).alias("lack"), m.alias("id"))).alias("part"))
-    best = spread.unionByName(own).groupBy("embedding_model", "of").agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k + 1).alias("best"))
+    best = spread.unionByName(own).groupBy("embedding_model", "of").agg(F.slice(F.sort_array(F.flatten(F.collect_list("part"))), 1, k + 1).alias("best"))
     keyed = heads.select(*key, F.col("id").alias("of")).join(best, ["embedding_model", "of"])
     return base.select(*key, "vector_id").join(keyed, key).select("embedding_model", "vector_id", F.slice(F.filter("best", lambda x: x["id"] != F.col("vector_id")), 1, k).alias("best"))
 
