@@ -5,7 +5,7 @@ Thresholds and penalties are parameters; nothing here knows what they should be.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,19 +42,58 @@ def symbol_tokens(text: Column | str) -> Column:
     return F.array_distinct(F.filter(bare, lambda t: ~F.array_contains(words, F.lower(t)) & ~F.array_contains(words, F.lower(F.substring_index(t, ".", -1)))))
 
 
-def unresolved_tokens(claims: DataFrame, vocabulary: DataFrame, key: str, scope: str) -> DataFrame:
+def unresolved_tokens(claims: DataFrame, vocabulary: DataFrame, key: str, scope: str | Sequence[str]) -> DataFrame:
     """``key, token`` of every claimed symbol that the scope's vocabulary knows neither whole nor by its tail."""
-    t = claims.select(key, scope, F.explode("tokens").alias("token")).distinct().withColumn("tail", S.fqn_tail("token"))
-    v = vocabulary.select(scope, "token").distinct()
-    return t.join(v, [scope, "token"], "left_anti").join(v.withColumnRenamed("token", "tail"), [scope, "tail"], "left_anti").select(key, "token")
+    at = [scope] if isinstance(scope, str) else list(scope)
+    t = claims.select(key, *at, F.explode("tokens").alias("token")).distinct().withColumn("tail", S.fqn_tail("token"))
+    v = vocabulary.select(*at, "token").distinct()
+    return t.join(v, [*at, "token"], "left_anti").join(v.withColumnRenamed("token", "tail"), [*at, "tail"], "left_anti").select(key, "token")
 
 
-def gates(findings: DataFrame, floors: Mapping[str, float], penalties: Mapping[str, float]) -> DataFrame:
+def merged_ranges(ranges: Column) -> Column:
+    """Line ranges (structs ``s, e``) in order, those that overlap or touch made one."""
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(acc) > 0) & (x["s"] <= last["e"] + 1), joined).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(ranges), F.expr("cast(array() as array<struct<s:int,e:int>>)"), step)
+
+
+def gate_inputs(findings: DataFrame, heads: DataFrame, touched: DataFrame, vocabulary: DataFrame, patch_parses: Callable[[Column, Column], Column], scope: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Adds what ``gates`` asks of every finding, true, false or null where a gate has no opinion.
+
+    ``findings``: scope, finding_id, path, line_start, line_end, explanation, evidence (array of paths), language,
+    improved_code; ``heads``: scope, path, lines (files as they are after the change); ``touched``: scope, path, s, e (line
+    ranges that the change shows); ``vocabulary``: scope, token.  A finding stands within its file and touches the change, or
+    its evidence lies in a changed file where its own is none; a patch covers shown lines only.  A scope without vocabulary
+    resolves nothing.  A file's ranges are folded to one row.
+    """
+    keys = [*scope, "path"]
+    head = heads.groupBy(*keys).agg(F.max("lines").alias("_lines"))
+    shown = touched.groupBy(*keys).agg(merged_ranges(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("_shown"))
+    cites = findings.select(*scope, "finding_id", F.explode("evidence").alias("path")).join(shown.select(*keys), keys, "left_semi").select("finding_id").distinct().withColumn("_cites", F.lit(True))
+    claims = findings.select("finding_id", *scope, symbol_tokens("explanation").alias("tokens"))
+    asked = claims.join(vocabulary.select(*scope).distinct(), list(scope), "left_semi")
+    lost = unresolved_tokens(asked, vocabulary, "finding_id", scope).select("finding_id").distinct().withColumn("_lost", F.lit(True))
+    f = findings.join(head, keys, "left").join(shown, keys, "left").join(cites, "finding_id", "left").join(lost, "finding_id", "left")
+    changed = F.col("_shown").isNotNull()
+    touches = F.exists("_shown", lambda r: S.spans_overlap(r["s"], r["e"], "line_start", "line_end"))
+    inside = F.exists("_shown", lambda r: (r["s"] <= F.col("line_start")) & (F.col("line_end") <= r["e"]))
+    patch = F.col("improved_code").isNotNull()
+    return f.withColumns({
+        "file_exists": F.col("_lines").isNotNull(), "line_in_range": F.coalesce((F.col("line_end") <= F.col("_lines")) & F.when(changed, touches).otherwise(F.coalesce("_cites", F.lit(False))), F.lit(False)),
+        "symbols_resolve": F.col("_lost").isNull(), "patch_parses": F.when(patch, patch_parses(F.col("language"), F.col("improved_code"))), "patch_applies": F.when(patch, F.coalesce(inside, F.lit(False))),
+    }).drop("_lines", "_shown", "_cites", "_lost")
+
+
+def gates(findings: DataFrame, floors: Mapping[str, float], penalties: Mapping[str, float], duplicates: Sequence[str] | None = None) -> DataFrame:
     """Runs the gates in order as columns: adds status, confidence after demotions, and ``gates_failed``.
 
     Expects ``file_exists, line_in_range, symbols_resolve, patch_parses, patch_applies`` (booleans; null passes).  The
     first two reject and end the way; the next three demote by their penalty, a patch that does not parse being gone
-    before it could apply; the floor of the severity comes last.  Confidence is compared at nine places.
+    before it could apply; what is left is merged with its duplicates within ``duplicates`` (a run's file), if given, which
+    rejects the weaker ones; the floor of the severity comes last.  Confidence is compared at nine places.
     """
     fails = lambda c: ~F.coalesce(F.col(c), F.lit(True))
     gone = fails("file_exists") | fails("line_in_range")
@@ -63,13 +102,18 @@ def gates(findings: DataFrame, floors: Mapping[str, float], penalties: Mapping[s
     conf = F.col("confidence")
     for c, name in ((sym, "symbols_resolve"), (parse, "patch_parses"), (applies, "patch_applies")):
         conf = F.when(c, F.greatest(F.lit(0.0), conf - F.lit(penalties[name]))).otherwise(conf)
-    out = findings.withColumn("_conf", F.round(conf, 9))
+    steps = [(fails("file_exists"), "file_exists"), (fails("line_in_range") & ~fails("file_exists"), "line_in_range"), (sym, "symbols_resolve"), (parse, "patch_parses"), (applies, "patch_applies")]
+    named = lambda c, n: F.when(c, F.lit(n))
+    out = findings.withColumns({"final_confidence": F.round(conf, 9), "_gone": gone, "_failed": F.array_compact(F.array(*[named(c, n) for c, n in steps]))})
+    if duplicates is not None:
+        out = merge_duplicates(out, duplicates, confidence="final_confidence", live=~F.col("_gone")).withColumn("_dup", F.col("duplicate_of").isNotNull())
+    else:
+        out = out.withColumn("_dup", F.lit(False))
     floor = F.coalesce(S.literal_map(dict(floors))[F.col("severity")], F.lit(0.0))
-    under = ~gone & (F.col("_conf") < floor)
-    steps = [(fails("file_exists"), "file_exists"), (fails("line_in_range") & ~fails("file_exists"), "line_in_range"), (sym, "symbols_resolve"), (parse, "patch_parses"), (applies, "patch_applies"), (under, "confidence_floor")]
-    failed = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in steps]))
-    status = F.when(gone | under, "rejected").when(sym | parse | applies, "demoted").otherwise("verified")
-    return out.withColumns({"gates_failed": failed, "status": status, "final_confidence": F.col("_conf")}).drop("_conf")
+    under = ~F.col("_gone") & ~F.col("_dup") & (F.col("final_confidence") < floor)
+    status = F.when(F.col("_gone") | F.col("_dup") | under, "rejected").when(F.size("_failed") > 0, "demoted").otherwise("verified")
+    failed = F.concat("_failed", F.array_compact(F.array(named(F.col("_dup"), "not_duplicate"), named(under, "confidence_floor"))))
+    return out.withColumns({"gates_failed": failed, "status": status}).drop("_gone", "_dup", "_failed")
 
 
 def drop_counts(gated: DataFrame) -> DataFrame:
@@ -91,31 +135,50 @@ def duplicate_pairs(findings: DataFrame, group: Sequence[str], least: float = 0.
     return a.join(b, list(group)).filter((F.col("a") < F.col("b")) & _overlap_alike(F.col("ax"), F.col("bx"), least)).select(*group, "a", "b")
 
 
-def merge_duplicates(findings: DataFrame, group: Sequence[str], least: float = 0.7) -> DataFrame:
+def merge_duplicates(findings: DataFrame, group: Sequence[str], least: float = 0.7, confidence: str = "confidence", live: Column | None = None) -> DataFrame:
     """Adds ``duplicate_of``: the first winner that a finding duplicates, in order of priority.
 
     Order: greatest severity times confidence, deterministic sources first, then id.  A finding that duplicates an earlier
-    winner loses; winners alone are compared with, so it is a fold over a group's findings, a run's file.
+    winner loses; winners alone are compared with.  It is a fold over findings whose lines hang together: a group (a run's
+    file) is cut where no finding's lines reach over, so a group of any size comes apart into islands, and rows keep their
+    place in the fold instead of being joined back.  Findings that are not ``live`` neither win nor lose.
     """
-    x = F.struct((-S.priority("severity", "confidence")).alias("p"), (F.col("source") == "llm").cast("int").alias("l"), F.col("finding_id").alias("id"), F.col("line_start").alias("s"), F.col("line_end").alias("e"), S.title_tokens("title").alias("words"))
-    g = findings.groupBy(*group).agg(F.array_sort(F.collect_list(x)).alias("all"))
-    won = "array<struct<p:double,l:int,id:string,s:int,e:int,words:array<string>>>"
-    start = F.struct(F.expr(f"cast(array() as {won})").alias("won"), F.expr("cast(array() as array<struct<id:string,of:string>>)").alias("lost"))
+    order = Window.partitionBy(*group).orderBy("line_start", "line_end")
+    reach = F.max("line_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = findings.withColumn("_cut", (F.col("line_start") > reach).cast("int"))
+    cut = cut.withColumn("_island", F.coalesce(F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("_cut")
+    alive = F.coalesce(live, F.lit(False)) if live is not None else F.lit(True)
+    x = F.struct((-S.priority("severity", confidence)).alias("p"), (F.col("source") == "llm").cast("int").alias("l"), F.col("finding_id").alias("id"), F.col("line_start").alias("s"), F.col("line_end").alias("e"), S.title_tokens("title").alias("words"), alive.alias("live"), F.struct(*findings.columns).alias("row"))
+    g = cut.groupBy(*group, "_island").agg(F.array_sort(F.collect_list(x), lambda a, b: _before(a, b)).alias("all"))
+    won = "array<struct<id:string,s:int,e:int,words:array<string>>>"
+    start = F.struct(F.expr(f"cast(array() as {won})").alias("won"), F.expr("cast(array() as array<string>)").alias("of"))
 
     def step(acc, y):
-        hits = F.filter(acc["won"], lambda w: _overlap_alike(w, y, least))
-        lose = F.size(hits) > 0
-        mine = F.array(F.struct(y["id"].alias("id"), F.get(hits, 0)["id"].alias("of")))
-        return F.struct(F.when(lose, acc["won"]).otherwise(F.concat(acc["won"], F.array(y))).alias("won"), F.when(lose, F.concat(acc["lost"], mine)).otherwise(acc["lost"]).alias("lost"))
+        hit = F.get(F.filter(acc["won"], lambda w: _overlap_alike(w, y, least)), 0)["id"]
+        own = F.array(F.struct(y["id"].alias("id"), y["s"].cast("int").alias("s"), y["e"].cast("int").alias("e"), y["words"].alias("words")))
+        of = F.when(y["live"], hit)
+        return F.struct(F.when(y["live"] & hit.isNull(), F.concat(acc["won"], own)).otherwise(acc["won"]).alias("won"), F.concat(acc["of"], F.array(of)).alias("of"))
+
+    both = g.select(F.inline(F.arrays_zip(F.col("all"), F.aggregate("all", start, step)["of"].alias("of"))).alias("all", "of"))
+    return both.select("all.row.*", F.col("of").alias("duplicate_of"))
+
+
+def _before(a: Column, b: Column) -> Column:
+    """Order of priority, source and id; what else a struct holds is not compared."""
+    out = F.lit(0)
+    for f in ("id", "l", "p"):
+        out = F.when(a[f] < b[f], F.lit(-1)).when(a[f] > b[f], F.lit(1)).otherwise(out)
+    return out
+
 
-    lost = g.select(F.explode(F.aggregate("all", start, step)["lost"]).alias("d")).select(F.col("d.id").alias("finding_id"), F.col("d.of").alias("duplicate_of"))
-    return findings.join(lost, "finding_id", "left")
+def _best_first() -> list[Column]:
+    """Priority, severity, confidence, fingerprint, id: a total order."""
+    return [F.desc(S.priority("severity", "confidence")), F.desc(S.severity_rank("severity")), F.desc("confidence"), F.col("fingerprint"), F.col("finding_id")]
 
 
 def ranked(findings: DataFrame, run: str = "run_id") -> DataFrame:
-    """Adds ``place`` within a run: priority, severity, confidence, fingerprint, id -- a total order."""
-    order = [F.desc(S.priority("severity", "confidence")), F.desc(S.severity_rank("severity")), F.desc("confidence"), "fingerprint", "finding_id"]
-    return findings.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
+    """Adds ``place`` within a run."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy(*_best_first())))
 
 
 def within_budget(findings: DataFrame, limit: int, run: str = "run_id") -> DataFrame:
@@ -123,7 +186,8 @@ def within_budget(findings: DataFrame, limit: int, run: str = "run_id") -> DataF
     if limit < 0:
         raise ValueError("limit must not be negative")
     ok = F.col("status").isin("verified", "demoted")
-    r = ranked(findings.filter(ok), run).withColumn("is_posted", F.col("place") <= limit)
-    out = r.withColumn("suppressed_as", F.when(~F.col("is_posted"), "over budget"))
-    rest = findings.filter(~ok).withColumns({"place": F.lit(None).cast("int"), "is_posted": F.lit(False), "suppressed_as": F.lit("rejected")})
-    return out.unionByName(rest)
+    # one window over all rows: the eligible come first, so their numbers are those of a window of their own
+    order = [F.desc(ok), *_best_first()]
+    n = F.row_number().over(Window.partitionBy(run).orderBy(*order))
+    out = findings.withColumn("place", F.when(ok, n)).withColumn("is_posted", F.coalesce(F.col("place") <= limit, F.lit(False)))
+    return out.withColumn("suppressed_as", F.when(F.col("is_posted"), None).when(F.col("place").isNull(), "rejected").otherwise("over budget"))

@@ -83,12 +83,12 @@ LISTING = r"""lst as (select repository_id, snapshot_id, path, sha blob_sha, siz
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    """A finding per line item: where (order, lines), how grave, how sure, and what it says; runs are suppliers."""
+    """A finding per line item: where (order, lines), how grave, how sure, and what it says; a run covers ten orders."""
     li, part = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     f = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     key = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), F.col("l_quantity").cast("int").cast("string"), F.date_format("l_shipdate", "yyyyMMdd"), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
     return f.select(
-        key.alias("finding_id"), F.col("l_suppkey").alias("run_id"), F.concat(F.lit("src/"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"),
+        key.alias("finding_id"), F.floor(F.col("l_orderkey") / 10).alias("run_id"), F.concat(F.lit("src/"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"),
         (F.col("l_linenumber") * 10).cast("int").alias("line_start"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).cast("int").alias("line_end"),
         F.when(F.col("l_quantity") >= 45, "critical").when(F.col("l_quantity") >= 35, "high").when(F.col("l_quantity") >= 20, "medium").when(F.col("l_quantity") >= 8, "low").otherwise("info").alias("severity"),
         F.when(F.col("l_returnflag") == "A", "ruff").otherwise("llm").alias("source"), F.lit("correctness").alias("category"),
@@ -97,7 +97,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 FINDINGS = """fnd as (select distinct
   concat_ws('-', l_orderkey::varchar, l_linenumber::varchar, l_partkey::varchar, l_suppkey::varchar, l_quantity::int::varchar, strftime(l_shipdate, '%Y%m%d'), round(l_extendedprice * 100)::bigint::varchar) finding_id,
-  l_suppkey run_id, 'src/' || l_orderkey::varchar || '.py' path, (l_linenumber * 10)::int line_start, (l_linenumber * 10 + l_quantity)::int line_end,
+  l_orderkey // 10 run_id, 'src/' || l_orderkey::varchar || '.py' path, (l_linenumber * 10)::int line_start, (l_linenumber * 10 + l_quantity)::int line_end,
   case when l_quantity >= 45 then 'critical' when l_quantity >= 35 then 'high' when l_quantity >= 20 then 'medium' when l_quantity >= 8 then 'low' else 'info' end severity,
   case when l_returnflag = 'A' then 'ruff' else 'llm' end source, 'correctness' category, concat_ws(' ', p_name, p_type) title, round(1 - l_discount * 5, 2) confidence
   from lineitem join part on l_partkey = p_partkey)"""

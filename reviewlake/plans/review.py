@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import chunking
 from ..operators import review as V
+from ..operators.patches import patch_parses
 from ..sources.tables import table
 from . import relations as R
 from .registry import query
@@ -39,26 +40,60 @@ def findings_ranked(spark, d):
     return V.ranked(findings(spark, d)).select("finding_id", "run_id", "place")
 
 
-def gated(spark, d):
-    """Findings with what each gate is asked: the order's state and customer stand for head files and diff hunks."""
-    o = table(spark, d, "orders").select(F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), "o_orderstatus", (F.col("o_custkey") % 40 + 1).alias("hunk_start"))
-    f = findings(spark, d).join(o, "path", "left")
-    hit = S.spans_overlap("line_start", "line_end", "hunk_start", F.col("hunk_start") + 45)
-    return f.select(*findings(spark, d).columns, (F.col("o_orderstatus").isNotNull() & (F.col("o_orderstatus") != "P")).alias("file_exists"), F.coalesce(hit, F.lit(False)).alias("line_in_range"),
-                    (~F.col("title").contains("ring")).alias("symbols_resolve"), (~F.col("title").contains("bolt")).alias("patch_parses"), ((F.col("line_start") >= F.col("hunk_start")) & (F.col("line_end") <= F.col("hunk_start") + 45)).alias("patch_applies"))
+#: The two patches that findings suggest: one parses as Python, one does not.
+GOOD_PATCH, BAD_PATCH = "x = 1", "x = (1"
 
 
-ASKED = R.FINDINGS + """, hd as (select 'src/' || o_orderkey::varchar || '.py' path, o_orderstatus, o_custkey % 40 + 1 hs from orders),
-ask as (select f.*, o_orderstatus is not null and o_orderstatus <> 'P' fe, coalesce(line_start <= hs + 45 and hs <= line_end, false) li, not contains(title, 'ring') sy, not contains(title, 'bolt') pp, coalesce(line_start >= hs and line_end <= hs + 45, true) pa from fnd f left join hd using (path))"""
+def gated(spark, d):
+    """Findings with what each gate is asked.  Head files and changed lines come from the orders (a pending order's file is
+    gone, every fifth file is not in the diff), the vocabulary from the names of small parts, evidence from the part's number."""
+    o = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 10).alias("run_id"), F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), "o_orderkey", "o_custkey", "o_orderstatus")
+    heads = o.filter("o_orderstatus is not null and o_orderstatus <> 'P'").select("run_id", "path", (60 + F.col("o_custkey") % 60).cast("int").alias("lines"))
+    first, second = (F.col("o_custkey") % 40 + 1).cast("int"), (F.col("o_custkey") % 40 + 30).cast("int")
+    shown = o.filter("o_orderkey % 5 <> 0").select("run_id", "path", F.explode(F.array(F.struct(first.alias("s"), (first + 20).alias("e")), F.struct(second.alias("s"), (second + 25).alias("e")))).alias("r")).select("run_id", "path", "r.*")
+    f = findings(spark, d).withColumn("words", F.split("title", " "))
+    small = table(spark, d, "part").filter("p_size <= 35").select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
+    vocabulary = o.select("run_id").distinct().join(F.broadcast(small))
+    f = f.withColumns({
+        "explanation": F.format_string("`%s` is read before `%s()` ran, see `None`", F.col("words")[0], F.col("words")[1]), "language": F.lit("python"),
+        "evidence": F.array(F.concat(F.lit("src/"), (F.floor(F.col("run_id")) * 10 + F.length("title") % 10).cast("string"), F.lit(".py"))),
+        "improved_code": F.when(F.col("source") == "ruff", None).otherwise(F.when(F.col("line_start") % 20 == 0, F.lit(BAD_PATCH)).otherwise(F.lit(GOOD_PATCH)))}).drop("words")
+    return V.gate_inputs(f, heads, shown, vocabulary, patch_parses)
+
+
+ASKED = R.FINDINGS + f""", ord as (select o_orderkey // 10 run_id, 'src/' || o_orderkey::varchar || '.py' path, o_orderkey, o_custkey, o_orderstatus from orders),
+hdl as (select run_id, path, max(60 + o_custkey % 60) lines from ord where o_orderstatus is not null and o_orderstatus <> 'P' group by all),
+shl as (select run_id, path, unnest([{{'s': o_custkey % 40 + 1, 'e': o_custkey % 40 + 21}}, {{'s': o_custkey % 40 + 30, 'e': o_custkey % 40 + 55}}]) r from ord where o_orderkey % 5 <> 0),
+shn as (select distinct run_id, path from shl), voc as (select distinct unnest(string_split(p_name, ' ')) token from part where p_size <= 35),
+fx as (select f.*, string_split(title, ' ')[1] w1, string_split(title, ' ')[2] w2, 'src/' || (run_id * 10 + length(title) % 10)::varchar || '.py' ev, source <> 'ruff' has_patch, line_start % 20 <> 0 good from fnd f),
+q as (select x.*, hd.path is not null fe, hd.path is not null and x.line_end <= hd.lines and case when s.path is not null then exists (select 1 from shl l where l.run_id = x.run_id and l.path = x.path and struct_extract(l.r, 's') <= x.line_end and x.line_start <= struct_extract(l.r, 'e')) else e.path is not null end li,
+  (w1 in (select token from voc) and w2 in (select token from voc)) or not exists (select 1 from ord where ord.run_id = x.run_id) sy, not has_patch or good pp,
+  not has_patch or exists (select 1 from shl l where l.run_id = x.run_id and l.path = x.path and struct_extract(l.r, 's') <= x.line_start and x.line_end <= struct_extract(l.r, 'e'))
+    pa
+  from fx x left join hdl hd on hd.run_id = x.run_id and hd.path = x.path left join shn s on s.run_id = x.run_id and s.path = x.path left join shn e on e.run_id = x.run_id and e.path = x.ev),
+ask as (select * exclude (w1, w2, ev, has_patch, good) from q)"""
 _FLOOR = "case severity " + " ".join(f"when '{k}' then {v}" for k, v in FLOORS.items()) + " else 0 end"
+_WORDS = "list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))"
+
+
+def _greedy(source: str, confidence: str, live: str, name: str) -> str:
+    """The greedy merge within a run's file as a recursion over its findings in order."""
+    return f"""w{name} as (select run_id, path, finding_id, line_start s, line_end e, {_WORDS} words, row_number() over (partition by run_id, path order by -(({RANK}) * {confidence}), source = 'llm', finding_id) n from {source} where {live}),
+f{name} as (with recursive f as (select run_id, path, 0::bigint n, null::varchar finding_id, null::varchar duplicate_of, []::struct(id varchar, s int, e int, words varchar[])[] won from (select distinct run_id, path from w{name})
+  union all select f.run_id, f.path, w.n, w.finding_id, h.hit, case when h.hit is null then list_append(f.won, {{'id': w.finding_id, 's': w.s, 'e': w.e, 'words': w.words}}) else f.won end
+  from f join w{name} w on w.run_id = f.run_id and w.path = f.path and w.n = f.n + 1 cross join lateral (select list_filter(f.won, lambda x: x.s <= w.e and w.s <= x.e and len(list_intersect(x.words, w.words)) / len(list_distinct(list_concat(x.words, w.words))) >= 0.7)[1].id hit) h) select * from f where n > 0)"""
+
+
 GATED = ASKED + f""", g0 as (select *, not fe or not li gone from ask), g1 as (select *, not gone and not sy fs, not gone and not pp fp, not gone and pp and not pa fa from g0),
 g2 as (select *, case when fs then greatest(0.0, confidence - 0.3::double) else confidence end c1 from g1), g3 as (select *, case when fp then greatest(0.0, c1 - 0.1::double) else c1 end c2 from g2), g4 as (select *, round(case when fa then greatest(0.0, c2 - 0.05::double) else c2 end, 9) c3 from g3),
-gat as (select *, not gone and c3 < {_FLOOR} under, case when gone or (c3 < {_FLOOR}) then 'rejected' when fs or fp or fa then 'demoted' else 'verified' end status from g4)"""
-FAILED = "list_filter([case when not fe then 'file_exists' end, case when fe and not li then 'line_in_range' end, case when fs then 'symbols_resolve' end, case when fp then 'patch_parses' end, case when fa then 'patch_applies' end, case when under then 'confidence_floor' end], lambda x: x is not null)"
+""" + _greedy("g4", "c3", "not gone", "dup") + f""",
+g5 as (select g4.*, d.duplicate_of is not null dup from g4 left join fdup d using (finding_id)),
+gat as (select *, not gone and not dup and c3 < {_FLOOR} under, case when gone or dup or (c3 < {_FLOOR}) then 'rejected' when fs or fp or fa then 'demoted' else 'verified' end status from g5)"""
+FAILED = "list_filter([case when not fe then 'file_exists' end, case when fe and not li then 'line_in_range' end, case when fs then 'symbols_resolve' end, case when fp then 'patch_parses' end, case when fa then 'patch_applies' end, case when dup then 'not_duplicate' end, case when under then 'confidence_floor' end], lambda x: x is not null)"
 
 
 def _gates(spark, d):
-    return V.gates(gated(spark, d), FLOORS, PENALTIES)
+    return V.gates(gated(spark, d), FLOORS, PENALTIES, ["run_id", "path"])
 
 
 @query(f"with {GATED} select finding_id, status, c3 as final_confidence, array_to_string({FAILED}, ',') as failed from gat")
@@ -81,9 +116,9 @@ def gate_patch_applies(spark, d):
     return gated(spark, d).select("finding_id", F.coalesce("patch_applies", F.lit(True)).alias("patch_applies"))
 
 
-@query(f"with {GATED} select finding_id, under as below_floor from gat where not gone")
+@query(f"with {GATED} select finding_id, under as below_floor from gat where not gone and not dup")
 def gate_confidence_floor(spark, d):
-    g = _gates(spark, d).filter("not array_contains(gates_failed, 'file_exists') and not array_contains(gates_failed, 'line_in_range')")
+    g = _gates(spark, d).filter("not arrays_overlap(gates_failed, array('file_exists', 'line_in_range', 'not_duplicate'))")
     return g.select("finding_id", F.array_contains("gates_failed", "confidence_floor").alias("below_floor"))
 
 
@@ -113,27 +148,19 @@ def findings_budget(spark, d):
 
 @query(f"with {BUDGETED} select run_id, count(*) as emitted, count_if(coalesce(place <= {LIMIT}, false)) as posted, count_if(not coalesce(place <= {LIMIT}, false)) as suppressed, true as conserved from rk group by run_id")
 def conservation_check(spark, d):
-    """Emitted equals posted and suppressed, in every run."""
-    emitted = findings(spark, d).groupBy("run_id").agg(F.count("*").alias("emitted"))
-    out = _budget(spark, d).groupBy("run_id").agg(F.count_if("is_posted").alias("posted"), F.count_if(~F.col("is_posted")).alias("suppressed"))
-    return emitted.join(out, "run_id").withColumn("conserved", F.col("emitted") == F.col("posted") + F.col("suppressed"))
-
+    """Emitted equals posted and suppressed, in every run; all counted in one pass over what the budget gave."""
+    out = _budget(spark, d).groupBy("run_id").agg(F.count("*").alias("emitted"), F.count_if("is_posted").alias("posted"), F.count_if(F.col("suppressed_as").isNotNull()).alias("suppressed"))
+    return out.withColumn("conserved", F.col("emitted") == F.col("posted") + F.col("suppressed"))
 
-WORDS = "list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))"
 
-
-@query(f"with {R.FINDINGS}, w as (select *, {WORDS} words from fnd) select a.path, a.finding_id as a, b.finding_id as b from w a join w b on a.path = b.path and a.finding_id < b.finding_id and a.line_start <= b.line_end and b.line_start <= a.line_end and len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= 0.7")
+@query(f"with {R.FINDINGS}, w as (select *, {_WORDS} words from fnd) select a.run_id, a.path, a.finding_id as a, b.finding_id as b from w a join w b on a.run_id = b.run_id and a.path = b.path and a.finding_id < b.finding_id and a.line_start <= b.line_end and b.line_start <= a.line_end and len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= 0.7")
 def dedup_pairs(spark, d):
-    return V.duplicate_pairs(findings(spark, d), ["path"])
+    return V.duplicate_pairs(findings(spark, d), ["run_id", "path"])
 
 
-@query(f"""with recursive {R.FINDINGS}, w as (select path, finding_id, line_start s, line_end e, {WORDS} words, row_number() over (partition by path order by -(({RANK}) * confidence), source = 'llm', finding_id) n from fnd),
-f as (select path, 0::bigint n, null::varchar finding_id, null::varchar duplicate_of, []::struct(id varchar, s int, e int, words varchar[])[] won from (select distinct path from w)
-  union all select f.path, w.n, w.finding_id, h.hit, case when h.hit is null then list_append(f.won, {{'id': w.finding_id, 's': w.s, 'e': w.e, 'words': w.words}}) else f.won end
-  from f join w on w.path = f.path and w.n = f.n + 1 cross join lateral (select list_filter(f.won, lambda x: x.s <= w.e and w.s <= x.e and len(list_intersect(x.words, w.words)) / len(list_distinct(list_concat(x.words, w.words))) >= 0.7)[1].id hit) h)
-select finding_id, duplicate_of from f where n > 0""")
+@query(f"with {R.FINDINGS}, " + _greedy("fnd", "confidence", "true", "one") + " select finding_id, duplicate_of from fone")
 def dedup_greedy(spark, d):
-    return V.merge_duplicates(findings(spark, d), ["path"]).select("finding_id", "duplicate_of")
+    return V.merge_duplicates(findings(spark, d), ["run_id", "path"]).select("finding_id", "duplicate_of")
 
 
 @query(rf"""with {R.SYMBOLS}, {R.CHUNKS}, vocab as (select repository_id, fqn token from sym union select repository_id, regexp_extract(replace(fqn, '::', '.'), '[^.]*$') from sym union select repository_id, t from (select repository_id, unnest(regexp_extract_all(content, '[A-Za-z_$][A-Za-z0-9_$]*')) t from chk) where length(t) <= 200),
@@ -150,8 +177,6 @@ def gate_symbol_resolves(spark, d):
 
 @query()
 def gate_patch_parses(spark, d):
-    from ..operators.patches import patch_parses
-
     c = R.chunks(spark, d)
     return c.select("chunk_id", patch_parses("language", "content").alias("parses"))
 
