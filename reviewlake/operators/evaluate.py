@@ -47,3 +47,37 @@ def latency(runs: DataFrame, group: str, value: str) -> DataFrame:
     a = F.least(F.col("n") - 1, F.bround(F.lit(0.95) * (F.col("n") - 1)).cast("bigint"))
     b = F.greatest(F.lit(0), F.bround(F.lit(0.95) * F.col("n")).cast("bigint") - 1)
     return r.groupBy(group).agg(F.count("*").alias("runs"), F.round(F.percentile(value, 0.5), 6).alias("p50"), at(a).alias("p95_interval"), at(b).alias("p95_rank"))
+
+
+def score_labels(resolved: DataFrame, labels: DataFrame, external: float) -> DataFrame:
+    """Labelled references with ``agrees``: a symbol is the one meant, an external name is known as such (by the confidence
+    ``external``), an unresolved one is neither.
+
+    ``resolved``: ref_id, dst_fqn, confidence; ``labels``: ref_id, label_kind (symbol, external, unresolved), target.  A label
+    without a reference does not agree.
+    """
+    j = labels.join(resolved.select("ref_id", "dst_fqn", "confidence"), "ref_id", "left")
+    open_, outside = F.col("dst_fqn").isNull() & F.col("confidence").isNotNull(), F.col("confidence") == external
+    hit = F.when(F.col("label_kind") == "symbol", F.col("dst_fqn") == F.col("target")).when(F.col("label_kind") == "external", open_ & outside).when(F.col("label_kind") == "unresolved", open_ & ~outside)
+    return j.withColumn("agrees", F.coalesce(hit, F.lit(False)))
+
+
+def needed_recall(packed: DataFrame, needed: DataFrame) -> DataFrame:
+    """One row: requests that need something, what they need, what of it their packs hold, the share, and the share of what
+    was kept that structure brought.
+
+    ``packed``: request_id, fqn, provenance, position (null: dropped); ``needed``: request_id, fqn.
+    """
+    kept = packed.filter("position is not null")
+    n = needed.select("request_id", "fqn").distinct().join(kept.select("request_id", "fqn").distinct().withColumn("_held", F.lit(True)), ["request_id", "fqn"], "left")
+    a = n.agg(F.countDistinct("request_id").alias("requests"), F.count("*").alias("needed"), F.count_if("_held").alias("held"))
+    b = kept.agg(F.count("*").alias("kept"), F.count_if(F.col("provenance") == "graph").alias("structural"))
+    return a.join(F.broadcast(b)).select("requests", "needed", "held", ratio(F.col("held"), F.col("needed"), 1.0).alias("recall"), "kept", ratio(F.col("structural"), F.col("kept"), 0.0).alias("structural_share"))
+
+
+def claim_owner(cases: DataFrame, requests: DataFrame) -> DataFrame:
+    """``case_id, request_id``: of each case's requests (case_id, request_id, i, span_start, span_end) the first that spans the
+    defect's line, the first of all if none does or the case is clean."""
+    j = requests.join(cases.select("case_id", "defect_line"), "case_id")
+    away = ~F.coalesce(F.col("defect_line").between(F.col("span_start"), F.col("span_end")), F.lit(False))
+    return j.groupBy("case_id").agg(F.min_by("request_id", F.struct(away.alias("away"), F.col("i").alias("i"))).alias("request_id"))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import evaluate as E
+from ..operators import resolution as X
 from ..operators import retrieval
+from ..session import cut
 from ..sources.tables import table
 from . import relations as R
 from . import review as V
-from .graph import BUDGET, PACK, _pack
+from .graph import PACK, _pack, hunks
 from .registry import query
+from .resolution import USES, imports, labels, modules, references, symbols
 
 
 def cases(spark, d):
@@ -74,11 +78,41 @@ def eval_latency(spark, d):
     return E.latency(R.snapshots(spark, d), "embedding_model", "duration_ms")
 
 
-@query(f"with {PACK}, s as (select request_id, count_if(place is not null) kept, count_if(place is not null and provenance = 'graph') graph, count(*) all_items, coalesce(sum(case when place is not null then token_count end), 0) tokens from pck group by request_id) select count(*) as requests, round(avg(case when all_items > 0 then kept / all_items end), 6) as mean_recall, sum(graph)::bigint as structural, round(avg(tokens) / {BUDGET}, 6) as mean_utilization from s")
-def eval_retrieval(spark, d):
-    """How much of what was wanted the packs hold, and how much of that came from structure."""
-    s = retrieval.pack_stats(_pack(spark, d), BUDGET)
-    kept = F.col("anchors") + F.col("graph") + F.col("semantic")
-    return s.agg(F.count("*").alias("requests"), F.round(F.avg(kept / (kept + F.col("dropped"))), 6).alias("mean_recall"), F.sum("graph").alias("structural"), F.round(F.avg("tokens") / BUDGET, 6).alias("mean_utilization"))
+_NEEDED = "ned as (select distinct a.request_id, e.dst_fqn fqn from anc a join edg e on e.repository_id = a.repository_id and e.src_fqn = a.fqn and e.kind = 'calls' where e.dst_fqn is not null and not exists (select 1 from anc b where b.request_id = a.request_id and b.fqn = e.dst_fqn))"
 
 
+@query(f"""with {PACK}, {_NEEDED}, k as (select distinct request_id, fqn from pck where place is not null), a as (select count(distinct n.request_id) requests, count(*) needed, count(k.fqn) held from ned n left join k using (request_id, fqn)), b as (select count(*) kept, count_if(provenance = 'graph') structural from pck where place is not null)
+select requests, needed, held, round(held / needed, 6) as recall, kept, round(structural / kept, 6) as structural_share from a, b""")
+def eval_retrieval(spark, d):
+    """How much of what the changed symbols call is in their packs, and how much of the packs structure brought."""
+    s = cut(R.symbols(spark, d))
+    anchors = retrieval.symbols_in_spans(s, hunks(spark, d)).select("request_id", "repository_id", "fqn").distinct()
+    calls = R.edges(spark, d, s).filter("kind = 'calls' and dst_fqn is not null").select("repository_id", F.col("src_fqn").alias("fqn"), "dst_fqn")
+    needed = anchors.join(calls, ["repository_id", "fqn"]).select("request_id", F.col("dst_fqn").alias("fqn")).join(anchors.select("request_id", "fqn"), ["request_id", "fqn"], "left_anti")
+    return E.needed_recall(_pack(spark, d), needed)
+
+
+@query(f"""with {USES}, lab as (select s.symbol_id * 16 + 3 ref_id, case when s.member is null then 'unresolved' else 'symbol' end lk, o.dst target, s.module, s.repository_id from smx s left join own o on o.repository_id = s.repository_id and o.owner = (select struct_extract_at(c.c, 2) from nxt x join cls c on c.repository_id = x.repository_id and c.module = x.m1 where x.repository_id = s.repository_id and x.module = s.module) and o.name = s.member where s.c1 is not null
+  union all select s.symbol_id * 16 + k, 'symbol', t.dst, s.module, s.repository_id from smx s cross join (select unnest([4, 9]) k) join nxt x on x.repository_id = s.repository_id and x.module = s.module join tops t on t.repository_id = x.repository_id and t.module = x.m1 and t.name = x.n1
+  union all select symbol_id * 16 + k, case k when 6 then 'external' else 'unresolved' end, null, module, repository_id from smx cross join (select unnest([5, 6, 10]) k)),
+j as (select l.*, m.lang as language, r.dst_fqn, r.confidence from lab l join mod m using (repository_id, module) left join res r on r.ref_id = l.ref_id)
+select language, lk as label_kind, count(*) as labels, count_if(coalesce(case lk when 'symbol' then dst_fqn = target when 'external' then dst_fqn is null and confidence = 0.9 else dst_fqn is null and confidence <> 0.9 end, false)) as agreed,
+  round(count_if(coalesce(case lk when 'symbol' then dst_fqn = target when 'external' then dst_fqn is null and confidence = 0.9 else dst_fqn is null and confidence <> 0.9 end, false)) / count(*), 6) as accuracy from j group by language, lk""")
+def eval_resolution(spark, d):
+    """References whose target is known from how they were made, against what the resolver says, by language and kind."""
+    m, s = cut(modules(spark, d)), cut(symbols(spark, d))
+    got = E.score_labels(X.resolve(references(m, s), imports(m, s), m, s), labels(m, s), S.CONFIDENCE["external"]).join(m.select("repository_id", "module", "language"), ["repository_id", "module"])
+    ok = F.count_if("agrees")
+    return got.groupBy("language", "label_kind").agg(F.count("*").alias("labels"), ok.alias("agreed"), F.round(ok / F.count("*"), 6).alias("accuracy"))
+
+
+def case_requests(spark, d):
+    """Requests of every case: its file in spans of thirty lines."""
+    o = cases(spark, d)
+    return o.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("case_id", F.format_string("%s#%d", "case_id", "i").alias("request_id"), "i", (F.col("i") * 30 + 1).alias("span_start"), (F.col("i") * 30 + 30).alias("span_end"))
+
+
+@query(f"with {CASES} select case_id, case_id || '#' || (case when dl between 1 and 90 then (dl - 1) // 30 else 0 end)::varchar as owner from cas")
+def eval_claim_owner(spark, d):
+    """The request that a case's claims belong to: the first whose span holds the defect's line, else the first."""
+    return E.claim_owner(cases(spark, d), case_requests(spark, d)).select("case_id", F.col("request_id").alias("owner"))

@@ -111,6 +111,23 @@ def references(m, s):
     return x.select("repository_id", (F.col("symbol_id") * 16 + F.col("r.no")).alias("ref_id"), "module", F.col("r.k").alias("kind"), "from_fqn", "r.target_name", "r.receiver", "r.receiver_type")
 
 
+def labels(m, s):
+    """What some of the references are known to mean: a member of the class an object was made from, a name of a module by
+    alias and by import, names from outside and names that nobody has."""
+    tops = X.top_level(s)
+    first = tops.groupBy("repository_id", "module").agg(F.min_by("t_dst", "name").alias("n1")).withColumnRenamed("module", "m1")
+    made = s.filter("kind = 'class'").groupBy("repository_id", F.col("module").alias("m1")).agg(F.min(F.struct("name", "fqn"))["fqn"].alias("owner"))
+    member = s.filter("parent_fqn is not null").groupBy("repository_id", F.col("parent_fqn").alias("owner"), "name").agg(F.max_by("fqn", "symbol_id").alias("dst"), F.count_if(F.col("kind") == "method").alias("methods"))
+    member = member.filter("methods > 0").groupBy("repository_id", "owner").agg(F.min_by("dst", "name").alias("member"))
+    a = _after(m, 1).join(first, ["repository_id", "m1"], "left").join(made, ["repository_id", "m1"], "left").join(member, ["repository_id", "owner"], "left")
+    x = s.select("repository_id", "symbol_id", "module").join(a, ["repository_id", "module"], "left")
+    none = F.lit(None).cast("string")
+    row = lambda no, kind, target, when=F.lit(True): F.when(when, F.struct(F.lit(no).alias("no"), kind.alias("label_kind"), target.alias("target")))
+    symbol, gone, out = F.lit("symbol"), F.lit("unresolved"), F.lit("external")
+    rows = F.array(row(3, F.when(F.col("member").isNull(), gone).otherwise(symbol), F.col("member"), F.col("owner").isNotNull()), *[row(n, symbol, F.col("n1"), F.col("n1").isNotNull()) for n in (4, 9)], row(5, gone, none), row(6, out, none), row(10, gone, none))
+    return x.select("repository_id", "module", "symbol_id", F.explode(F.array_compact(rows)).alias("r")).select("repository_id", "module", (F.col("symbol_id") * 16 + F.col("r.no")).alias("ref_id"), "r.label_kind", "r.target")
+
+
 _SHAPES = [(0, "calls", "later", "null", "null", "true"), (1, "calls", "nearby", "'self'", "null", "kind = 'method'"), (2, "calls", "later", "'self.store'", "null", "kind = 'method'"), (3, "calls", "coalesce(member, 'run')", "'obj'", "c1", "c1 is not null"), (4, "calls", "n1", "'lib'", "null", "true"), (5, "calls", f"'{MISSING}'", "'lib'", "null", "true"),
            (6, "calls", "later", "'ext.sub'", "null", "true"), (7, "tests", "n1", "null", "null", "true"), (8, "inherits", "nearby", "null", "null", "kind = 'class'"), (9, "calls", "n1", "null", "null", "true"), (10, "calls", f"'{MISSING}'", "null", "null", "true")]
 _UNION = " union all ".join(f"select repository_id, symbol_id * 16 + {no} ref_id, module, '{k}' rkind, fqn from_fqn, {target} target, {receiver}::varchar receiver, {made}::varchar made from smx where {when}" for no, k, target, receiver, made, when in _SHAPES)
