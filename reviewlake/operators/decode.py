@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fields of a finding as a response gives it: name, JSON type, whether it must be there.
+FIELDS = [
+    ("severity", "string", False), ("category", "string", False), ("title", "string", True), ("explanation", "string", False), ("path", "string", True), ("line_start", "integer", True), ("line_end", "integer", True),
+    ("confidence", "number", False), ("evidence", "array", False), ("suggested_fix", "string", False), ("improved_code", "string", False)]
 ITEM = "struct<path:string,line_start:int,line_end:int,title:string,suggested_fix:string,improved_code:string>"
 
 
+def draft_schema() -> dict:
+    """JSON schema of the envelope that ``decode`` takes, for providers that generate against one; made from ``FIELDS``."""
+    item = {"type": "object", "properties": {n: {"type": t} | ({"minimum": 1} if t == "integer" else {}) for n, t, _ in FIELDS}, "required": [n for n, _, must in FIELDS if must]}
+    return {"type": "object", "properties": {"findings": {"type": "array", "items": item}}, "required": ["findings"]}
+
+
 def unfenced(payload: Column | str) -> Column:
     p = F.trim(F.col(payload) if isinstance(payload, str) else payload)
     body = F.regexp_extract(p, r"(?s)^```(?:json)?\s*\n(.*?)\n?\s*```$", 1)
@@ -34,15 +44,16 @@ def decode(responses: DataFrame, payload: str = "payload") -> DataFrame:
     return r.withColumns({"_a": array_text, "reject": reject}).withColumn("entries", F.when(F.col("reject").isNull(), entries)).drop("_t", "_j", "_a")
 
 
-def items(decoded: DataFrame, key: str) -> DataFrame:
+def items(decoded: DataFrame, key: str, allowed: str | None = None) -> DataFrame:
     """One row per entry: its fields, or why it was rejected.
 
-    A line range that runs backwards ends where it starts; code without an explanation is dropped and the finding stays.
+    ``allowed`` names an array of the paths that a response may speak of; null allows all.  A line range that runs backwards ends where it starts; code without an explanation is dropped and the finding stays.
     """
-    e = decoded.filter("reject is null").select(key, F.posexplode("entries").alias("ordinal", "entry"))
+    paths = F.col(allowed) if allowed else F.lit(None).cast("array<string>")
+    e = decoded.filter("reject is null").select(key, paths.alias("_allowed"), F.posexplode("entries").alias("ordinal", "entry"))
     e = e.withColumn("f", F.from_json("entry", ITEM))
     missing = lambda c: F.col(f"f.{c}").isNull()
-    why = F.when(~F.col("entry").startswith("{"), "expected an object").when(missing("path"), "path: missing").when(missing("line_start") | missing("line_end"), "lines: missing").when(F.col("f.line_start") < 1, "line_start: below 1").when(missing("title"), "title: missing")
+    why = F.when(~F.col("entry").startswith("{"), "expected an object").when(missing("path"), "path: missing").when(missing("line_start") | missing("line_end"), "lines: missing").when(F.col("f.line_start") < 1, "line_start: below 1").when(missing("title"), "title: missing").when(~F.array_contains("_allowed", F.col("f.path")), "path: not under review")
     ok = F.col("reason").isNull()
     return e.withColumn("reason", why).select(key, "ordinal", F.when(ok, F.col("f.path")).alias("path"), F.when(ok, F.col("f.line_start")).alias("line_start"), F.when(ok, F.greatest("f.line_end", "f.line_start")).alias("line_end"),
                                               F.when(ok, F.col("f.title")).alias("title"), F.when(ok & F.col("f.suggested_fix").isNotNull(), F.col("f.improved_code")).alias("improved_code"), "reason")

@@ -114,10 +114,16 @@ def parse(text: str | None) -> tuple[list[dict], str | None]:
                 f["path"] = x[10:]
             elif x.startswith("Binary files") or x.startswith("GIT binary patch"):
                 f["is_binary"] = True
-            elif x.startswith("+++ ") and _path(x[4:]):
-                f["path"] = _path(x[4:])
-            elif x.startswith("--- ") and f["status"] == "deleted" and _path(x[4:]):
-                f["path"] = _path(x[4:])
+            elif x.startswith("+++ "):
+                if _path(x[4:]):
+                    f["path"] = _path(x[4:])
+                elif f["status"] == "modified":  # a side that is nothing tells as much as a header
+                    f["status"] = "deleted"
+            elif x.startswith("--- "):
+                if not _path(x[4:]):
+                    f["status"] = "added" if f["status"] == "modified" else f["status"]
+                elif f["status"] == "deleted":
+                    f["path"] = _path(x[4:])
             i += 1
     return files, None
 

@@ -89,3 +89,11 @@ def read_snapshot(spark, root: str, name: str, repository_id: str, snapshot_id:
     df = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
     ready = spark.read.parquet(f"{root}/ready").filter((F.col("repository_id") == repository_id) & (F.col("snapshot_id") == snapshot_id)).select("repository_id", "snapshot_id").distinct()
     return df.filter((F.col("repository_id") == repository_id) & (F.col("snapshot_id") == snapshot_id)).join(ready, ["repository_id", "snapshot_id"], "left_semi")
+
+
+def fetch_diffs(asked: DataFrame, pull_requests: DataFrame) -> DataFrame:
+    """Requests (repository_id, pr_number) with ``diff_text`` and ``is_known``; a number that a repository gave twice has its
+    last text."""
+    keys = ["repository_id", "pr_number"]
+    known = pull_requests.groupBy(keys).agg(F.max_by("diff_text", "updated_at").alias("diff_text"), F.lit(True).alias("_known"))
+    return asked.select(*keys).distinct().join(known, keys, "left").withColumn("is_known", F.coalesce("_known", F.lit(False))).drop("_known")

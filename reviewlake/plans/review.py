@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import chunking
+from ..operators import chunking, reviewer
 from ..operators import review as V
 from ..operators.patches import patch_parses
 from ..sources.tables import table
@@ -181,9 +181,9 @@ def gate_patch_parses(spark, d):
     return c.select("chunk_id", patch_parses("language", "content").alias("parses"))
 
 
-@query("with one as (select distinct doc_id, repository_id, kind, n_chars, created_at from documents where repository_id is not null) select repository_id, count(*) as requests, sum(n_chars)::bigint as chars, count_if(kind is null) as failures, round(1 - count_if(kind is null) / count(*), 6) as completeness, array_to_string(list_sort(list_distinct(list(kind))), ',') as kinds from one group by repository_id")
+@query("with one as (select distinct doc_id, repository_id, kind, n_chars, n_tokens from documents where repository_id is not null) select repository_id, count(*) as requests, count_if(kind is null) as failures, sum(n_chars)::bigint as input_tokens, sum(coalesce(n_tokens, 0))::bigint as output_tokens, round(sum(n_chars::double / 1000), 6) as cost, round(1 - count_if(kind is null) / count(*), 6) as completeness, array_to_string(coalesce(list_sort(list_distinct(list(kind) filter (where kind is not null))), []), ',') as models from one group by repository_id")
 def review_merge(spark, d):
-    """Outcomes of a repository's reviews put together: sums, failures, completeness, the kinds seen."""
-    one = table(spark, d, "documents").filter("repository_id is not null").select("doc_id", "repository_id", "kind", "n_chars", "created_at").distinct()
-    failed = F.count_if(F.col("kind").isNull())
-    return one.groupBy("repository_id").agg(F.count("*").alias("requests"), F.sum("n_chars").alias("chars"), failed.alias("failures"), F.round(1 - failed / F.count("*"), 6).alias("completeness"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    """Outcomes of a repository's reviews put together; a document is an answer, its kind the model that gave it."""
+    one = table(spark, d, "documents").filter("repository_id is not null").select("doc_id", "repository_id", "kind", "n_chars", "n_tokens").distinct()
+    answers = one.select("repository_id", F.col("n_chars").alias("input_tokens"), F.coalesce("n_tokens", F.lit(0)).alias("output_tokens"), (F.col("n_chars").cast("double") / 1000).alias("cost"), F.col("kind").alias("model"), F.when(F.col("kind").isNull(), "no kind").alias("error"))
+    return reviewer.outcome(answers, "repository_id").withColumn("models", F.array_join("models", ","))

@@ -172,3 +172,13 @@ def posted_reviews(spark, d):
     """One row per repository, also where nothing was posted."""
     posted = table(spark, d, "documents").filter("kind = 'review_comment'").groupBy("repository_id").agg(F.count("*").alias("posted"), F.max("created_at").alias("last_at"))
     return table(spark, d, "repositories").select("repository_id").distinct().join(posted, "repository_id", "left").withColumn("posted", F.coalesce("posted", F.lit(0)))
+
+
+@query("""with prs as (select distinct repository_id, doc_id pr_number, text from documents where kind = 'diff' and repository_id is not null), ask as (select repository_id, pr_number from prs union select distinct repository_id, -1 from documents where repository_id is not null)
+select a.repository_id, a.pr_number, p.pr_number is not null as is_known, length(p.text) as size from ask a left join prs p using (repository_id, pr_number)""")
+def fetch_diff(spark, d):
+    """Diffs of pull requests by repository and number, one unknown number a repository among them."""
+    docs = table(spark, d, "documents").filter("repository_id is not null")
+    prs = docs.filter("kind = 'diff'").select("repository_id", F.col("doc_id").alias("pr_number"), F.col("text").alias("diff_text"), F.col("created_at").alias("updated_at"))
+    asked = prs.select("repository_id", "pr_number").unionByName(docs.select("repository_id", F.lit(-1).cast("bigint").alias("pr_number")))
+    return store.fetch_diffs(asked, prs).select("repository_id", "pr_number", "is_known", F.length("diff_text").alias("size"))

@@ -54,7 +54,8 @@ def responses(spark, d):
     item = F.concat(F.lit('{"path": "src/'), n.cast("string"), F.lit('.py", "line_start": '), (n % 50).cast("string"), F.lit(', "line_end": '), (n % 37).cast("string"), F.lit(', "title": "'), F.coalesce("kind", F.lit("none")), F.lit('", "improved_code": "x"'), F.when(n % 2 == 0, F.lit(', "suggested_fix": "y"')).otherwise(F.lit("")), F.lit("}"))
     env = F.concat(F.lit('{"findings": ['), item, F.lit(', {"path": "a.py"}, 7]}'))
     form = F.when(n % 8 == 0, F.concat(F.lit("```json\n"), env, F.lit("\n```"))).when(n % 8 == 1, F.concat(F.lit("Here is my review: "), env, F.lit(" I hope it helps."))).when(n % 8 == 2, F.concat(F.lit("["), item, F.lit("]"))).when(n % 8 == 3, F.lit('{"comments": []}')).when(n % 8 == 4, F.lit("  ")).when(n % 8 == 5, F.lit('{"findings": 3}')).when(n % 8 == 6, F.lit("{broken")).otherwise(env)
-    return t.select("doc_id", form.alias("payload"))
+    allowed = F.when(n % 3 == 0, F.array(F.lit("src/other.py"), F.concat(F.lit("src/"), (n - n % 2).cast("string"), F.lit(".py"))))
+    return t.select("doc_id", form.alias("payload"), allowed.alias("allowed_paths"))
 
 
 _ITEM = """'{"path": "src/' || doc_id::varchar || '.py", "line_start": ' || (doc_id % 50)::varchar || ', "line_end": ' || (doc_id % 37)::varchar || ', "title": "' || coalesce(kind, 'none') || '", "improved_code": "x"' || case when doc_id % 2 = 0 then ', "suggested_fix": "y"' else '' end || '}'"""
@@ -69,13 +70,13 @@ rej as (select *, case when t = '' then 'empty response' when j is null then 'in
 @query(f"""with {RESPONSES}, arr as (select doc_id, case when ty = 'ARRAY' then json_extract(j, '$[*]') else json_extract(j, '$.findings[*]') end a from rej where reject is null),
 itm as (select doc_id, unnest(a) e, generate_subscripts(a, 1) - 1 ordinal from arr),
 fld as (select doc_id, ordinal, e, json_type(e) = 'OBJECT' obj, e->>'$.path' path, try_cast(e->>'$.line_start' as int) ls, try_cast(e->>'$.line_end' as int) le, e->>'$.title' title, e->>'$.suggested_fix' fix, e->>'$.improved_code' code from itm),
-why as (select *, case when not obj then 'expected an object' when path is null then 'path: missing' when ls is null or le is null then 'lines: missing' when ls < 1 then 'line_start: below 1' when title is null then 'title: missing' end reason from fld)
+why as (select *, case when not obj then 'expected an object' when path is null then 'path: missing' when ls is null or le is null then 'lines: missing' when ls < 1 then 'line_start: below 1' when title is null then 'title: missing' when doc_id % 3 = 0 and path not in ('src/other.py', 'src/' || (doc_id - doc_id % 2)::varchar || '.py') then 'path: not under review' end reason from fld)
 select doc_id, ordinal::int as ordinal, case when reason is null then path end as path, case when reason is null then ls end as line_start, case when reason is null then greatest(le, ls) end as line_end, case when reason is null then title end as title, case when reason is null and fix is not null then code end as improved_code, reason from why
 union all select doc_id, null, null, null, null, null, null, reject from rej where reject is not null""")
 def decode_findings(spark, d):
     """Every finding of every response, or why it was rejected."""
     dec = D.decode(responses(spark, d))
-    got = D.items(dec, "doc_id")
+    got = D.items(dec, "doc_id", "allowed_paths")
     refused = dec.filter("reject is not null").select("doc_id", F.col("reject").alias("reason"))
     return got.unionByName(refused, allowMissingColumns=True)
 

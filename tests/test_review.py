@@ -53,6 +53,15 @@ def test_decode_forms(spark):
     assert got == [(1, 5, None, None), (2, 5, None, None), (3, 5, None, None), (3, None, None, "expected an object")]
 
 
+def test_only_files_under_review_are_spoken_of(spark):
+    item = lambda p: f'{{"path": "{p}", "line_start": 5, "line_end": 6, "title": "t"}}'
+    df = spark.createDataFrame([(1, f"[{item('a.py')}, {item('b.py')}]", ["a.py"]), (2, f"[{item('b.py')}]", None)], "k int, payload string, ok array<string>")
+    got = [(r.k, r.path, r.reason) for r in D.items(D.decode(df), "k", "ok").orderBy("k", "ordinal").collect()]
+    assert got == [(1, "a.py", None), (1, None, "path: not under review"), (2, "b.py", None)]
+    schema = D.draft_schema()
+    assert schema["required"] == ["findings"] and "path" in schema["properties"]["findings"]["items"]["required"]
+
+
 DIFF = """diff --git a/x.py b/x.py
 --- a/x.py
 +++ b/x.py
@@ -83,6 +92,53 @@ def test_diff_parse():
     assert diffs.parse("diff --git a/x b/x\n@@ -1,5 +1,5 @@\n a\n")[1] and diffs.parse(None) == ([], None)
 
 
+def test_a_side_that_is_nothing_tells_the_status():
+    files, _ = diffs.parse("diff --git a/x b/x\n--- /dev/null\n+++ b/x\n@@ -0,0 +1 @@\n+a\ndiff --git a/y b/y\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n-a\n")
+    assert [(f["path"], f["status"]) for f in files] == [("x", "added"), ("y", "deleted")]
+
+
+def test_parse_and_windows_number_lines_alike(spark):
+    texts = [(1, DIFF), (2, "diff --git a/p b/p\n@@ -3,3 +5,4 @@\n k\n+n\n+m\n-o\n l\n")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    seen = {(r.doc_id, r.sign, r.new_line if r.sign == "+" else r.old_line) for r in diffs.line_numbers(diffs.lines(df)).collect() if r.sign != " "}
+    told = set()
+    for r in diffs.parse_diffs(df).collect():
+        told |= {(r.doc_id, "+", n) for h in r.hunks for n in h.added} | {(r.doc_id, "-", n) for h in r.hunks for n in h.removed}
+    assert told == seen and len(told) >= 6
+
+
+def test_gate_inputs(spark):
+    f = spark.createDataFrame([
+        (1, "a", "x.py", 5, 6, "uses `known`", [], "python", "x = 1"), (1, "b", "x.py", 50, 60, "`ghost()`", [], "python", "x = ("), (1, "c", "y.py", 1, 2, "", ["x.py"], "python", None), (1, "d", "y.py", 1, 2, "", ["z.py"], "cobol", "?"),
+        (1, "e", "gone.py", 1, 1, None, None, None, None), (2, "f", "x.py", 1, 1, "`ghost`", [], "python", None), (1, "g", "x.py", 8, 13, "", [], "python", "x = 1")],
+        "run_id int, finding_id string, path string, line_start int, line_end int, explanation string, evidence array<string>, language string, improved_code string")
+    heads = spark.createDataFrame([(1, "x.py", 55), (1, "y.py", 9), (2, "x.py", 9)], "run_id int, path string, lines int")
+    shown = spark.createDataFrame([(1, "x.py", 4, 8), (1, "x.py", 9, 10), (1, "x.py", 1, 2), (1, "x.py", 52, 53)], "run_id int, path string, s int, e int")
+    vocabulary = spark.createDataFrame([(1, "known")], "run_id int, token string")
+    got = {r.finding_id: (r.file_exists, r.line_in_range, r.symbols_resolve, r.patch_parses, r.patch_applies) for r in V.gate_inputs(f, heads, shown, vocabulary, patches.patch_parses).collect()}
+    assert got == {"a": (True, True, True, True, True), "b": (True, False, False, False, False), "c": (True, True, True, None, None), "d": (True, False, True, None, False), "e": (False, False, True, None, None), "f": (True, False, True, None, None), "g": (True, True, True, True, False)}
+    assert V.gate_inputs(f.limit(0), heads, shown, vocabulary, patches.patch_parses).count() == 0
+
+
+def test_duplicates_are_merged_before_the_floor_and_within_a_run(spark):
+    rows = [("a", 1, 9, "high", "llm", "one two three four", 0.9), ("b", 1, 9, "high", "llm", "one two three four", 0.8), ("c", 1, 9, "high", "llm", "one two three four", 0.95)]
+    f = findings(spark, rows).selectExpr("* except (run_id)", "case when finding_id = 'b' then 2 else 1 end run_id", "finding_id <> 'c' file_exists", "true line_in_range", "true symbols_resolve", "true patch_parses", "true patch_applies")
+    again = f.filter("finding_id = 'a'").selectExpr("* except (finding_id, confidence)", "'d' finding_id", "0.7d confidence")
+    got = {r.finding_id: (r.status, r.gates_failed, r.duplicate_of) for r in V.gates(f.unionByName(again), {"high": 0.75}, {"symbols_resolve": 0.3, "patch_parses": 0.1, "patch_applies": 0.05}, ["run_id", "path"]).collect()}
+    assert got == {"a": ("verified", [], None), "b": ("verified", [], None), "c": ("rejected", ["file_exists"], None), "d": ("rejected", ["not_duplicate"], "a")}
+
+
+def test_many_findings_of_one_file_come_apart(spark):
+    rows = [(f"f{i:04}", 10 * i, 10 * i + (12 if i % 2 else 5), "high", "llm", "one two three four", 0.5 + (i % 7) / 100) for i in range(600)]
+    got = {r.finding_id: r.duplicate_of for r in V.merge_duplicates(findings(spark, rows), ["run_id", "path"]).collect()}
+    want, won = {}, []
+    for i, s, e, *_, c in sorted(rows, key=lambda r: (-r[6], r[0])):
+        hit = next((w for w, a, b in won if a <= e and s <= b), None)
+        want[i] = hit
+        won += [(i, s, e)] if hit is None else []
+    assert got == want and sum(v is not None for v in got.values()) > 100
+
+
 def test_diff_windows(spark):
     n = diffs.lines(spark.createDataFrame([(1, DIFF), (2, ""), (3, None)], "doc_id bigint, text string"))
     assert [(r.old_count, r.new_count, r.new_end) for r in diffs.hunk_headers(n).orderBy("line_no").collect()] == [(2, 3, 3), (1, 0, 10), (1, 0, 0)]
