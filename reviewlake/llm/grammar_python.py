@@ -22,8 +22,9 @@ assert max(CODE.values()) <= "~"
 _DIG = r"\d(?:_?\d)*"
 _PREFIX = r"(?i:[rub]|br|rb|f|fr|rf)?"
 _TOKEN = re.compile(
-    rf"""[ \t\f]*(?:(?P<str>{_PREFIX}(?:\"\"\"|'''|\"|'))
-    |(?P<name>[^\W\d]\w*)
+    rf"""[ \t\f]*(?:(?P<name>[^\W\d]\w*+(?!["']))
+    |(?P<str>{_PREFIX}(?:\"\"\"|'''|\"|'))
+    |(?P<word>[^\W\d]\w*)
     |(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:{_DIG})?\.{_DIG}(?:[eE][+-]?{_DIG})?[jJ]?|{_DIG}\.?(?:[eE][+-]?{_DIG})[jJ]?|{_DIG}\.[jJ]?|{_DIG}[jJ]|(?:[1-9](?:_?\d)*|0(?:_?0)*)(?!\.))(?:(?!\w)|(?=and|else|for|i[fns]|not|or)))
     |(?P<op>{"|".join(re.escape(o) for o in sorted(OPERATORS, key=len, reverse=True))})
     |(?P<nl>\r\n|\n|\r)
@@ -89,7 +90,7 @@ def _field(s: str, at: int, quote: str, raw: bool) -> int:
             at += 1
             continue
         if not depth and (c in "}:" or c == "!" and not s.startswith("!=", at) or c == "=" and re.compile(r"=\s*[}:!]").match(s, at) and s[at - 1] not in "=!<>"):
-            codes, _ = tokens_of("(" + s[start:at] + ")\n")
+            codes = tokens_of("(" + s[start:at] + ")\n")
             end, far, hits, ok = parser("FieldExpr")(codes)
             if not ok:
                 raise LexError(start, "invalid f-string expression")
@@ -159,16 +160,16 @@ def _string(s: str, m: re.Match) -> int:
     return body.end()
 
 
-def tokens_of(s: str) -> tuple[str, list[int]]:
-    """Token codes and the position of each token; raises ``LexError``."""
-    at = 1 if s.startswith("﻿") else 0
-    codes, places, stack, indents = [], [], [], [(0, 0)]
+def tokens_of(s: str, places: list[int] | None = None) -> str:
+    """The token codes; raises ``LexError``.  The position of each token is put into ``places``, if given."""
+    at = 1 if s.startswith("\ufeff") else 0
+    codes: list[str] = []
+    stack: list[tuple[str, int]] = []
+    indents = [(0, 0)]
     n, bol = len(s), True
-    match, words, name_code = _TOKEN.match, _WORDS, CODE["NAME"]
-
-    def put(code: str, where: int) -> None:
-        codes.append(CODE[code])
-        places.append(where)
+    match, words, name_code, put, ops, brackets = _TOKEN.match, _WORDS.get, CODE["NAME"], codes.append, CODE, frozenset("()[]{}")
+    string, name, word, number, op, line, skip = (_TOKEN.groupindex[g] for g in ("str", "name", "word", "num", "op", "nl", "skip"))
+    newline = CODE["NL"]
 
     while at < n:
         if bol and not stack:
@@ -179,10 +180,12 @@ def tokens_of(s: str) -> tuple[str, list[int]]:
                     break
                 continue
             m = _INDENT.match(s, at)
-            col = alt = 0
-            for c in m[0]:
-                col, alt = (col + 1, alt + 1) if c == " " else ((col // 8 + 1) * 8, alt + 1) if c == "\t" else (0, 0)
-            at, bol = m.end(), False
+            col = alt = len(m[0])
+            if "\t" in m[0] or "\f" in m[0]:
+                col = alt = 0
+                for c in m[0]:
+                    col, alt = (col + 1, alt + 1) if c == " " else ((col // 8 + 1) * 8, alt + 1) if c == "\t" else (0, 0)
+            at = m.end()
             if col == indents[-1][0]:
                 if alt != indents[-1][1]:
                     raise LexError(at, "inconsistent use of tabs")
@@ -190,50 +193,60 @@ def tokens_of(s: str) -> tuple[str, list[int]]:
                 if alt <= indents[-1][1]:
                     raise LexError(at, "inconsistent use of tabs")
                 indents.append((col, alt))
-                put("INDENT", at)
+                put(CODE["INDENT"])
+                if places is not None:
+                    places.append(at)
             else:
                 while col < indents[-1][0]:
                     indents.pop()
-                    put("DEDENT", at)
+                    put(CODE["DEDENT"])
+                    if places is not None:
+                        places.append(at)
                 if col != indents[-1][0]:
                     raise LexError(at, "unindent matches no outer level")
         bol = False
         m = match(s, at)
         if not m:
             raise LexError(at, "invalid character or number")
-        kind = m.lastgroup
-        if kind == "name":
-            codes.append(words.get(m[kind], name_code))
-            places.append(m.start(kind))
-        elif kind == "op":
-            text, where = m[kind], m.start(kind)
-            if text in _OPEN:
-                stack.append((text, where))
-            elif text in _CLOSE:
-                if not stack or stack.pop()[0] != _CLOSE[text]:
-                    raise LexError(where, "unbalanced bracket")
-            codes.append(CODE[text])
-            places.append(where)
-        elif kind == "nl":
-            if not stack:
-                put("NL", m.start(kind))
-                bol = True
-        elif kind == "skip" and m.end() == n and m[kind][:1] == "\\":
-            raise LexError(n, "nothing behind a continued line")
-        elif kind == "num":
-            put("NUM", m.start(kind))
-        elif kind == "str":
-            put("BSTR" if m[kind][:2].strip("rR\"'") in ("b", "B") else "STR", m.start(kind))
-            at = _string(s, m)
+        kind = m.lastindex
+        if kind == name:
+            put(words(m[name], name_code))
+        elif kind == op:
+            text = m[op]
+            if text in brackets:
+                if text in _OPEN:
+                    stack.append((text, m.start(op)))
+                elif not stack or stack.pop()[0] != _CLOSE[text]:
+                    raise LexError(m.start(op), "unbalanced bracket")
+            put(ops[text])
+        elif kind == line:
+            if stack:
+                at = m.end()
+                continue
+            put(newline)
+            bol = True
+        elif kind == skip:
+            at = m.end()
+            if at == n and m[skip][:1] == "\\":
+                raise LexError(n, "nothing behind a continued line")
             continue
-        at = m.end()
+        elif kind == number:
+            put(CODE["NUM"])
+        elif kind == word:  # a string right behind it
+            put(words(m[word], name_code))
+        else:
+            put(CODE["BSTR" if m[string][:2].strip("rR\"'") in ("b", "B") else "STR"])
+        if places is not None:
+            places.append(m.start(kind))
+        at = m.end() if kind != string else _string(s, m)
     if stack:
         raise LexError(stack[-1][1], "bracket never closed")
-    if codes and codes[-1] not in (CODE["NL"], CODE["DEDENT"]):
-        put("NL", n)
-    for _ in indents[1:]:
-        put("DEDENT", n)
-    return "".join(codes), places
+    if codes and codes[-1] not in (newline, CODE["DEDENT"]):
+        put(newline)
+    codes += [CODE["DEDENT"]] * (len(indents) - 1)
+    if places is not None:
+        places += [n] * (len(codes) - len(places))
+    return "".join(codes)
 
 
 GRAMMAR = r"""
@@ -333,8 +346,12 @@ def parser(start: str = "File"):
 def parse(source: str) -> tuple[bool, int, str]:
     """Whether the text is valid, else the furthest position and the lexer's reason ('' if the grammar refused it)."""
     try:
-        codes, places = tokens_of(source)
+        codes = tokens_of(source)
     except LexError as e:
         return False, e.at, e.why
     _, far, _, ok = parser()(codes)
-    return ok, (len(source) if ok or far >= len(places) else places[far]), ""
+    if ok:
+        return True, len(source), ""
+    places: list[int] = []
+    tokens_of(source, places)
+    return False, len(source) if far >= len(places) else places[far], ""

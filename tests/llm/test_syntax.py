@@ -98,7 +98,7 @@ def test_deep_nesting_is_judged_by_the_grammar():
     assert syntax.verdict("a.py", "x = " + "-" * 50_000 + "1")[1] and not syntax.verdict("a.py", "-" * 50_000)[1]
 
 
-@pytest.mark.parametrize("text", ["self.a: int = 1", "f'{a !r}'", "rf'\\{{\\'{b}'", "f'\\{c}'", "f'\\N{EM DASH}{d}'", "x = 1if y else 2", "f(*a, b=1, *c, **d)", "def f(a, /, b=1, *, c, **d): pass", "lambda a, /, b=1, *c, d: 0", "'a' f'b'", "(*a, b)", "'\\x41\\u00e9\\N{DIGIT ONE}'", "", "# c", "x: int = 1", "async def f[T: int = str](*, a=1, **k) -> T: yield", "match x:\n  case {'a': [1, *_], **r} | P.Q(b=2) as z if z: pass\n  case -1+2j: ...", "with (a as b, c): pass", "try: pass\nexcept* E as e: pass\nelse: pass\nfinally: pass", "f'{a!r:>{w}} {b=} {{}} {d[\"k\"]}'", "x = yield", "a[b:c, ::d, *e] = f if g else lambda *h, i=1: (j := 2)", "type X[T] = list[T]", "@a.b[c]\nclass D(E, metaclass=F): pass", "if 1:\n\tx\nelse:\n\ty\n", "a = \\\n  1", "print(*a, **b)", "for x, *y in z: pass\nelse: pass", "def f(a, /, b, *, c): pass", "match = case = type = 1; match[case] = type(match)", "{**a, 'b': c}; {*d, e}; [x async for x in y if z]", "global_ = not a in b is not c"])
+@pytest.mark.parametrize("text", ["self.a: int = 1", "f'{a !r}'", "rf'\\{{\\'{b}'", "f'\\{c}'", "f'\\N{EM DASH}{d}'", "x = 1if y else\"z\"", "f(*a, b=1, *c, **d)", "def f(a, /, b=1, *, c, **d): pass", "lambda a, /, b=1, *c, d: 0", "'a' f'b'", "(*a, b)", "'\\x41\\u00e9\\N{DIGIT ONE}'", "", "# c", "x: int = 1", "async def f[T: int = str](*, a=1, **k) -> T: yield", "match x:\n  case {'a': [1, *_], **r} | P.Q(b=2) as z if z: pass\n  case -1+2j: ...", "with (a as b, c): pass", "try: pass\nexcept* E as e: pass\nelse: pass\nfinally: pass", "f'{a!r:>{w}} {b=} {{}} {d[\"k\"]}'", "x = yield", "a[b:c, ::d, *e] = f if g else lambda *h, i=1: (j := 2)", "type X[T] = list[T]", "@a.b[c]\nclass D(E, metaclass=F): pass", "if 1:\n\tx\nelse:\n\ty\n", "a = \\\n  1", "print(*a, **b)", "for x, *y in z: pass\nelse: pass", "def f(a, /, b, *, c): pass", "match = case = type = 1; match[case] = type(match)", "{**a, 'b': c}; {*d, e}; [x async for x in y if z]", "global_ = not a in b is not c"])
 def test_valid_python(text):
     ast.parse(text)
     assert grammar_python.parse(text)[0]
