@@ -16,7 +16,7 @@ from .peg import Token, compile_grammar
 KEYWORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 SOFT = ["match", "case", "type"]
 OPERATORS = "( ) [ ] { } : , ; . ... = == != < > <= >= -> := + - * / // % @ & | ^ ~ << >> ** += -= *= /= //= %= @= &= |= ^= <<= >>= **=".split()
-CODE = {t: chr(0x21 + i) for i, t in enumerate([*KEYWORDS, *SOFT, *OPERATORS, "NAME", "NUM", "STR", "BSTR", "NL", "INDENT", "DEDENT"])}
+CODE = {t: chr(0x21 + i) for i, t in enumerate([*KEYWORDS, *SOFT, *OPERATORS, "NAME", "NUM", "STR", "BSTR", "NL", "INDENT", "DEDENT", "LINE"])}
 assert max(CODE.values()) <= "~"
 
 _DIG = r"\d(?:_?\d)*"
@@ -82,6 +82,12 @@ def _fstring(s: str, at: int, quote: str, raw: bool) -> int:
     raise LexError(at, "unterminated f-string")
 
 
+@functools.lru_cache(50_000)
+def _is_field(text: str) -> bool:
+    """Whether an f-string's field holds an expression; the same fields come again in every file."""
+    return parser("FieldExpr").quick(tokens_of(f"({text})\n"))[3]
+
+
 def _field(s: str, at: int, quote: str, raw: bool) -> int:
     start, depth = at, []
     while at < len(s):
@@ -90,9 +96,7 @@ def _field(s: str, at: int, quote: str, raw: bool) -> int:
             at += 1
             continue
         if not depth and (c in "}:" or c == "!" and not s.startswith("!=", at) or c == "=" and re.compile(r"=\s*[}:!]").match(s, at) and s[at - 1] not in "=!<>"):
-            codes = tokens_of("(" + s[start:at] + ")\n")
-            end, far, hits, ok = parser("FieldExpr")(codes)
-            if not ok:
+            if not _is_field(s[start:at]):
                 raise LexError(start, "invalid f-string expression")
             if c == "=":
                 at = re.compile(r"=\s*").match(s, at).end()
@@ -253,15 +257,18 @@ GRAMMAR = r"""
 File <- Stmt* EOF
 FieldExpr <- '(' (Yield / Stars) ')' NL EOF
 Name <- NAME / 'match' / 'case' / 'type'
-Stmt <- Compound / Simple
+Stmt <- LINE / Compound / Simple
+SimpleLine <- Simple EOF
 Simple <- Small (';' Small)* ';'? NL
 Small <- 'pass' / 'break' / 'continue' / 'return' Stars? / 'raise' (Expr ('from' Expr)?)? / ('global' / 'nonlocal') Name (',' Name)*
-    / 'del' Targets / Yield / 'assert' Expr (',' Expr)? / Import / TypeAlias / Assign / Stars
+    / 'del' DelTargets / Yield / 'assert' Expr (',' Expr)? / Import / TypeAlias / Assign / Stars
 Import <- 'import' Dotted ('as' Name)? (',' Dotted ('as' Name)?)* / 'from' (('.' / '...')* Dotted / ('.' / '...')+) 'import' ('*' / '(' FromName (',' FromName)* ','? ')' / FromName (',' FromName)*)
 FromName <- Name ('as' Name)?
 Dotted <- Name ('.' Name)*
 TypeAlias <- 'type' Name TypeParams? '=' Expr
 Assign <- (Access / Name / '(' Single ')') ':' Expr ('=' Rhs)? / (Targets '=')+ Rhs !'=' / Single AugOp Rhs
+DelTargets <- DelTarget (',' DelTarget)* ','?
+DelTarget <- Access / Name / '(' DelTargets? ')' / '[' DelTargets? ']'
 AugOp <- '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '**='
 Rhs <- Yield / Stars
 Yield <- 'yield' ('from' Expr / Stars?)
@@ -338,17 +345,40 @@ CompFor <- ('async'? 'for' Targets 'in' Disj ('if' Disj)*)+
 
 @functools.cache
 def parser(start: str = "File"):
-    tokens = {k: Token(re.escape(CODE[k]), CODE[k]) for k in ("NAME", "NUM", "STR", "BSTR", "NL", "INDENT", "DEDENT")}
+    tokens = {k: Token(re.escape(CODE[k]), CODE[k]) for k in ("NAME", "NUM", "STR", "BSTR", "NL", "INDENT", "DEDENT", "LINE")}
     tokens["EOF"] = Token(r"(?=\x00)", "\x00")
     return compile_grammar(GRAMMAR, tokens, start, "", lambda t: re.escape(CODE[t]), None, lambda t: CODE[t], CODE)
 
 
+#: Logical lines, as token codes, with whether each is a whole simple statement; the same lines come again in every file.
+_LINES: dict[str, bool] = {}
+MOST_LINES = 200_000
+
+
+def _folded(codes: str) -> str:
+    """The codes with one LINE in place of each simple statement: what stands on a logical line depends on nothing around it."""
+    newline, line, blocks = CODE["NL"], CODE["LINE"], CODE["INDENT"] + CODE["DEDENT"]
+    rule, known, out = parser("SimpleLine").quick, _LINES, []
+    *rows, last = codes.split(newline)
+    for row in rows:
+        text = row.lstrip(blocks)
+        whole = known.get(text)
+        if whole is None:
+            if len(known) >= MOST_LINES:
+                known.clear()
+            whole = known[text] = rule(text + newline)[3]
+        out.append(row[: len(row) - len(text)] + line if whole else row + newline)
+    return "".join(out) + last
+
+
 def parse(source: str) -> tuple[bool, int, str]:
     """Whether the text is valid, else the furthest position and the lexer's reason ('' if the grammar refused it)."""
     try:
         codes = tokens_of(source)
     except LexError as e:
         return False, e.at, e.why
+    if parser().quick(_folded(codes))[3]:
+        return True, len(source), ""
     _, far, _, ok = parser()(codes)
     if ok:
         return True, len(source), ""

@@ -163,8 +163,10 @@ def most_similar(vectors: DataFrame, k: int = 10, widths: dict[str, int] | None
     group is ever collected; the row-number limit is applied before the shuffle as well as after it.
     """
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    base = usable(vectors, widths).withColumn("norm", norm).withColumn("way", F.transform("embedding", lambda x: F.rint(x.cast("double") / F.col("norm") * 1e7)))
-    base = cut(base.withColumns({"h1": F.xxhash64("way"), "h2": F.xxhash64(F.lit(7), "way")}).drop("norm", "way"))
+    # the norm is bound once a row, or it would be summed anew for every element
+    way = F.transform(F.array(norm), lambda n: F.transform("embedding", lambda x: F.rint(x.cast("double") / n * 1e7)))[0]
+    base = usable(vectors, widths).withColumn("way", way)
+    base = cut(base.withColumns({"h1": F.xxhash64("way"), "h2": F.xxhash64(F.lit(7), "way")}).drop("way"))
     key = ["embedding_model", "h1", "h2"]
     groups = base.groupBy(key).agg(F.min("vector_id").alias("id"), F.min_by("embedding", "vector_id").alias("embedding"))
     order = Window.partitionBy(key).orderBy("vector_id")

@@ -272,4 +272,5 @@ def compile_grammar(text: str, tokens: dict[str, Token], start: str, trivia: str
             whole.append(compile_grammar(text, tokens, start, trivia, literal, tests, head, codes, False))
         return got[0], whole[0](s)[1], got[2], False
 
+    checked.quick = run  # without the furthest position of a refused input
     return checked
