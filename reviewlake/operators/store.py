@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The first row of each key in the given order.  The limit is applied before the shuffle as well as after it."""
@@ -34,8 +36,18 @@ def embedding_plan(chunks: DataFrame, cached: DataFrame, scope: str, batch: int
 
 
 def batches(df: DataFrame, scope: Sequence[str], order: Sequence[str], size: int = 64) -> DataFrame:
-    """Adds ``batch_no`` within each scope."""
-    return df.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(*scope).orderBy(*order)) - 1) / size))
+    """Adds ``batch_no`` within each scope.
+
+    Rows are sorted over all tasks by range, so a scope of any size lies in as many of them as it fills; each numbers its own
+    rows, from where the tasks before it ended.  The sorted rows are written to the checkpoint folder, as both passes must see
+    the same ranges.
+    """
+    dealt = cut(df.repartitionByRange(*scope, *order).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy(*scope, "_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*scope).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*scope, "_p", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*scope, "_p").orderBy(*order)) - 1
+    return dealt.withColumn("_own", own).join(starts, [*scope, "_p"]).withColumn("batch_no", F.floor((F.col("_start") + F.col("_own")) / size)).drop("_p", "_own", "_start")
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

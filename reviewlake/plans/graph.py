@@ -172,9 +172,10 @@ def hunks(spark, d):
     return R.files(spark, d).select(F.col("file_id").alias("request_id"), "repository_id", "path", (third + 1).alias("span_start"), (third + 10).alias("span_end"))
 
 
-def _candidates(spark, d):
-    s = cut(R.symbols(spark, d))
-    return retrieval.candidates(hunks(spark, d), s, chunk_rows(spark, d, s), R.edges(spark, d, s), letter_counts, SEMANTIC)
+def _candidates(spark, d, spans=None):
+    s = R.symbols(spark, d) if spans is None else R.symbols(spark, d).join(spans.select("repository_id").distinct(), "repository_id", "left_semi")
+    s = cut(s)
+    return retrieval.candidates(hunks(spark, d) if spans is None else spans, s, chunk_rows(spark, d, s), R.edges(spark, d, s), letter_counts, SEMANTIC)
 
 
 _LETTERS = ", ".join(f"(length(l) - length(replace(l, '{c}', '')))::double" for c in string.ascii_lowercase)
@@ -204,8 +205,8 @@ def fusion_score(spark, d):
     return _candidates(spark, d).groupBy("provenance").agg(F.count("*").alias("items"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
 
 
-def _pack(spark, d):
-    return retrieval.enforce_budget(_candidates(spark, d), BUDGET)
+def _pack(spark, d, spans=None):
+    return retrieval.enforce_budget(_candidates(spark, d, spans), BUDGET)
 
 
 @query(f"with {PACK} select request_id, content_hash, place as position from pck")
@@ -218,6 +219,17 @@ def context_pack(spark, d):
     return _pack(spark, d).filter("position is not null").select("request_id", "position", "fqn", "provenance", F.round("score", 9).alias("score"), "token_count", "path", "line_start", "reason")
 
 
+_ONE = PACK.replace("line_count // 3 + 10 span_end from src)", "line_count // 3 + 10 span_end from src where file_id = (select min(file_id) from source_files))")
+
+
+@query(f"with {_ONE} select request_id, place as position, fqn, provenance, token_count, path, line_start from pck where place is not null")
+def context_pack_one(spark, d):
+    """The pack of a single request, of the first file: its hunk is found before anything else is read."""
+    h = hunks(spark, d)
+    one = h.filter(F.col("request_id") == h.agg(F.min("request_id").alias("r")).first()["r"])
+    return _pack(spark, d, one).filter("position is not null").select("request_id", "position", "fqn", "provenance", "token_count", "path", "line_start")
+
+
 @query(f"with {PACK} select request_id, count_if(place is not null and provenance = 'anchor') as anchors, count_if(place is not null and provenance = 'graph') as graph, count_if(place is not null and provenance = 'semantic') as semantic, count_if(place is null) as dropped, coalesce(sum(case when place is not null then token_count end), 0)::bigint as tokens, round(coalesce(sum(case when place is not null then token_count end), 0) / {BUDGET}, 6) as utilization from pck group by request_id")
 def pack_stats(spark, d):
     return retrieval.pack_stats(_pack(spark, d), BUDGET)

@@ -13,6 +13,8 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # what was cut is deleted once nothing refers to it
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
