@@ -118,3 +118,17 @@ def test_dirty_rows(spark):
     rates = {(r.repository_id, r.language): (r.files, r.invalid, r.rate) for r in syntax.failure_rates(df).collect()}
     assert rates == {("r", "python"): (3, 1, 0.333333), (None, "javascript"): (1, 1, 1.0), ("r", "javascript"): (1, 0, 0.0)}
     assert syntax.invalid_files(df.limit(0)).count() == 0 and syntax.failure_rates(df.limit(0)).count() == 0
+
+
+def test_rates_count_what_the_grammars_refuse(spark, data):
+    files = spark.read.parquet(f"{data}/source_files.parquet")
+    want = {}
+    for r in files.select("file_id", "repository_id", "path", "content").distinct().collect():
+        language, ok, _, cause = syntax.verdict(r.path, r.content)
+        if language:
+            n = want.setdefault((r.repository_id, language), {}).setdefault(r.file_id, [])
+            n.append(not ok)
+    got = {(r.repository_id, r.language): (r.files, r.invalid, r.rate, r.conflicts + r.truncated + r.other_language + r.other_errors) for r in syntax.failure_rates(files).collect()}
+    assert got == {k: (len(v), sum(map(any, v.values())), round(sum(map(any, v.values())) / len(v), 6), sum(map(any, v.values()))) for k, v in want.items()}
+    bad = {i for v in want.values() for i, x in v.items() if any(x)}
+    assert {r.file_id for r in syntax.invalid_files(files).collect()} == bad and bad

@@ -40,6 +40,41 @@ def test_merged_segments_cover_within_the_limit(text):
         assert got[0][0] == 0 and got[-1][1] == len(text) and all(b[0] <= a[1] for a, b in zip(got, got[1:]))
 
 
+def merged_by_hand(t, limit, overlap):
+    """The weakest boundary whose sides fit is merged, found anew among all of them each time."""
+    room = limit - overlap
+    if len(t) <= limit:
+        return [(0, len(t))] if t else []
+    cuts = [0]
+    for line in re.findall(r"[^\n]*\n|[^\n]+\Z", t):
+        start, end = cuts[-1], cuts[-1] + len(line)
+        while end - start > room:
+            space = 1 + max(t.rfind(" ", start, start + room), t.rfind("\t", start, start + room))
+            start = space if space > start else start + room
+            cuts.append(start)
+        cuts.append(end)
+    parts = [(a, b) for a, b in zip(cuts, cuts[1:])]
+    atoms = list(parts)
+
+    def strength(at):
+        i = next(i for i, p in enumerate(atoms) if p[0] == at)
+        before, behind = t[slice(*atoms[i - 1])], t[slice(*atoms[i])]
+        return 0 if not before.endswith("\n") else 2 if not before.strip() or not behind.strip() else 1
+
+    while True:
+        fits = [(strength(b[0]), b[1] - a[0], a[0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if b[1] - a[0] <= room]
+        if not fits:
+            return [(max(0, a - overlap) if k else a, b) for k, (a, b) in enumerate(parts)]
+        i = min(fits)[3]
+        parts[i : i + 2] = [(parts[i][0], parts[i + 1][1])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \t\n", max_size=160))
+def test_merged_segments_equal_merging_by_hand(text):
+    assert pieces.merge_segments(text, 24, 4) == merged_by_hand(text, 24, 4)
+
+
 def test_chunks(spark):
     schema = "chunk_id bigint, line_start int, content string, piece_no int"
     text = "x" * 1000 + "\n" + "y" * 1000
