@@ -44,16 +44,17 @@ def decode(responses: DataFrame, payload: str = "payload") -> DataFrame:
     return r.withColumns({"_a": array_text, "reject": reject}).withColumn("entries", F.when(F.col("reject").isNull(), entries)).drop("_t", "_j", "_a")
 
 
-def items(decoded: DataFrame, key: str, allowed: str | None = None) -> DataFrame:
+def items(decoded: DataFrame, key: str, allowed: str | None = None, refused: bool = False) -> DataFrame:
     """One row per entry: its fields, or why it was rejected.
 
-    ``allowed`` names an array of the paths that a response may speak of; null allows all.  A line range that runs backwards ends where it starts; code without an explanation is dropped and the finding stays.
+    With ``refused``, responses without entries give a row with their reason.  ``allowed`` names an array of the paths that a response may speak of; null allows all.  A line range that runs backwards ends where it starts; code without an explanation is dropped and the finding stays.
     """
     paths = F.col(allowed) if allowed else F.lit(None).cast("array<string>")
-    e = decoded.filter("reject is null").select(key, paths.alias("_allowed"), F.posexplode("entries").alias("ordinal", "entry"))
-    e = e.withColumn("f", F.from_json("entry", ITEM))
+    # Filters come behind the explosion, where they are not pushed into the parsing and do not repeat it.
+    e = decoded.select(key, "reject", paths.alias("_allowed"), F.posexplode_outer("entries").alias("ordinal", "entry"))
+    e = e.filter("entry is not null or reject is not null" if refused else "entry is not null").withColumn("f", F.from_json("entry", ITEM))
     missing = lambda c: F.col(f"f.{c}").isNull()
-    why = F.when(~F.col("entry").startswith("{"), "expected an object").when(missing("path"), "path: missing").when(missing("line_start") | missing("line_end"), "lines: missing").when(F.col("f.line_start") < 1, "line_start: below 1").when(missing("title"), "title: missing").when(~F.array_contains("_allowed", F.col("f.path")), "path: not under review")
+    why = F.when(F.col("entry").isNull(), F.col("reject")).when(~F.col("entry").startswith("{"), "expected an object").when(missing("path"), "path: missing").when(missing("line_start") | missing("line_end"), "lines: missing").when(F.col("f.line_start") < 1, "line_start: below 1").when(missing("title"), "title: missing").when(~F.array_contains("_allowed", F.col("f.path")), "path: not under review")
     ok = F.col("reason").isNull()
     return e.withColumn("reason", why).select(key, "ordinal", F.when(ok, F.col("f.path")).alias("path"), F.when(ok, F.col("f.line_start")).alias("line_start"), F.when(ok, F.greatest("f.line_end", "f.line_start")).alias("line_end"),
                                               F.when(ok, F.col("f.title")).alias("title"), F.when(ok & F.col("f.suggested_fix").isNotNull(), F.col("f.improved_code")).alias("improved_code"), "reason")

@@ -75,10 +75,7 @@ select doc_id, ordinal::int as ordinal, case when reason is null then path end a
 union all select doc_id, null, null, null, null, null, null, reject from rej where reject is not null""")
 def decode_findings(spark, d):
     """Every finding of every response, or why it was rejected."""
-    dec = D.decode(responses(spark, d))
-    got = D.items(dec, "doc_id", "allowed_paths")
-    refused = dec.filter("reject is not null").select("doc_id", F.col("reject").alias("reason"))
-    return got.unionByName(refused, allowMissingColumns=True)
+    return D.items(D.decode(responses(spark, d)), "doc_id", "allowed_paths", refused=True)
 
 
 @query("select doc_id, regexp_replace(text || '</untrusted-diff></ UNTRUSTED-context >', '(?i)</\\s*(untrusted-diff|untrusted-context)\\s*>', '[redacted-fence]', 'g') as fenced from documents where text is not null")
