@@ -76,10 +76,8 @@ def _shard_task(k: int, beam: int):
             score = np.round(np.einsum("bkd,bd->bk", x[np.maximum(found, 0)], q), 6)
             qid = b["id"].to_numpy()
             ok = (found >= 0) & (own[np.maximum(found, 0)] != qid[:, None])
-            yield pd.DataFrame({
-                "embedding_model": b["embedding_model"].array, "id": qid,
-                "near": [[{"lack": 1.0 - s, "id": i} for s, i, o in zip(ss, own[np.maximum(ff, 0)], oo) if o][:k] for ss, ff, oo in zip(score.tolist(), found, ok)],
-            })
+            lack, near = 1.0 - score, own[np.maximum(found, 0)]
+            yield pd.DataFrame({"embedding_model": b["embedding_model"].array, "id": qid, "lacks": [x[o][:k] for x, o in zip(lack, ok)], "ids": [x[o][:k] for x, o in zip(near, ok)]})
 
     return run
 
@@ -149,7 +147,8 @@ def nearest(points: DataFrame, k: int, beam: int = BEAM, shard: int = SHARD) ->
     each = each.withColumns({"own": own, "copy": copy}).withColumn("t", F.explode(tasks))
     task = F.col("at") + F.when(F.col("is_query"), F.col("t") * F.col("copies") + F.col("copy")).otherwise(F.col("own") * F.col("copies") + F.col("t"))
     dealt = each.select("embedding_model", "id", "embedding", "is_query", task.cast("int").alias("task")).repartitionById(total, F.col("task")).sortWithinPartitions("is_query")
-    found = dealt.select("embedding_model", "id", "embedding", "is_query").mapInPandas(_shard_task(k, beam), "embedding_model string, id bigint, near array<struct<lack:double,id:bigint>>")
+    found = dealt.select("embedding_model", "id", "embedding", "is_query").mapInPandas(_shard_task(k, beam), "embedding_model string, id bigint, lacks array<double>, ids array<bigint>")
+    found = found.select("embedding_model", "id", F.arrays_zip(F.col("lacks").alias("lack"), F.col("ids").alias("id")).alias("near"))
     # a point that several shards found stands beside itself once all are sorted
     every = found.groupBy("embedding_model", "id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("every"))
     once = F.filter("every", lambda x, i: (i == 0) | (F.get("every", i - 1)["id"] != x["id"]))

@@ -121,7 +121,7 @@ def test_dirty_rows(spark):
 
 
 def test_rates_count_what_the_grammars_refuse(spark, data):
-    files = spark.read.parquet(f"{data}/source_files.parquet")
+    files = spark.read.parquet(f"{data}/../sf0.01/source_files.parquet")
     want = {}
     for r in files.select("file_id", "repository_id", "path", "content").distinct().collect():
         language, ok, _, cause = syntax.verdict(r.path, r.content)
