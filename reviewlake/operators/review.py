@@ -33,6 +33,17 @@ def invalid_reasons(min_title: int = 8, max_title: int = 160) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
 
 
+def evidence_reasons() -> Column:
+    """What is wrong with a finding's evidence, patch and origin (line_start, line_end, path, evidence: array of structs with
+    path, line_start, line_end and role; source, prompt_version, suggested_fix, improved_code), as an array; empty if nothing is."""
+    sites = F.filter(F.coalesce("evidence", F.array().cast("array<struct<path:string,line_start:int,line_end:int,role:string>>")), lambda e: e["role"] == "defect_site")
+    here = F.exists(sites, lambda e: (e["path"] == F.col("path")) & S.spans_overlap(e["line_start"], e["line_end"], "line_start", "line_end"))
+    checks = [
+        (F.size(sites) == 0, "evidence: no defect site"), ((F.size(sites) > 0) & ~F.coalesce(here, F.lit(False)), "evidence: defect site elsewhere"),
+        ((F.col("source") == "llm") & F.col("prompt_version").isNull(), "prompt_version: missing"), (F.col("improved_code").isNotNull() & F.col("suggested_fix").isNull(), "improved_code: not explained")]
+    return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
+
+
 def symbol_tokens(text: Column | str) -> Column:
     """Distinct backticked words of a text that claim to be symbols, without ``()``, language words left out."""
     found = F.regexp_extract_all(S.col(text), F.lit(r"`([^`\n]{1,200})`"), F.lit(1))

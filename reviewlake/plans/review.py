@@ -30,6 +30,16 @@ def validate_findings(spark, d):
     return findings(spark, d).select("finding_id", F.array_join(V.invalid_reasons(), "; ").alias("reasons"))
 
 
+@query(f"""with {R.FINDINGS}, e as (select *, length(title) n, line_start + (length(title) % 4) * 30 es from fnd)
+select finding_id, array_to_string(list_filter([case when n % 3 = 0 then 'evidence: no defect site' end, case when n % 3 <> 0 and not (es <= line_end and line_start <= es + 5) then 'evidence: defect site elsewhere' end, case when source = 'llm' and line_end % 7 = 0 then 'prompt_version: missing' end, case when source = 'llm' and line_start % 20 = 0 then 'improved_code: not explained' end], lambda x: x is not null), '; ') as reasons from e""")
+def validate_evidence(spark, d):
+    n, start = F.length("title"), F.col("line_start") + (F.length("title") % 4) * 30
+    f = findings(spark, d).withColumns({
+        "evidence": F.array(F.struct(F.col("path").alias("path"), start.cast("int").alias("line_start"), (start + 5).cast("int").alias("line_end"), F.when(n % 3 == 0, "caller").otherwise("defect_site").alias("role"))),
+        "prompt_version": F.when(F.col("line_end") % 7 != 0, "reviewer/v1"), "improved_code": F.when(F.col("source") == "llm", "x = 1"), "suggested_fix": F.when(F.col("line_start") % 20 != 0, "set x")})
+    return f.select("finding_id", F.array_join(V.evidence_reasons(), "; ").alias("reasons"))
+
+
 @query(f"with {R.FINDINGS} select finding_id, {FP} as fingerprint from fnd")
 def fingerprint(spark, d):
     return findings(spark, d).select("finding_id", "fingerprint")

@@ -57,6 +57,12 @@ def stuck_runs(spark, d):
     return E.stuck(table(spark, d, "events"), "user_id", ["purchase"], "1 hour")
 
 
+@query(f"with {R.SNAPSHOTS}, g as (select repository_id, ref_name, max(created_at) newest, max(created_at) filter (where status = 'ready') serving from snp group by all) select repository_id, ref_name, epoch_us(newest) / 1e6 - epoch_us(serving) / 1e6 > 60 as is_late, coalesce(serving + interval 1 minute >= newest, false) as is_fresh from g")
+def index_freshness(spark, d):
+    """Whether a ref's serving snapshot is at most a minute behind its newest."""
+    return E.freshness(R.snapshots(spark, d), ["repository_id", "ref_name"]).select("repository_id", "ref_name", (F.col("behind") > 60).alias("is_late"), "is_fresh")
+
+
 INCR_SQL = f"""with {R.SNAPSHOTS}, {R.LISTING}, c as (select repository_id, snapshot_id, row_number() over (partition by repository_id order by created_at desc, snapshot_id desc) n from snp where status = 'ready'),
 now as (select l.* from lst l join c using (repository_id, snapshot_id) where n = 1), old as (select l.* from lst l join c using (repository_id, snapshot_id) where n = 2),
 t as (select case when old.path is null then 'added' when now.path is null then 'removed' when now.blob_sha is distinct from old.blob_sha then 'modified' else 'unchanged' end change_type from now full outer join old on now.repository_id = old.repository_id and now.path = old.path)

@@ -55,6 +55,14 @@ def stuck(events: DataFrame, key: str, final: list[str], after: str) -> DataFram
     return last.filter(~F.col("last_type").isin(final) & (F.col("last_at") < F.lit(newest) - F.expr(f"interval {after}")))
 
 
+def freshness(snapshots: DataFrame, keys: list[str], within: str = "60 seconds") -> DataFrame:
+    """Per key the newest snapshot, the newest ready one, how many seconds it lies behind, and whether that is ``within``; a
+    key without a ready snapshot is not fresh."""
+    g = snapshots.groupBy(*keys).agg(F.max("created_at").alias("newest"), F.max(F.when(F.col("status") == "ready", F.col("created_at"))).alias("serving"))
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return g.withColumns({"behind": (at("newest") - at("serving")) / 1e6, "is_fresh": F.coalesce(F.col("serving") + F.expr(f"interval {within}") >= F.col("newest"), F.lit(False))})
+
+
 def stream_of(spark: SparkSession, directory: str, name: str, per_trigger: int = 1) -> DataFrame:
     """A table's files as a stream."""
     path = f"{directory}/{name}.parquet"
