@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import functools
 import re
 import textwrap
 import warnings
@@ -14,6 +15,7 @@ from pyspark.sql.types import BooleanType
 _SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|`(?:[^`\\]|\\.)*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
 
 
+@functools.lru_cache(20_000)
 def parses(language: str | None, text: str | None) -> bool | None:
     """Null for a language that is not known; blank text does not parse; fragments may be indented or end at a colon."""
     if language not in ("python", "typescript"):
@@ -22,14 +24,12 @@ def parses(language: str | None, text: str | None) -> bool | None:
         return False
     if language == "python":
         body = textwrap.dedent(text.replace("\r\n", "\n"))
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            for form in (body, f"{body.rstrip()}\n    pass\n", "def _():\n" + textwrap.indent(body, "    ")):
-                try:
-                    ast.parse(form)
-                    return True
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    continue
+        for form in (body, f"{body.rstrip()}\n    pass\n", "def _():\n" + textwrap.indent(body, "    ")):
+            try:
+                ast.parse(form)
+                return True
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                continue
         return False
     stack = []
     for c in _SKIP.sub(" ", text):
@@ -42,7 +42,9 @@ def parses(language: str | None, text: str | None) -> bool | None:
 
 @F.pandas_udf(BooleanType())
 def _run(language: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([parses(a, b) for a, b in zip(language, text)], dtype=object)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return pd.Series([parses(a, b) for a, b in zip(language, text)], dtype=object)
 
 
 def patch_parses(language, text):

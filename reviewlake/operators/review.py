@@ -71,23 +71,24 @@ def merged_ranges(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), F.expr("cast(array() as array<struct<s:int,e:int>>)"), step)
 
 
-def gate_inputs(findings: DataFrame, heads: DataFrame, touched: DataFrame, vocabulary: DataFrame, patch_parses: Callable[[Column, Column], Column], scope: Sequence[str] = ("run_id",)) -> DataFrame:
+def gate_inputs(findings: DataFrame, heads: DataFrame, touched: DataFrame, vocabulary: DataFrame, patch_parses: Callable[[Column, Column], Column], scope: Sequence[str] = ("run_id",), known_in: Sequence[str] | None = None) -> DataFrame:
     """Adds what ``gates`` asks of every finding, true, false or null where a gate has no opinion.
 
     ``findings``: scope, finding_id, path, line_start, line_end, explanation, evidence (array of paths), language,
     improved_code; ``heads``: scope, path, lines (files as they are after the change); ``touched``: scope, path, s, e (line
-    ranges that the change shows); ``vocabulary``: scope, token.  A finding stands within its file and touches the change, or
+    ranges that the change shows); ``vocabulary``: ``known_in`` (a repository; the scope if not given), token.  A finding stands within its file and touches the change, or
     its evidence lies in a changed file where its own is none; a patch covers shown lines only.  A scope without vocabulary
     resolves nothing.  A file's ranges are folded to one row.
     """
-    keys = [*scope, "path"]
+    keys, known_in = [*scope, "path"], list(known_in or scope)
     head = heads.groupBy(*keys).agg(F.max("lines").alias("_lines"))
     shown = touched.groupBy(*keys).agg(merged_ranges(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("_shown"))
     cites = findings.select(*scope, "finding_id", F.explode("evidence").alias("path")).join(shown.select(*keys), keys, "left_semi").select("finding_id").distinct().withColumn("_cites", F.lit(True))
-    claims = findings.select("finding_id", *scope, symbol_tokens("explanation").alias("tokens"))
-    asked = claims.join(vocabulary.select(*scope).distinct(), list(scope), "left_semi")
-    lost = unresolved_tokens(asked, vocabulary, "finding_id", scope).select("finding_id").distinct().withColumn("_lost", F.lit(True))
-    f = findings.join(head, keys, "left").join(shown, keys, "left").join(cites, "finding_id", "left").join(lost, "finding_id", "left")
+    claims = findings.select("finding_id", *known_in, symbol_tokens("explanation").alias("tokens"))
+    asked = claims.join(vocabulary.select(*known_in).distinct(), known_in, "left_semi")
+    lost = unresolved_tokens(asked, vocabulary, "finding_id", known_in).select("finding_id").distinct().withColumn("_lost", F.lit(True))
+    # what is joined by file comes last, as the merge of duplicates goes on by file
+    f = findings.join(cites, "finding_id", "left").join(lost, "finding_id", "left").join(head, keys, "left").join(shown, keys, "left")
     changed = F.col("_shown").isNotNull()
     touches = F.exists("_shown", lambda r: S.spans_overlap(r["s"], r["e"], "line_start", "line_end"))
     inside = F.exists("_shown", lambda r: (r["s"] <= F.col("line_start")) & (F.col("line_end") <= r["e"]))

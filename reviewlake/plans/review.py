@@ -63,12 +63,12 @@ def gated(spark, d):
     shown = o.filter("o_orderkey % 5 <> 0").select("run_id", "path", F.explode(F.array(F.struct(first.alias("s"), (first + 20).alias("e")), F.struct(second.alias("s"), (second + 25).alias("e")))).alias("r")).select("run_id", "path", "r.*")
     f = findings(spark, d).withColumn("words", F.split("title", " "))
     small = table(spark, d, "part").filter("p_size <= 35").select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
-    vocabulary = o.select("run_id").distinct().join(F.broadcast(small))
+    vocabulary = small.withColumn("repository_id", F.lit("shop"))
     f = f.withColumns({
         "explanation": F.format_string("`%s` is read before `%s()` ran, see `None`", F.col("words")[0], F.col("words")[1]), "language": F.lit("python"),
         "evidence": F.array(F.concat(F.lit("src/"), (F.floor(F.col("run_id")) * 10 + F.length("title") % 10).cast("string"), F.lit(".py"))),
         "improved_code": F.when(F.col("source") == "ruff", None).otherwise(F.when(F.col("line_start") % 20 == 0, F.lit(BAD_PATCH)).otherwise(F.lit(GOOD_PATCH)))}).drop("words")
-    return V.gate_inputs(f, heads, shown, vocabulary, patch_parses)
+    return V.gate_inputs(f.withColumn("repository_id", F.lit("shop")), heads, shown, vocabulary, patch_parses, known_in=["repository_id"])
 
 
 ASKED = R.FINDINGS + f""", ord as (select o_orderkey // 10 run_id, 'src/' || o_orderkey::varchar || '.py' path, o_orderkey, o_custkey, o_orderstatus from orders),
@@ -77,7 +77,7 @@ shl as (select run_id, path, unnest([{{'s': o_custkey % 40 + 1, 'e': o_custkey %
 shn as (select distinct run_id, path from shl), voc as (select distinct unnest(string_split(p_name, ' ')) token from part where p_size <= 35),
 fx as (select f.*, string_split(title, ' ')[1] w1, string_split(title, ' ')[2] w2, 'src/' || (run_id * 10 + length(title) % 10)::varchar || '.py' ev, source <> 'ruff' has_patch, line_start % 20 <> 0 good from fnd f),
 q as (select x.*, hd.path is not null fe, hd.path is not null and x.line_end <= hd.lines and case when s.path is not null then exists (select 1 from shl l where l.run_id = x.run_id and l.path = x.path and struct_extract(l.r, 's') <= x.line_end and x.line_start <= struct_extract(l.r, 'e')) else e.path is not null end li,
-  (w1 in (select token from voc) and w2 in (select token from voc)) or not exists (select 1 from ord where ord.run_id = x.run_id) sy, not has_patch or good pp,
+  w1 in (select token from voc) and w2 in (select token from voc) sy, not has_patch or good pp,
   not has_patch or exists (select 1 from shl l where l.run_id = x.run_id and l.path = x.path and struct_extract(l.r, 's') <= x.line_start and x.line_end <= struct_extract(l.r, 'e'))
     pa
   from fx x left join hdl hd on hd.run_id = x.run_id and hd.path = x.path left join shn s on s.run_id = x.run_id and s.path = x.path left join shn e on e.run_id = x.run_id and e.path = x.ev),
