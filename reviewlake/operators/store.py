@@ -40,14 +40,18 @@ def batches(df: DataFrame, scope: Sequence[str], order: Sequence[str], size: int
 
     Rows are sorted over all tasks by range, so a scope of any size lies in as many of them as it fills; each numbers its own
     rows, from where the tasks before it ended.  The sorted rows are written to the checkpoint folder, as both passes must see
-    the same ranges.
+    the same ranges.  A null scope is one of its own.
     """
     dealt = cut(df.repartitionByRange(*scope, *order).withColumn("_p", F.spark_partition_id()))
     counts = dealt.groupBy(*scope, "_p").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*scope).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*scope, "_p", F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(scope)], F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(scope):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
     own = F.row_number().over(Window.partitionBy(*scope, "_p").orderBy(*order)) - 1
-    return dealt.withColumn("_own", own).join(starts, [*scope, "_p"]).withColumn("batch_no", F.floor((F.col("_start") + F.col("_own")) / size)).drop("_p", "_own", "_start")
+    numbered = dealt.withColumn("_own", own).join(starts, same)
+    return numbered.select(*df.columns, F.floor((F.col("_start") + F.col("_own")) / size).alias("batch_no"))
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
