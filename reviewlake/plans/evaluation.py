@@ -12,7 +12,7 @@ from ..session import cut
 from ..sources.tables import table
 from . import relations as R
 from . import review as V
-from .graph import PACK, _pack, hunks
+from .graph import BUDGET, FULL_BUDGET, PACK, _pack, hunks
 from .registry import query
 from .resolution import USES, imports, labels, modules, references, symbols
 
@@ -81,15 +81,30 @@ def eval_latency(spark, d):
 _NEEDED = "ned as (select distinct a.request_id, e.dst_fqn fqn from anc a join edg e on e.repository_id = a.repository_id and e.src_fqn = a.fqn and e.kind = 'calls' where e.dst_fqn is not null and not exists (select 1 from anc b where b.request_id = a.request_id and b.fqn = e.dst_fqn))"
 
 
-@query(f"""with {PACK}, {_NEEDED}, k as (select distinct request_id, fqn from pck where place is not null), a as (select count(distinct n.request_id) requests, count(*) needed, count(k.fqn) held from ned n left join k using (request_id, fqn)), b as (select count(*) kept, count_if(provenance = 'graph') structural from pck where place is not null)
-select requests, needed, held, round(held / needed, 6) as recall, kept, round(structural / kept, 6) as structural_share from a, b""")
-def eval_retrieval(spark, d):
-    """How much of what the changed symbols call is in their packs, and how much of the packs structure brought."""
+def _recall_sql(pack: str) -> str:
+    return f"""with {pack}, {_NEEDED}, k as (select distinct request_id, fqn from pck where place is not null), a as (select count(distinct n.request_id) requests, count(*) needed, count(k.fqn) held from ned n left join k using (request_id, fqn)), b as (select count(*) kept, count_if(provenance = 'graph') structural from pck where place is not null)
+select requests, needed, held, round(held / needed, 6) as recall, kept, round(structural / kept, 6) as structural_share from a, b"""
+
+
+def _recall(spark, d, budget):
     s = cut(R.symbols(spark, d))
     anchors = retrieval.symbols_in_spans(s, hunks(spark, d)).select("request_id", "repository_id", "fqn").distinct()
     calls = R.edges(spark, d, s).filter("kind = 'calls' and dst_fqn is not null").select("repository_id", F.col("src_fqn").alias("fqn"), "dst_fqn")
     needed = anchors.join(calls, ["repository_id", "fqn"]).select("request_id", F.col("dst_fqn").alias("fqn")).join(anchors.select("request_id", "fqn"), ["request_id", "fqn"], "left_anti")
-    return E.needed_recall(_pack(spark, d), needed)
+    return E.needed_recall(_pack(spark, d, budget=budget), needed)
+
+
+@query(_recall_sql(PACK))
+def eval_retrieval(spark, d):
+    """How much of what the changed symbols call is in their packs, and how much of the packs structure brought, under a budget
+    that the anchors alone nearly fill."""
+    return _recall(spark, d, BUDGET)
+
+
+@query(_recall_sql(PACK.replace(f"<= {BUDGET}", f"<= {FULL_BUDGET}")))
+def eval_retrieval_full(spark, d):
+    """The same under the budget of a real request."""
+    return _recall(spark, d, FULL_BUDGET)
 
 
 @query(f"""with {USES}, lab as (select s.symbol_id * 16 + 3 ref_id, case when s.member is null then 'unresolved' else 'symbol' end lk, o.dst target, s.module, s.repository_id from smx s left join own o on o.repository_id = s.repository_id and o.owner = (select struct_extract_at(c.c, 2) from nxt x join cls c on c.repository_id = x.repository_id and c.module = x.m1 where x.repository_id = s.repository_id and x.module = s.module) and o.name = s.member where s.c1 is not null

@@ -17,7 +17,7 @@ from . import relations as R
 from .files import CHUNK_CTE
 from .registry import query
 
-BUDGET, SEMANTIC = 300, 5
+BUDGET, FULL_BUDGET, SEMANTIC = 300, 12_000, 5
 WIDTHS = {"code-embed-64": 64, "code-embed-mini-48": 48}
 
 
@@ -205,8 +205,8 @@ def fusion_score(spark, d):
     return _candidates(spark, d).groupBy("provenance").agg(F.count("*").alias("items"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
 
 
-def _pack(spark, d, spans=None):
-    return retrieval.enforce_budget(_candidates(spark, d, spans), BUDGET)
+def _pack(spark, d, spans=None, budget=BUDGET):
+    return retrieval.enforce_budget(_candidates(spark, d, spans), budget)
 
 
 @query(f"with {PACK} select request_id, content_hash, place as position from pck")
