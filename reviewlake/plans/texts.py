@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import decode as D
 from ..operators import diffs
+from ..operators import prompts as P
 from ..sources.tables import table
 from .registry import query
 
@@ -84,11 +85,16 @@ def prompt_fence(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", S.neutralise_fences(t).alias("fenced"))
 
 
-@query("""select repository_id, count(*) as blocks, sha256(string_agg('[' || kind || '] ' || doc_id::varchar || chr(10) || coalesce(text, ''), chr(10) || '---' || chr(10) order by doc_id)) as prompt_hash
-from (select distinct repository_id, doc_id, coalesce(kind, 'NOTE') kind, text from documents where repository_id is not null) group by repository_id""")
+_LABEL = "case doc_id % 3 " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(P.PROVENANCE_LABELS.values())) + " end"
+_ITEMS = f"string_agg('[' || {_LABEL} || '] d/' || doc_id::varchar || '.md:1-' || (n_chars % 50 + 1)::varchar || coalesce(' — ' || kind, '') || chr(10) || '{P.WHY}' || 'found in ' || source || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by doc_id)"
+
+
+@query(f"""select repository_id as request_id, sha256('<{P.CONTEXT_TAG}>' || chr(10) || regexp_replace({_ITEMS}, '(?i)</\\s*(untrusted-diff|untrusted-context)\\s*>', '[redacted-fence]', 'g') || chr(10) || '</{P.CONTEXT_TAG}>') as context_hash
+from (select distinct repository_id, doc_id, kind, text, n_chars, source from documents where repository_id is not null) group by repository_id""")
 def prompt_render(spark, d):
-    """A prompt per repository out of its blocks in order; compared by hash."""
-    block = F.concat(F.lit("["), F.coalesce("kind", F.lit("NOTE")), F.lit("] "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
-    b = table(spark, d, "documents").filter("repository_id is not null").select("repository_id", "doc_id", block.alias("block")).distinct()
-    g = b.groupBy("repository_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "block"))).alias("b"))
-    return g.select("repository_id", F.size("b").cast("bigint").alias("blocks"), F.sha2(F.array_join(F.transform("b", lambda x: x["block"]), "\n---\n"), 256).alias("prompt_hash"))
+    """The context of a prompt per repository, its documents taken for the items of a pack; compared by hash."""
+    one = table(spark, d, "documents").filter("repository_id is not null").select("repository_id", "doc_id", "kind", "text", "n_chars", "source").distinct()
+    kinds = F.array(*map(F.lit, P.PROVENANCE_LABELS))
+    packed = one.select(F.col("repository_id").alias("request_id"), F.col("doc_id").alias("position"), kinds[(F.col("doc_id") % 3).cast("int")].alias("provenance"), F.format_string("d/%d.md", "doc_id").alias("path"), F.lit(1).alias("line_start"),
+                        (F.col("n_chars") % 50 + 1).alias("line_end"), F.col("kind").alias("fqn"), F.concat(F.lit("found in "), "source").alias("reason"), F.col("text").alias("content"))
+    return P.context_parts(packed).select("request_id", F.sha2("text", 256).alias("context_hash"))
