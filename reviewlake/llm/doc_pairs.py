@@ -1,13 +1,14 @@
 """Problem 2: functions paired with their documentation.
 
-Every function is read with the class hierarchy around it.  A method without documentation of its own takes that of the
+Every function is read with the class hierarchy around it and takes the nearest documentation: its own, or that of the
 nearest method of the same name up the hierarchy of its repository; what stays without documentation of substance is
 dropped.  The hierarchy is closed by repeated joins over the heads of all classes, those without methods too, until no
 class gains an ancestor.
 
 Defined results: null or empty content, unknown languages and invalid texts give no rows; repeated rows give one result;
-a class name that a repository declares several times stands for the declaration with bases in the file of the smallest
-``file_id``; of several nearest methods the smallest documentation counts; cycles end where they began.
+of functions of one name on one line one with documentation of substance counts, and one without; a class name that a
+repository declares several times stands for the declaration with bases in the file of the smallest ``file_id``; of
+several nearest methods the smallest documentation counts; cycles end where they began.
 """
 
 from __future__ import annotations
@@ -44,11 +45,6 @@ def declarations_of(files: DataFrame) -> DataFrame:
     return spread(files.select("file_id", "repository_id", "path", "content")).mapInPandas(run, SCHEMA)
 
 
-def functions_of(files: DataFrame) -> DataFrame:
-    """One row per function and input row, documented or not.  No shuffle."""
-    return declarations_of(files).filter("kind != 'class'")
-
-
 def _simple() -> Column:
     """The name of the class that ``base`` names."""
     return F.regexp_extract(F.element_at(F.split("base", r"\."), -1), r"^\w+", 0)
@@ -80,24 +76,26 @@ def function_doc_pairs(files: DataFrame) -> DataFrame:
 
     Methods meet the ancestors of their base classes on (repository, class) and the documented methods on (repository,
     class, method), which spreads a repository that holds many of the rows over its classes.  Functions and class heads
-    are written to the checkpoint folder first, so that the joins do not read the texts again.
+    are written to the checkpoint folder first, so that the joins do not read the texts again.  A function's own
+    documentation is at distance 0, that of a base class at 1.
     """
-    declarations = cut(declarations_of(files).withColumn("head", F.expr("kind = 'class'")).dropDuplicates(["file_id", "line_start", "name", "head"]))
-    found = declarations.filter("not head").drop("head")
-    columns = ["file_id", "line_start", "name", "kind", "owner", "signature", "docstring"]
-    own = found.filter("has_substance").select(*columns, F.lit("own").alias("doc_source"))
+    declarations = cut(declarations_of(files).withColumn("head", F.expr("kind = 'class'")).dropDuplicates(["file_id", "line_start", "name", "head", "has_substance"]))
+    functions = declarations.filter("not head").drop("head")
+    columns = ["file_id", "line_start", "name", "kind", "owner", "signature"]
+    own = functions.filter("has_substance").select(*columns, F.lit(0).alias("distance"), "docstring")
 
-    methods = found.filter("kind = 'method' and owner is not null")
+    methods = functions.filter("kind = 'method' and owner is not null")
     classes = declarations.filter("head and size(bases) > 0").groupBy("repository_id", F.col("owner").alias("class")).agg(F.min_by("bases", F.struct("file_id", "line_start")).alias("bases"))
     documented_methods = methods.filter("has_substance").groupBy("repository_id", F.col("owner").alias("ancestor"), "name").agg(F.min_by("docstring", "file_id").alias("base_doc"))
-    climbing = methods.filter("not has_substance").select(*columns, "repository_id", F.explode("bases").alias("base")).select("*", _simple().alias("class")).drop("docstring", "base")
+    climbing = methods.filter("not has_substance").select(*columns, "repository_id", F.explode("bases").alias("base")).select("*", _simple().alias("class")).drop("base")
     # A base that is no class with bases of its own is its own only ancestor.
     up = climbing.join(ancestors(classes), ["repository_id", "class"], "left").withColumns({"ancestor": F.coalesce("ancestor", "class"), "distance": F.coalesce("distance", F.lit(0))})
     met = up.join(documented_methods, ["repository_id", "ancestor", "name"])
-    nearest = met.groupBy([c for c in columns if c != "docstring"]).agg(F.min(F.struct("distance", "base_doc"))["base_doc"].alias("docstring"))
-    return own.unionByName(nearest.select(*columns, F.lit("inherited").alias("doc_source")))
+    inherited = met.select(*columns, (F.col("distance") + 1).alias("distance"), F.col("base_doc").alias("docstring"))
+    nearest = own.unionByName(inherited).groupBy(columns).agg(F.min(F.struct("distance", "docstring")).alias("nearest"))
+    return nearest.select(*columns, "nearest.docstring", F.when(F.col("nearest.distance") == 0, "own").otherwise("inherited").alias("doc_source"))
 
 
 def found(files: DataFrame) -> DataFrame:
-    """Functions whose own documentation has substance."""
-    return functions_of(files).dropDuplicates(["file_id", "line_start", "name"]).filter("has_substance").select("file_id", "line_start")
+    """Functions whose nearest documentation is their own; what is inherited is paired, but no case."""
+    return function_doc_pairs(files).filter("doc_source = 'own'").select("file_id", "line_start")

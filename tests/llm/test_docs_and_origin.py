@@ -90,6 +90,18 @@ def test_inherited_documentation_passes_classes_without_methods_and_any_depth(sp
     assert got == {(1, 12): "Reads", (3, 6): "Writes", (3, 9): "Reads", (4, 2): "Reads"}
 
 
+def test_found_takes_the_nearest_documentation(spark):
+    doc = "/** Reads the rows that nobody has claimed yet. */"
+    base, below = f"class A {{\n {doc}\n f() {{}}\n}}\n", f"class C extends B {{\n f() {{}}\n {doc}\n g() {{}}\n}}\n"
+    line = f"class D {{ set x(v) {{}} {doc} get x() {{ return 1; }} }}\n"
+    df = spark.createDataFrame([(i, "r", f"{i}.js", c, None, "x") for i, c in enumerate([base, "class B extends A {}\n", below, line])], SCHEMA)
+    found = doc_pairs.found(df)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 3), (2, 4), (3, 1)]
+    assert sorted((r.file_id, r.line_start, r.doc_source) for r in doc_pairs.function_doc_pairs(df).collect()) == [(0, 3, "own"), (2, 2, "inherited"), (2, 4, "own"), (3, 1, "own")]
+    # the climb decides which documentation is nearest, so it stays in the plan
+    assert "Join" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 HAND = 'import re\n\ndef load(path, limit=10):\n    """Reads a file."""\n    with open(path) as handle:\n        rows = [x.strip() for x in handle if x]\n    if len(rows) > limit:\n        raise ValueError(path)\n    return rows\n'
 MINI = "".join(f"var a{i}=1,b=[{i},2];function f{i}(x){{return x.y({i})}}if(a>1){{b=a.c}}" for i in range(20))
 
