@@ -18,7 +18,20 @@ def matches(comments: DataFrame, cases: DataFrame) -> DataFrame:
     ``comments``: case_id, comment_id, path, line_start, line_end, words (lower case); ``cases``: case_id, case_path,
     defect_line (null: clean), signals (array).
     """
-    j = comments.join(cases, "case_id")
+    return agreeing(comments.join(cases, "case_id"))
+
+
+def matches_by(comments: DataFrame, cases: DataFrame, scope: str) -> DataFrame:
+    """The same where a case lies within a small ``scope`` by which both sides are dealt: a scope's cases are folded to one row
+    and joined there, so that neither side is shuffled by case."""
+    facts = [c for c in cases.columns if c != scope]
+    folded = cases.groupBy(scope).agg(F.collect_list(F.struct(*facts)).alias("_cases"))
+    j = comments.join(folded.hint("shuffle_hash"), scope).withColumn("_cases", F.filter("_cases", lambda c: c["case_id"] == F.col("case_id")))
+    return agreeing(j.select(*(c for c in comments.columns if c != "case_id"), F.inline("_cases")))
+
+
+def agreeing(j: DataFrame) -> DataFrame:
+    """``agrees`` of comments beside their cases."""
     hit = (F.col("path") == F.col("case_path")) & F.col("defect_line").between(F.col("line_start"), F.col("line_end")) & F.exists("signals", lambda s: F.col("words").contains(s))
     return j.withColumn("agrees", F.coalesce(hit, F.lit(False)))
 
@@ -39,6 +52,18 @@ def withheld(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFr
     return before.filter("agrees").join(after.select(*keys), list(keys), "left_anti")
 
 
+def verified(matched: DataFrame, kept: Column, by: Sequence[str] = ("case_id",)) -> DataFrame:
+    """One row: precision and defects found before and after verification, and what that cost; ``kept`` tells the comments that
+    are left.  Cases are counted one by one first (``by``: the case, and the scope by which comments are dealt).  Precision without comments is null before,
+    1 after."""
+    hit = F.col("agrees")
+    per = matched.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(kept).alias("left"), F.count_if(hit & kept).alias("held"), F.count_if(~kept).alias("gone"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    t = per.agg(*(total(c).alias(c) for c in ("n", "hits", "left", "held", "gone")), F.count_if(F.col("hits") > 0).alias("found_before"), F.count_if(F.col("held") > 0).alias("found_after"))
+    share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    return t.select(F.round(share("hits", "n"), 6).alias("precision_before"), F.round(F.coalesce(share("held", "left"), F.lit(1.0)), 6).alias("precision_after"), (F.col("hits") - F.col("held")).alias("withheld_true"), F.col("gone").alias("suppressed"), "found_before", "found_after")
+
+
 def latency(runs: DataFrame, group: str, value: str) -> DataFrame:
     """p50 interpolated and two p95 by rank: at round(0.95 (n-1)) and at max(0, round(0.95 n) - 1), rounding half to even."""
     w = Window.partitionBy(group)
