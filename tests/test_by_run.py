@@ -10,7 +10,7 @@ from reviewlake.plans import catalog, relations
 from tests.oracle import compare, connect
 
 
-@pytest.mark.parametrize("name", ["eval_report", "gate_pipeline", "conservation_check", "eval_suppressed"])
+@pytest.mark.parametrize("name", ["eval_report", "gate_pipeline", "conservation_check", "eval_suppressed", "findings_budget"])
 def test_findings_are_shuffled_once(spark, data, name):
     plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
